@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_rules
+from . import divergence, fm_index, minhash_forest, quality_crf, sharding, url_rules
 from .stages import shared_folder, shipped, table
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = sharding.with_slots(docs).select(
@@ -32,11 +36,40 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_index.occurrences(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_crf.with_scores(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(quality_crf.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 _OP6_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -64,8 +97,12 @@ FROM parts p LEFT JOIN best b USING (page_id)
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lsh_forest": op1_lsh_forest,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_fm_index": op4_fm_index,
+    "op5_divergence": op5_divergence,
     "op6_url_rules": op6_url_rules,
+    "op8_line_crf": op8_line_crf,
 }
 
 _SQL = {"op6_url_rules": _OP6_SQL}
