@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fm_index, minhash_forest, quality_crf, sharding, url_rules
+from . import divergence, fm_index, huffman_files, minhash_forest, quality_crf, sharding, trie_bpe, url_rules
 from .stages import shared_folder, shipped, table
 
 
@@ -58,6 +58,18 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = huffman_files.write(docs, tokenizer_path("byte_bpe_50k.json"))
+    return huffman_files.read(spark, folder, with_ids=False)
+
+
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
@@ -70,6 +82,11 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return trie_bpe.digests(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 _OP6_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -102,7 +119,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fm_index": op4_fm_index,
     "op5_divergence": op5_divergence,
     "op6_url_rules": op6_url_rules,
+    "op7_huffman_files": op7_huffman_files,
     "op8_line_crf": op8_line_crf,
+    "op10_trie_bpe": op10_trie_bpe,
 }
 
 _SQL = {"op6_url_rules": _OP6_SQL}
