@@ -8,14 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fm_index, huffman_files, minhash_forest, quality_crf, sharding, trie_bpe, url_rules
-from .stages import shared_folder, shipped, table
+import corpus_pipeline
+
+from . import divergence, fm_index, huffman_files, license_rules, minhash_forest, pii_crf, quality_crf, sharding, trie_bpe, url_rules
+from .stages import shared_folder, shipped, table, tokenizer_path
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_crf.spans(docs, pii_crf.fit(docs))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = sharding.with_slots(docs).select(
@@ -58,12 +65,6 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op7_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = huffman_files.write(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -82,6 +83,11 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return trie_bpe.digests(docs, tokenizer_path("word_bpe_49k.json"))
@@ -113,18 +119,41 @@ FROM parts p LEFT JOIN best b USING (page_id)
 """
 
 
+#: Rules of one sentence; of the longer ones the driver's tables hold none.
+_NOTICES = ", ".join(
+    f"('{name}', trim(regexp_replace(lower('{texts[0]}'), '[^0-9a-z]+', ' ', 'g')))" for name, texts in license_rules.RULES if len(texts) == 1
+)
+
+_OP9_SQL = rf"""
+WITH notices(name, words) AS (VALUES {_NOTICES}),
+cut AS (
+  SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?][^0-9A-Za-z\x80-\x{{10FFFF}}]*?([ \t\n\x0B\f\r]|$)')) AS sentence FROM documents
+  UNION ALL
+  SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n|[.!?][^0-9A-Za-z\x80-\x{{10FFFF}}]*?([ \t\n\x0B\f\r]|$)')) AS sentence FROM documents
+), hits AS (
+  SELECT DISTINCT doc_id, name
+  FROM cut JOIN notices ON words = trim(regexp_replace(lower(sentence), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))
+)
+SELECT d.doc_id, count(h.name) AS n_licenses, coalesce(string_agg(h.name, ',' ORDER BY h.name), '') AS licenses
+FROM documents d LEFT JOIN hits h USING (doc_id)
+GROUP BY d.doc_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsh_forest": op1_lsh_forest,
+    "op2_skip_chain": op2_skip_chain,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_fm_index": op4_fm_index,
     "op5_divergence": op5_divergence,
     "op6_url_rules": op6_url_rules,
     "op7_huffman_files": op7_huffman_files,
     "op8_line_crf": op8_line_crf,
+    "op9_license_rules": op9_license_rules,
     "op10_trie_bpe": op10_trie_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
-_SQL = {"op6_url_rules": _OP6_SQL}
+_SQL = {"op6_url_rules": _OP6_SQL, "op9_license_rules": _OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,3 +55,10 @@ def slices(spark: SparkSession) -> int:
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """Marks a table for broadcast if it has no more rows than a stated bound."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def tokenizer_path(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -230,7 +230,15 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _run(path: str, digests: bool):
+_SCHEMA = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
+
+
+def _ids(packed: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def _run(path: str, wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
         names = encoder.vocabulary.names
@@ -238,32 +246,30 @@ def _run(path: str, digests: bool):
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 ids = encoder.encode(texts[a:b])
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if digests:
-                    columns += [
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(decode(x, names).encode()).hexdigest() for x in ids]),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    columns += [
-                        pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                        pa.array([decode(x, names) for x in ids], pa.string()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                if "ids_sha256" in wanted:
+                    columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
+                    columns["decoded_sha256"] = pa.array([hashlib.sha256(decode(x, names).encode()).hexdigest() for x in ids])
+                if "ids" in wanted:
+                    columns["ids"] = _ids(ids)
+                if "decoded" in wanted:
+                    columns["decoded"] = pa.array([decode(x, names) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([columns[k] for k in ["doc_id", *wanted]], ["doc_id", *wanted])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids and decoded of each row."""
+def _mapped(docs: DataFrame, path: str, key: str, text: str, wanted: list[str]) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_run(path, False), f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(_run(path, wanted), f"doc_id {kind}, " + ", ".join(f"{k} {_SCHEMA[k]}" for k in wanted))
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (little-endian, 32 bits) and of the decoded text of each row."""
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_run(path, True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of each row."""
+    return _mapped(docs, path, key, text, ["n_tokens", "ids", "decoded"])
+
+
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, the SHA-256 of the ids (little-endian, 32 bits) and of the decoded text, and the ids if asked, of each row."""
+    return _mapped(docs, path, key, text, ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
