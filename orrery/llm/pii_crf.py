@@ -39,7 +39,7 @@ TRAIN_DOCS = 3000
 PENALTY = 0.5
 #: Skip potentials are learned around these rewards for equal labels of the same, and of similar, text.
 SAME, SIMILAR = 8.0, 8.0
-SURE = 0.9
+SURE = 0.5
 ROUNDS = 30
 KEY_DIGITS = 8
 KEY_NAME = 4
