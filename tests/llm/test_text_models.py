@@ -1,0 +1,195 @@
+import collections
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from orrery.llm import divergence, pii_crf, quality_crf
+from orrery.llm import words as w
+
+SF = "/root/testdata/sf0.01"
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_counts(text):
+    text = text or ""
+    words, seen, dup = SPACED.findall(text), set(), 0
+    for line in text.split("\n"):
+        if SPACED.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    hit = {j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(hit))
+
+
+def test_base_counts_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: tuple(r) for r in divergence.judge(docs).collect()}
+    for r in docs.collect():
+        row = got[r.doc_id]
+        want = base_counts(r.text)
+        assert row[1:6] == want
+        assert row[6] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (row[6] and row[7])
+
+
+def test_divergence_drops_junk_and_keeps_prose(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [r for r in divergence.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r.doc_id in labels and not r.base_failed]
+    good = [r.kept for r in rows if labels[r.doc_id] == 1]
+    bad = [r.kept for r in rows if labels[r.doc_id] == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.35 * len(bad)
+
+
+def test_divergence_edges(with_clashes, edges):
+    got = {r.doc_id: tuple(r)[1:6] for r in divergence.judge(with_clashes(edges)).collect()}
+    assert got == {i: base_counts(t) for i, t in edges}
+    assert divergence.judge(with_clashes(edges).limit(0)).count() == 0
+
+
+def test_distance_is_of_jensen_shannon():
+    a, b = np.array([[3.0, 1.0, 0.0]]), np.array([[0.0, 1.0, 3.0]])
+    p, q = a / 4, b / 4
+    m = (p + q) / 2
+    kl = lambda x: (x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()
+    assert divergence.distance(a, b)[0, 0] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2))
+    assert divergence.distance(a, a * 7)[0, 0] == pytest.approx(0, abs=1e-7)
+    assert divergence.distance(a * 0, b)[0, 0] == 1
+
+
+def test_chain_against_enumeration():
+    rng = np.random.default_rng(4)
+    rows = np.repeat(np.arange(5), [1, 4, 2, 6, 3])
+    u, t = rng.normal(size=len(rows)), rng.normal(size=4)
+    lay = quality_crf.layout(rows)
+    f, b = quality_crf.messages(u[lay.order], lay, t)
+    got = np.empty(len(u))
+    got[lay.order] = 1 / (1 + np.exp(-(f + b)))
+    for r in range(5):
+        v = u[rows == r]
+        weight = np.zeros(len(v))
+        total = 0
+        for code in range(1 << len(v)):
+            y = [(code >> k) & 1 for k in range(len(v))]
+            e = np.exp(sum(v[k] for k in range(len(v)) if y[k]) + sum(t[2 * y[k] + y[k + 1]] for k in range(len(v) - 1)))
+            total += e
+            weight += e * np.array(y)
+        assert got[rows == r] == pytest.approx(weight / total)
+
+
+def test_objective_gradient():
+    rng = np.random.default_rng(6)
+    rows = np.repeat(np.arange(4), [3, 1, 5, 2])
+    lay = quality_crf.layout(rows)
+    size = 12
+    flat = rng.integers(0, size, (len(rows), 3))
+    y = rng.integers(0, 2, len(rows))
+    ends = np.empty(len(rows), np.int64)
+    ends[lay.order] = np.arange(len(rows))
+    last = ends[np.append(rows[1:] != rows[:-1], True)]
+    x = rng.normal(size=size + 4)
+    f = lambda x: quality_crf._objective(x, flat[lay.order], lay, y[lay.order], last, size)
+    _, gradient = f(x)
+    for k in range(len(x)):
+        step = np.zeros(len(x))
+        step[k] = 1e-5
+        assert gradient[k] == pytest.approx((f(x + step)[0] - f(x - step)[0]) / 2e-5, abs=1e-5)
+
+
+def test_quality_on_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_crf.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in quality_crf.with_scores(docs, model).collect()}
+    held = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    right = sum((scores[r.doc_id] >= 0.5) == r.quality for r in held)
+    assert right >= 0.95 * len(held) and len(held) > 50
+
+
+def test_held_out_labels_are_not_used(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumn("quality", F.when(quality_crf.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality_crf.fit(docs, labels), quality_crf.fit(docs, turned)
+    assert np.array_equal(a.own, b.own) and a.slope == b.slope
+
+
+def test_quality_edges(spark, with_clashes, edges):
+    labels = spark.createDataFrame([(7, 1), (8, 0), (4, 1), (1, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    df = with_clashes(edges)
+    for known in (labels, labels.limit(0)):
+        out = quality_crf.with_scores(df, quality_crf.fit(df, known), score="_score")
+        rows = out.collect()
+        assert len(rows) == len(edges) and all(0 <= r["_score"] <= 1 for r in rows)
+        assert set(df.columns) < set(out.columns)
+    assert quality_crf.with_scores(df.limit(0), quality_crf.fit(df, labels)).count() == 0
+
+
+def plain_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_against_plain_patterns(rng):
+    alphabet = "ab.@+-0123456789 ()%é_1234567890..@"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(20000)]
+    texts += ["4111 1111 1111 1111", "x@y.z@a.b.c", "a@b..c a@.b.c @b.c", "1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1", "+1 (858) 555-2896 +1+234567890"]
+    for t in texts:
+        assert pii_crf.base_spans(t) == plain_spans(t)
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 300_000, "1" * 300_000, "a@" * 20_000, "1." * 100_000, "@" * 100_000, "+1 " * 20_000):
+        pii_crf.find([t], pii_crf.Model.untrained())
+
+
+def test_skips_carry_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = pii_crf.fit(docs)
+    text = "card 4111 1111 1111 1111 here. Later: 7 4111 1111 1111 1111 and bob.smith@mail.example.com, then bob.smith@mail today 1219538112535716"
+    ((base, every),) = pii_crf.find([text], model)
+    assert base == plain_spans(text) and set(base) < set(every)
+    assert {text[a:b] for a, _, b in set(every) - set(base)} == {"7 4111 1111 1111 1111", "bob.smith@mail"}
+    assert pii_crf.redact(text, every).startswith("card [CARD] here. Later: [CARD] and [EMAIL], then [EMAIL] today 1219")
+    for t, (b, e) in zip([r.text for r in docs.collect()], pii_crf.find([r.text for r in docs.collect()], model), strict=True):
+        assert b == plain_spans(t) and set(b) <= set(e)
+
+
+def test_message_passing_on_a_tree_is_exact():
+    rng = np.random.default_rng(9)
+    k = pii_crf.NONE + 1
+    graph = pii_crf.Graph(spans=[(0, i, i + 1) for i in range(4)], features=[[i] for i in range(4)], labels=[pii_crf.NONE] * 4, edges=[(0, 1, 0), (1, 2, 1), (1, 3, 2)])
+    model = pii_crf.Model(rng.normal(size=(len(pii_crf.FEATURES), k)), rng.normal(size=(3, k, k)))
+    want = np.zeros((4, k))
+    for code in range(k**4):
+        y = [code // k**i % k for i in range(4)]
+        e = np.exp(sum(model.unary[i, y[i]] for i in range(4)) + sum(model.pairs[c, y[a], y[b]] for a, b, c in graph.edges))
+        for i in range(4):
+            want[i, y[i]] += e
+    assert pii_crf.beliefs(graph, model, 200) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-3)
+
+
+def test_pii_edges(spark, with_clashes, edges):
+    df = with_clashes(edges)
+    model = pii_crf.fit(df)
+    got = {r.doc_id: r.spans for r in pii_crf.spans(df, model).collect()}
+    assert got[1] == got[2] == "" and got[8] == "email:8:14,ip:15:22"
+    clean = pii_crf.redacted(df, model)
+    assert clean.columns == df.columns and {r.doc_id: r.text for r in clean.collect()}[1] is None
+    assert pii_crf.spans(df.limit(0), pii_crf.fit(df.limit(0))).count() == 0
+
+
+def test_line_bins_follow_lines():
+    import pyarrow as pa
+
+    (chunk,) = w.chunks(pa.array(["a b\n\n c\n", None, "d"]), False)
+    rows, lengths, bins = quality_crf.line_bins(chunk)
+    assert rows.tolist() == [0, 0, 2] and lengths.tolist() == [3, 1, 1] and bins.shape == (3, quality_crf.N_FEATURES)
