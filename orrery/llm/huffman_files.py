@@ -275,7 +275,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, key: str = "doc
     folder = folder or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     kind = Encoder(path, end).kind
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    ids = saved(rows.mapInArrow(_encoded(path, end), "doc_id long, ids binary"), "encoded")
+    ids = saved(rows.mapInArrow(_encoded(path, end), "doc_id long, ids binary"), "encoded", "zstd")
     counts = ids.select("ids").mapInArrow(_counted(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use
     table = np.zeros(max([r.id for r in counts], default=0) + 1, np.int64)
     for r in counts:

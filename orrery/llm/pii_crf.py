@@ -327,7 +327,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = TR
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).where(F.col("_text").rlike("[0-9@]"))
     chosen = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(most).distinct()
     graph = Graph()
-    for k, r in enumerate(rows.join(F.broadcast(chosen), "_key", "left_semi").orderBy("_key", "_text").toLocalIterator()):
+    sample = rows.join(F.broadcast(chosen), "_key", "left_semi").orderBy("_key", "_text").limit(most)  # a key may have many rows
+    for k, r in enumerate(sample.toLocalIterator()):
         graph.add(k, r["_text"], base_spans(r["_text"]))
     return train(graph)
 

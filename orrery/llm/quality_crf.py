@@ -355,6 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.orderBy(F.xxhash64("_key"), "_key", "_label").limit(most)
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).join(F.broadcast(known), "_key")
     rows = rows.select("_label", "_text").mapInArrow(_sampled, "label int, lengths binary, bins binary")
+    rows = rows.orderBy("label", "lengths", "bins").limit(most)  # a key may have many rows
     samples = [
         (r.label, np.frombuffer(r.lengths, np.int64), np.frombuffer(r.bins, np.uint8).reshape(-1, N_FEATURES)) for r in rows.toLocalIterator()
     ]
