@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .stages import saved
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -327,7 +328,7 @@ def occurrences(
     schema = f"doc_id {kind}, n_words long, n_hit long, spans {SPAN}, items array<string>"
     if len(blocks) == 1:
         return docs.mapInArrow(_report(spark.sparkContext.broadcast(blocks[0]), False, names, 1), schema)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same rows in every pass
     found = []
     for block in blocks:
         run = _report(spark.sparkContext.broadcast(block), False, ["row", *names[1:]], 1)

@@ -37,7 +37,8 @@ from .stages import saved, shared_folder, slices
 LIMIT = 16
 BLOCK_IDS = 1 << 16
 STRIDE = 256
-CACHE = 500_000
+#: Pieces whose ids a worker keeps.
+CACHE = 1_000_000
 LONGEST_KEPT = 64
 SLICE_CHARS = 4_000_000
 
@@ -142,7 +143,8 @@ class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer is byte-level with its regular expression.
 
     A blank before a character that is not white space always begins a piece, so what stands
-    between such blanks is encoded by itself and kept.
+    between such blanks is encoded by itself and kept, in two generations: when the newer is
+    full, the older goes, but for what is met again.
     """
 
     def __init__(self, path: str, end: int, cache: int = CACHE) -> None:
@@ -151,6 +153,7 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -170,10 +173,12 @@ class Encoder:
             pieces[0] = "\n" + pieces[0]  # marks what has no blank before it; no other piece begins with white space
             new.update(pieces)
             cut.append(pieces)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        learn = [p for p in new if p not in known]
+        if len(self.known) > self.most // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {p for p in new if p not in known}
+        known.update((p, older[p]) for p in new if p in older)
+        learn = [p for p in new if p not in older]
         found = self._ids([p[1:] if p[:1] == "\n" else " " + p for p in learn])
         long = {p: x for p, x in zip(learn, found, strict=True) if len(p) > LONGEST_KEPT}
         known.update((p, x) for p, x in zip(learn, found, strict=True) if len(p) <= LONGEST_KEPT)
@@ -182,6 +187,12 @@ class Encoder:
         return [(next(rest) if pieces is None else b"".join(map(get, pieces))) + self.end for pieces in cut]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end: int) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, end)
+
+
 _UNEVEN = re.compile(r" (?!\S)")
 _BLANK = re.compile(r" (?=\S)")
 
@@ -199,11 +210,11 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end)
+        one = encoder(path, end)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _pieces(texts):
-                ids = encoder.encode(texts[a:b])
+                ids = one.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -273,7 +284,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, key: str = "doc
     """Encodes all texts, each followed by the id ``end``, and writes the files in ascending order of the key; returns the folder."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    kind = Encoder(path, end).kind
+    kind = encoder(path, end).kind
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     ids = saved(rows.mapInArrow(_encoded(path, end), "doc_id long, ids binary"), "encoded", "zstd")
     counts = ids.select("ids").mapInArrow(_counted(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use

@@ -41,6 +41,8 @@ PENALTY = 0.5
 SAME, SIMILAR = 8.0, 8.0
 SURE = 0.5
 ROUNDS = 30
+#: Edges whose messages are made at a time.
+EDGES = 50_000
 KEY_DIGITS = 8
 KEY_NAME = 4
 
@@ -268,15 +270,19 @@ def beliefs(graph: Graph, model: Model, rounds: int = ROUNDS) -> np.ndarray:
         return _softmax(unary) if n else unary
     a, b, kind = np.array(graph.edges, np.int64).T
     to, of = np.concatenate([b, a]), np.concatenate([a, b])
-    potential = np.concatenate([model.pairs[kind], model.pairs[kind].transpose(0, 2, 1)])  # edge, label of `of`, label of `to`
+    potentials = np.concatenate([model.pairs, model.pairs.transpose(0, 2, 1)])  # kind and direction, label of `of`, label of `to`
+    which = np.concatenate([kind, kind + len(model.pairs)])
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     message = np.zeros((len(to), k))
     for _ in range(rounds):
         total = unary.copy()
         np.add.at(total, to, message)
-        z = (total[of] - message[back])[:, :, None] + potential
-        top = z.max(axis=1)
-        new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
+        new = np.empty_like(message)
+        for at in range(0, len(to), EDGES):
+            part = slice(at, at + EDGES)
+            z = (total[of[part]] - message[back[part]])[:, :, None] + potentials[which[part]]
+            top = z.max(axis=1)
+            new[part] = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
         new = (new + message) / 2
         change = np.abs(new - message).max()
@@ -334,7 +340,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = TR
 
 
 #: Texts of about so many characters are looked at together.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
