@@ -684,6 +684,19 @@ def tree_has_descendant(spark, d):
     return tq(spark, d, 3).where_has_descendant({"Value": {"$gt": 350000}}, of_scheme(whole, 4)).df().select("id")
 
 
+@query(f"""{_PATHS}, has AS (SELECT DISTINCT c.id FROM nodes o JOIN nodes c ON o.parent_id = c.id WHERE o.scheme_id = 4 AND o."Value" > 450000)
+SELECT n.id, n.scheme_id FROM nodes n JOIN paths p USING (id) WHERE n.scheme_id < 4 AND (n.parent_id IS NULL OR level = 2 AND n.id IN (FROM has) OR n.parent_id = 3 OR n.scheme_id = 3 AND n.id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AND root = 1)""")
+def tree_operators_in_filters(spark, d):
+    """Tree operators anywhere in a filter."""
+    f = {"$or": [
+        {"$isRoot": True},
+        {"$level": 2, "$hasDescendant": {"$and": [{"0$:SchemeId": 4}, {"Value": {"$gt": 450000}}]}},
+        {"$childrenOf": 3},
+        {"$and": [{"0$:SchemeId": 3}, {"$isLeaf": True}, {"$descendantsOf": 1}]},
+    ]}
+    return tq(spark, d).where({"0$:SchemeId": {"$lt": 4}}).where(f).df().select("id", "scheme_id")
+
+
 @query(f"{_PATHS} SELECT id, scheme_id FROM nodes WHERE id IN (SELECT unnest(path) FROM paths JOIN nodes USING (id) WHERE scheme_id = 4 AND \"Value\" > 400000)")
 def tree_list(spark, d):
     return tq(spark, d, 4).where({"Value": {"$gt": 400000}}).with_ancestors().select("id", "scheme_id")
@@ -748,6 +761,12 @@ def tree_delete_subtree(spark, d):
     return tree.without_subtree(whole.with_df(whole.df.where("scheme_id < 4")), 1000).select("id")
 
 
+@query(f"WITH {_NODES} SELECT scheme_id, count(*) AS n, min(id) AS low, max(name) AS last FROM nodes GROUP BY 1")
+def group_by_base_column(spark, d):
+    out = Query(forest(spark, d)).group_by("0$:SchemeId").select({"$count": "*", "alias": "n"}, {"$min": "0$:Id", "alias": "low"}, {"$max": "0$:Name", "alias": "last"})
+    return out.withColumnRenamed("0$:SchemeId", "scheme_id")
+
+
 # Sources, storage and services.
 
 
@@ -793,6 +812,13 @@ def exchange_round_trip(spark, d):
     return exchange.load(spark, path, {"object": df.schema})["object"]
 
 
+@query("SELECT DISTINCT dense_rank() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority AS value FROM orders")
+def list_items_used(spark, d):
+    items = lists.items(view(spark, d, "orders").df, "o_orderpriority")
+    coded = _priorities(spark, d).view.df.select(F.col("Priority.Id").alias("Priority"))
+    return lists.used(items, [(coded, "Priority")]).select("id", "value")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 0.5")
 def save_batch(spark, d):
     c = view(spark, d, "customer").df.select("c_custkey", "c_acctbal")
@@ -839,6 +865,12 @@ def migrate_type(spark, d):
     return schemes.migration_report(view(spark, d, "part").df, "p_name", T.LongType())
 
 
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, TRY_CAST(p_name AS BIGINT) AS p_name, NULL::DOUBLE AS added FROM part")
+def schema_evolution(spark, d):
+    kind = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.StringType()), T.StructField("p_name", T.LongType()), T.StructField("added", T.DoubleType())])
+    return schemes.evolve(view(spark, d, "part").df, kind)
+
+
 @query("SELECT r_regionkey, md5(r_name || '|' || CAST(r_regionkey AS VARCHAR)) AS hash FROM region")
 def object_hash(spark, d):
     df = view(spark, d, "region").df

@@ -11,14 +11,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.compiler import _COMPARE, Compiler
+from ..plans.nodes import tree_of
 from ..plans.paths import View
 from ..plans.stored import small, stored
 from .query import Query
 
+#: Tree operators that filters may hold.
+_OPERATORS = {"$isroot", "$isleaf", "$level", "$childrenof", "$descendantsof", "$hasancestor", "$hasdescendant"}
 #: Levels after which a walk without a limit is taken for a cycle.
 MOST_LEVELS = 10_000
 
@@ -162,8 +165,55 @@ class TreeQuery(Query):
         ids = [i[self.view.id] if isinstance(i, Row) else i for i in ids]
         return forest.df.where(F.col(forest.id).isin(list(ids))).select(F.col(forest.id).alias("id"))
 
+    def _with_flags(self) -> TreeQuery:
+        """The query with a column for each tree operator that its filters hold, at whatever depth."""
+        found: list[tuple[str, Any]] = []
+
+        def look(x: Any) -> None:
+            if isinstance(x, dict):
+                found.extend((k.lower(), v) for k, v in x.items() if k.lower() in _OPERATORS)
+            for y in x.values() if isinstance(x, dict) else x if isinstance(x, (list, tuple)) else ():
+                look(y)
+
+        look([tree_of(f) for f in self.filters])
+        if not found:
+            return self
+        forest, key, df = self._forest(), self.view.id, self.view.df
+        columns: list[tuple[str, Any, Column]] = []
+        for k, (op, value) in enumerate(found):
+            flag = f"_tree_{k}"
+            if op == "$isroot":
+                test = F.col(self.view.parent).isNull()
+            elif op == "$childrenof":
+                test = F.coalesce(F.col(self.view.parent).isin(value if isinstance(value, list) else [value]), F.lit(False))
+            elif op == "$isleaf":
+                inner = _ids(links(forest), "parent_id").select(F.col("id").alias(key), F.lit(True).alias(flag))
+                df, test = df.join(inner, key, "left"), F.col(flag).isNull()
+            elif op == "$level":
+                level = levels(forest).select(F.col("id").alias(key), F.col("level").alias(flag))
+                df, test = df.join(level, key, "left"), F.lit(True)
+                for name, n in (value if isinstance(value, dict) else {"$eq": value}).items():
+                    if name.lower() not in _COMPARE:
+                        raise ValueError(f"unknown level condition {name}")
+                    test = test & _COMPARE[name.lower()](F.col(flag), F.lit(n))
+            else:
+                if op == "$descendantsof":
+                    ids = value if isinstance(value, list) else [value]
+                    walk = self._walk("descendants", (ids, None, False))
+                else:
+                    walk = self._walk("has_ancestor" if op == "$hasancestor" else "has_descendant", (value, None, None))
+                df = df.join(walk.select(F.col("id").alias(key), F.lit(True).alias(flag)), key, "left")
+                test = F.coalesce(F.col(flag), F.lit(False))
+            wanted = value if op in ("$isroot", "$isleaf") else True
+            columns.append((op, value, test if wanted else ~test))
+
+        def compiled(op: str) -> Any:
+            return lambda value: next(c for o, v, c in columns if o == op and (v is value or v == value))
+
+        return replace(self, view=self.view.with_df(df), extra={**self.extra, **{op: compiled(op) for op, _, _ in columns}})
+
     def filtered(self) -> DataFrame:
-        df = super().filtered()
+        df = Query.filtered(self._with_flags()).select(self.view.df.columns)
         forest, key = self._forest(), self.view.id
         for kind, value in self.tree:
             if kind == "roots":

@@ -283,3 +283,27 @@ def test_reference_and_compiler_columns(staff):
     q = Query(View(joined, {"id": "id"}, None, "Employee"))
     assert ids(q.where({"Project": {"$isNull": True}})) == list(range(0, 20, 2)) and ids(q.where({"Project.Age": {"$gt": 42}})) == [19]
     assert isinstance(Compiler(staff.view).filter({"Age": 1}), type(F.lit(1)))
+
+
+def test_tree_operators_in_filters(spark):
+    t = TreeQuery(forest(spark))
+    found = lambda f: sorted(r.id for r in t.where(f).df().collect())
+    assert found({"$or": [{"$isRoot": True}, {"$level": {"$gte": 3}}]}) == [1, 5, 6]
+    assert found({"$isLeaf": False}) == [1, 2, 4] and found({"$not": {"$isRoot": True}}) == [2, 3, 4, 5, 7]
+    assert found({"$descendantsOf": [2], "$isLeaf": True}) == [5] and found({"$childrenOf": 1, "name": "c"}) == [3]
+    assert found({"$hasAncestor": {"name": "b"}}) == [4, 5] and found({"$hasDescendant": {"name": "d"}, "$level": 0}) == [1]
+    with pytest.raises(ValueError):
+        found({"$level": {"$like": 1}})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from orrery.__main__ import main
+
+    table = "/root/testdata/sf0.001/nation.parquet"
+    main(["query", table, '{"n_regionkey": 1}', "--select", "n_name", "--take", "3"])
+    assert len([x for x in capsys.readouterr().out.splitlines() if "n_name" in x]) == 3
+    main(["schema", table])
+    schema = capsys.readouterr().out.strip().splitlines()[-1]
+    main(["export", str(tmp_path / "n.zip"), f"object={table}", "--compress"])
+    main(["import", str(tmp_path / "n.zip"), "object", schema, str(tmp_path / "out")])
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(spark.read.parquet(table).collect())
