@@ -21,6 +21,7 @@ of one id takes one bit per id.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,7 +39,7 @@ LIMIT = 16
 BLOCK_IDS = 1 << 16
 STRIDE = 256
 #: Pieces whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 800_000
 LONGEST_KEPT = 64
 SLICE_CHARS = 4_000_000
 
@@ -156,7 +157,18 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces; their words, which many pieces share, go to the library once."""
+        divided = {p: _words(p) for p in pieces}
+        words = {x for line in divided.values() for x in line}
+        found = {x: y for x in words if (y := self.known.get(x) or self.older.get(x)) is not None}
+        rest = [x for x in words if x not in found]
+        found.update(zip(rest, self._ids([x[1:] if x[:1] == "\n" else " " + x for x in rest]), strict=True))
+        out = {x: found[x] for x in rest}
+        out.update((p, b"".join([found[x] for x in line])) for p, line in divided.items())
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, packed, with the end id."""
@@ -178,15 +190,39 @@ class Encoder:
         known, older = self.known, self.older
         new = {p for p in new if p not in known}
         known.update((p, older[p]) for p in new if p in older)
-        learn = [p for p in new if p not in older]
-        found = self._ids([p[1:] if p[:1] == "\n" else " " + p for p in learn])
-        long = {p: x for p, x in zip(learn, found, strict=True) if len(p) > LONGEST_KEPT}
-        known.update((p, x) for p, x in zip(learn, found, strict=True) if len(p) <= LONGEST_KEPT)
+        learned = self._learn([p for p in new if p not in older])
+        known.update((p, x) for p, x in learned.items() if len(p) <= LONGEST_KEPT)
+        long = {p: x for p, x in learned.items() if len(p) > LONGEST_KEPT}
         rest = iter(self._ids(whole))
         get = known.__getitem__ if not long else (lambda p: known[p] if len(p) <= LONGEST_KEPT else long[p])
         return [(next(rest) if pieces is None else b"".join(map(get, pieces))) + self.end for pieces in cut]
 
 
+_MARKS = ".,;:!?*#&%$|"
+
+
+def _words(piece: str) -> list[str]:
+    """A piece cut where the pre-tokenizer cuts in any case: around single line ends, and between a letter and marks at a line's end.
+
+    Parts without a blank before them begin with a line end as their mark, as pieces do.
+    """
+    open_, body = (piece[:1], piece[1:]) if piece[:1] == "\n" else ("", piece)
+    lines = body.split("\n")
+    if "" in lines or " " in body or not "".join(lines).isprintable():
+        return [piece]
+    out = []
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n\n")  # the line end itself
+            open_ = "\n"
+        core = line.rstrip(_MARKS)
+        if core and core != line and core[-1].isalpha():
+            out += [open_ + core, "\n" + line[len(core) :]]
+        else:
+            out.append(open_ + line)
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, end: int) -> Encoder:
     """One for all tasks of a worker."""
@@ -210,6 +246,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; Spark runs the others
         one = encoder(path, end)
         for batch in batches:
             texts = batch.column(1).to_pylist()
