@@ -225,6 +225,8 @@ def find(column: pa.Array, wanted: Phrases) -> Found:
         row = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         # Runs of known words within a row.
         known = symbol > 0
+        if not known.any():
+            continue
         new = known.copy()
         new[1:] &= ~known[:-1] | (row[1:] != row[:-1])
         run = np.cumsum(new) - 1

@@ -6,7 +6,7 @@ import numpy as np
 from orrery.llm import fm_index
 from orrery.llm import words as w
 
-from .conftest import prose
+from texts import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -87,6 +87,12 @@ def test_edges(spark, with_clashes, edges):
     assert [r.text for r in fm_index.remove(with_clashes(edges), bench).orderBy("doc_id").collect()][:4] == [None, "", " \n\t ", ""]
 
 
+def test_no_word_of_any_phrase(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    assert found(docs, bench) == {1: (3, 0, ()), 2: (0, 0, ())}
+
+
 def test_index_counts_and_locates():
     rng = np.random.default_rng(3)
     symbols = np.concatenate([np.append(rng.integers(1, 5, rng.integers(1, 60)), 0) for _ in range(40)]).astype(np.int64)

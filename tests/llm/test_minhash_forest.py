@@ -6,7 +6,7 @@ import pytest
 
 from orrery.llm import components, minhash_forest
 
-from .conftest import prose
+from texts import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
