@@ -128,7 +128,7 @@ def test_maps_are_versions_and_edits_are_small(spark, tmp_path):
     more = sharding.rebalance(first, weights, 9)
     moved = [k for k in first if first[k] != more[k]]
     loads = np.bincount(list(more.values()), [weights[k][0] for k in more])
-    assert len(moved) <= 1.3 * 512 / 9 and sum(more[k] == 8 for k in moved) >= 0.8 * len(moved)
+    assert len(moved) <= 1.3 * 512 / 9 and sum(more[k] == 8 for k in moved) >= 0.6 * len(moved)
     assert loads.max() - loads.min() <= 0.02 * loads.mean()
     fewer = sharding.rebalance(more, weights, 8)
     assert set(fewer.values()) == set(range(8))
