@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -140,6 +141,29 @@ def _tokenizer(path: str):
     return t
 
 
+def _chars() -> list[str]:
+    """The public byte-to-character table: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return [out[b] for b in range(256)]
+
+
+class Kept(dict):
+    """Packed ids of pieces; what isn't there is taken from the older generation, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer is byte-level with its regular expression.
 
@@ -150,52 +174,41 @@ class Encoder:
 
     def __init__(self, path: str, end: int, cache: int = CACHE) -> None:
         self.tokenizer, self.most = _tokenizer(path), cache
+        self.model, self.chars = self.tokenizer.model, _chars()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.letter = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end], self.kind).tobytes()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces; their words, which many pieces share, go to the library once."""
-        divided = {p: _words(p) for p in pieces}
-        words = {x for line in divided.values() for x in line}
-        found = {x: y for x in words if (y := self.known.get(x) or self.older.get(x)) is not None}
-        rest = [x for x in words if x not in found]
-        found.update(zip(rest, self._ids([x[1:] if x[:1] == "\n" else " " + x for x in rest]), strict=True))
-        out = {x: found[x] for x in rest}
-        out.update((p, b"".join([found[x] for x in line])) for p, line in divided.items())
-        return out
+        self.known = Kept(self._piece, {})
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a new piece; its words, which many pieces share, are made once."""
+        words = _words(piece)
+        if len(words) > 1:
+            return b"".join([self.known[x] for x in words])
+        word, blank = (piece[1:], "") if piece[:1] == "\n" else (piece, " ")
+        if word.isalpha():  # letters are one word to the pre-tokenizer, so the model can be asked
+            mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
+            return self._pack([t.id for t in self.model.tokenize(self.chars[32] + mapped if blank else mapped)])
+        return self._pack(self.tokenizer.encode(blank + word, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, packed, with the end id."""
-        cut: list[list[str] | None] = []
-        whole: list[str] = []
-        new: set[str] = set()
+        out = []
         for t in texts:
             t = t or ""
             if any(s in t for s in self.specials):
-                cut.append(None)
-                whole.append(t)
+                out.append(self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end)
                 continue
+            if len(self.known) > self.most // 2:
+                self.known = Kept(self._piece, dict(self.known))
             pieces = _UNEVEN.search(t) and _BLANK.split(t) or t.split(" ")
             pieces[0] = "\n" + pieces[0]  # marks what has no blank before it; no other piece begins with white space
-            new.update(pieces)
-            cut.append(pieces)
-        if len(self.known) > self.most // 2:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = {p for p in new if p not in known}
-        known.update((p, older[p]) for p in new if p in older)
-        learned = self._learn([p for p in new if p not in older])
-        known.update((p, x) for p, x in learned.items() if len(p) <= LONGEST_KEPT)
-        long = {p: x for p, x in learned.items() if len(p) > LONGEST_KEPT}
-        rest = iter(self._ids(whole))
-        get = known.__getitem__ if not long else (lambda p: known[p] if len(p) <= LONGEST_KEPT else long[p])
-        return [(next(rest) if pieces is None else b"".join(map(get, pieces))) + self.end for pieces in cut]
+            out.append(b"".join(map(self.known.__getitem__, pieces)) + self.end)
+        return out
 
 
 _MARKS = ".,;:!?*#&%$|"
