@@ -45,6 +45,8 @@ AGREE = 40
 BLOCK = 512
 #: Ids of 8 bytes that are broadcast at most; beyond that the join is a shuffled one.
 BROADCAST_IDS = 4_000_000
+#: Keys of dense regions, likewise.
+BROADCAST_BUCKETS = 1_000_000
 
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0xA5A5F00D12345678)
@@ -341,8 +343,8 @@ def near_duplicates(
     dense = dense.select(bucket.alias("bucket"), "label", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     dense = saved(dense.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "dense")
     mixed = dense.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = mixed.where("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = dense.join(mixed, "bucket").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = saved(mixed.where("low < high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rest = dense.join(small(mixed, BROADCAST_BUCKETS), "bucket").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "label", "rep", "comp"
     )
