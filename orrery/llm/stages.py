@@ -29,8 +29,14 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What Spark hands to Python at a time, in rows and bytes: long texts times Spark's 10,000 rows would take hundreds of MB in each of two processes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Gives the executors this package, once per context."""
+    """Gives the executors this package, once per context, and bounds the batches of this session."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if not getattr(context, "_orrery_shipped", False):
         root = Path(__file__).resolve().parents[1]
