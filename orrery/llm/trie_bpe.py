@@ -32,7 +32,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 500_000
+CACHE = 250_000
+#: Pairs of tokens whose fit a worker keeps.
+PAIRS = 400_000
 #: Longer pieces between white space are not kept between batches.
 LONGEST_KEPT = 64
 
@@ -88,7 +90,7 @@ class Vocabulary:
         key = (a, b)
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > PAIRS:
                 self.beside.clear()
             known = self.beside[key] = self._may_follow(a, b)
         return known
