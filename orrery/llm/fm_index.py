@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as w
 from .stages import saved
@@ -262,7 +263,7 @@ def _merged(found: Found) -> tuple[np.ndarray, np.ndarray]:
 SPAN = "array<struct<first_word: long, end_word: long, first_byte: long, end_byte: long>>"
 
 
-def _report(wanted_b, with_text: bool, names: list[str], text_at: int):
+def _report(wanted_b, names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Phrases = wanted_b.value
         for batch in batches:
@@ -272,20 +273,6 @@ def _report(wanted_b, with_text: bool, names: list[str], text_at: int):
             found = find(column, wanted)
             rows, spans = _merged(found)
             n = batch.num_rows
-            if with_text:
-                texts = column.to_pylist()
-                cuts: dict[int, list[np.ndarray]] = {}
-                for r, s in zip(rows.tolist(), spans, strict=True):
-                    cuts.setdefault(r, []).append(s)
-                for r, parts in cuts.items():
-                    raw, at, left = texts[r].encode(), 0, []
-                    for s in parts:
-                        left.append(raw[at : s[2]])
-                        at = s[3]
-                    texts[r] = b"".join([*left, raw[at:]]).decode()
-                columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                continue
             n_hit = np.bincount(found.hits[0], minlength=n)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
             span = pa.StructArray.from_arrays([pa.array(spans[:, k]) for k in range(4)], ["first_word", "end_word", "first_byte", "end_byte"])
@@ -304,6 +291,55 @@ def _report(wanted_b, with_text: bool, names: list[str], text_at: int):
     return run
 
 
+def _joined(rows: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of several blocks' spans those of a row that overlap or touch become one; in order."""
+    order = np.lexsort((spans[:, 0], rows))
+    rows, spans = rows[order], spans[order]
+    own = rows << 32  # words and bytes of a row are fewer
+    end, end_byte = (np.maximum.accumulate(spans[:, k] + own) for k in (1, 3))
+    new = np.ones(len(rows), bool)
+    new[1:] = spans[1:, 0] + own[1:] > end[:-1]
+    a = np.flatnonzero(new)
+    b = np.concatenate([a[1:], [len(rows)]]) - 1 if len(a) else a
+    return rows[a], np.stack([spans[a, 0], end[b] - own[b], spans[a, 2], end_byte[b] - own[b]], axis=1)
+
+
+def _removal(wanted_b, names: list[str], text_at: int, first: bool, last: bool):
+    """A pass of remove(): the block's spans are added to those of the passes before, in a column behind the others; the last pass cuts them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: Phrases = wanted_b.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = list(batch.columns)
+            rows, spans = _merged(find(columns[text_at], wanted))
+            if not first:
+                earlier = columns.pop().to_pylist()
+                rows = np.concatenate([np.repeat(np.arange(n), [len(e) // 32 for e in earlier]), rows])
+                spans = np.concatenate([np.frombuffer(b"".join(earlier), np.int64).reshape(-1, 4), spans])
+                rows, spans = _joined(rows, spans)
+            if last:
+                texts = columns[text_at].to_pylist()
+                cuts: dict[int, list[np.ndarray]] = {}
+                for r, s in zip(rows.tolist(), spans, strict=True):
+                    cuts.setdefault(r, []).append(s)
+                for r, parts in cuts.items():
+                    raw, at, left = texts[r].encode(), 0, []
+                    for s in parts:
+                        left.append(raw[at : s[2]])
+                        at = s[3]
+                    texts[r] = b"".join([*left, raw[at:]]).decode()
+                columns[text_at] = pa.array(texts, pa.string())
+            else:
+                at = np.searchsorted(rows, np.arange(n + 1))
+                columns.append(pa.array([spans[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[Phrases]:
     """The phrases of the items, read in blocks of about BLOCK_WORDS words; a block is all that the driver holds."""
     held, size = [], 0
@@ -329,11 +365,11 @@ def occurrences(
     blocks = list(_blocks(benchmark, item, item_text, window)) or [phrases([])]
     schema = f"doc_id {kind}, n_words long, n_hit long, spans {SPAN}, items array<string>"
     if len(blocks) == 1:
-        return docs.mapInArrow(_report(spark.sparkContext.broadcast(blocks[0]), False, names, 1), schema)
+        return docs.mapInArrow(_report(spark.sparkContext.broadcast(blocks[0]), names, 1), schema)
     docs = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same rows in every pass
     found = []
     for block in blocks:
-        run = _report(spark.sparkContext.broadcast(block), False, ["row", *names[1:]], 1)
+        run = _report(spark.sparkContext.broadcast(block), ["row", *names[1:]], 1)
         found.append(docs.select("row", "text").mapInArrow(run, schema.replace(f"doc_id {kind}", "row long")))
     parts = found[0]
     for more in found[1:]:
@@ -363,9 +399,16 @@ def occurrences(
 def remove(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """All rows and columns of ``docs``; from the texts, every merged span is cut from its first word's start to its last word's end."""
+    """All rows and columns of ``docs``; from the texts, every merged span is cut from its first word's start to its last word's end.
+
+    Each block is searched in the texts as given, and all are cut at once, so the result doesn't depend on the blocks.
+    """
     spark = docs.sparkSession
-    for block in _blocks(benchmark, item, item_text, window):
-        run = _report(spark.sparkContext.broadcast(block), True, docs.columns, docs.columns.index(text))
-        docs = docs.mapInArrow(run, docs.schema)
+    shared = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, item, item_text, window)]
+    schema, names, text_at = docs.schema, docs.columns, docs.columns.index(text)
+    extra = "_spans" + "_" * max(map(len, names))
+    for k, block in enumerate(shared):
+        last = k == len(shared) - 1
+        out = schema if last else T.StructType([*schema.fields, T.StructField(extra, T.BinaryType())])
+        docs = docs.mapInArrow(_removal(block, names if last else [*names, extra], text_at, k == 0, last), out)
     return docs

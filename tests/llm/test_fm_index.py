@@ -79,6 +79,22 @@ def test_removal(spark, rng, with_clashes):
         assert hit or r.text == dict(docs)[r.doc_id]
 
 
+def test_removal_does_not_depend_on_blocks(spark, rng, with_clashes, monkeypatch):
+    docs, items = make(rng)
+    passage = " ".join(f"w{k}" for k in range(30))
+    items = [("short", "w14"), *items, ("whole", passage), ("near", passage.replace("w20", "x20")), ("next", " ".join(f"v{k}" for k in range(12)))]
+    docs += [(10_001, f"Before {passage}, after."), (10_002, f"é {passage.replace('w20', 'x20')} {items[-1][1]}\nend"), (10_003, None)]
+    df, bench = with_clashes(docs), spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    want = {r.doc_id: r.text for r in fm_index.remove(df, bench).collect()}
+    assert (want[10_001], want[10_002]) == ("Before , after.", "é \nend")
+    for most in (1, 200):
+        monkeypatch.setattr(fm_index, "BLOCK_WORDS", most)
+        clean = fm_index.remove(df, bench if most > 1 else bench.where("item_id in ('short', 'whole', 'near', 'next')"))
+        assert clean.schema == df.schema
+        got = {r.doc_id: r.text for r in clean.collect()}
+        assert got == want if most > 1 else all(got[k] == want[k] for k in (10_001, 10_002, 10_003))
+
+
 def test_edges(spark, with_clashes, edges):
     bench = spark.createDataFrame([(1, "one"), (2, "a b"), (3, None)], "item_id long, text string")
     assert found(with_clashes(edges), bench) == expected(edges, [(1, "one"), (2, "a b"), (3, None)])
