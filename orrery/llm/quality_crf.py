@@ -350,12 +350,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS) -> Model:
-    """Learns from at most ``most`` labelled documents, those of smallest hash; rows of held_out() are left out."""
+    """Learns from at most ``most`` labelled documents, those of smallest hash; rows of held_out() are left out.
+
+    A document counts once for each label it has, however many rows it has; of different texts the one of smallest hash is taken.
+    """
     known = labels.where(labels[label].isNotNull() & ~held_out(labels[key])).select(labels[key].alias("_key"), labels[label].cast("int").alias("_label"))
-    known = known.orderBy(F.xxhash64("_key"), "_key", "_label").limit(most)
+    known = known.distinct().orderBy(F.xxhash64("_key"), "_key", "_label").limit(most)
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).join(F.broadcast(known), "_key")
+    rows = rows.groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text"))["_text"].alias("_text"))
     rows = rows.select("_label", "_text").mapInArrow(_sampled, "label int, lengths binary, bins binary")
-    rows = rows.orderBy("label", "lengths", "bins").limit(most)  # a key may have many rows
     samples = [
         (r.label, np.frombuffer(r.lengths, np.int64), np.frombuffer(r.bins, np.uint8).reshape(-1, N_FEATURES)) for r in rows.toLocalIterator()
     ]

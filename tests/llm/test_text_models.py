@@ -116,6 +116,33 @@ def test_held_out_labels_are_not_used(spark):
     assert np.array_equal(a.own, b.own) and a.slope == b.slope
 
 
+def test_repeated_rows_do_not_change_the_sample(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    most = 200
+    want = quality_crf.fit(docs, labels, most=most)
+    from pyspark.sql import functions as F
+
+    used = labels.where(~quality_crf.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(most)
+    hot = docs.join(used.where("quality = 0").limit(1).select("doc_id"), "doc_id").select(docs.columns)
+    for more_docs, more_labels in (
+        (docs.union(docs), labels),
+        (docs.union(hot.crossJoin(spark.range(most)).select(docs.columns)), labels),
+        (docs, labels.union(labels)),
+    ):
+        got = quality_crf.fit(more_docs, more_labels, most=most)
+        assert got.shift == want.shift and np.array_equal(got.own, want.own) and got.slope == want.slope
+
+
+def test_different_texts_of_a_key_count_once(spark):
+    bad, good = "# | # |\n$$$ !!! ###", "These are the fine words of a line.\nAnd this is another one."
+    docs = [(k, good if k % 2 else bad) for k in range(40)] + [(0, f"{bad} {k}") for k in range(100)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [quality_crf.fit(df.repartition(n), labels, most=40) for n in (1, 7)]
+    scores = {r.text: r.score for r in quality_crf.with_scores(df, models[0]).collect()}
+    assert scores[good] > 0.5 > scores[bad]
+    assert np.array_equal(models[0].own, models[1].own)
+
+
 def test_quality_edges(spark, with_clashes, edges):
     labels = spark.createDataFrame([(7, 1), (8, 0), (4, 1), (1, 0), (None, 1), (5, None)], "doc_id long, quality int")
     df = with_clashes(edges)
