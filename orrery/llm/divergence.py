@@ -9,8 +9,9 @@ length.  Guards: with fewer than ``MIN_CHARS`` characters the classes don't coun
 document, with fewer than ``MIN_WORDS`` words the common words don't.
 
 Scale: one pass over the texts writes counts (about 0.4 kB a document); the references are
-their sums by language, of which the ``MOST_LANGUAGES`` with most documents become
-references, so what the driver holds and sends has a fixed size.
+their sums by language, about 1 kB each and one for every language.  They are sent in blocks
+of ``BLOCK_LANGUAGES``; the driver holds one block at a time, and a task scores its documents
+against block after block, keeping the nearest so far.
 
 Edge cases: null and empty texts have zero counts and fail the base rule of words; a null
 language is a language of its own; repeated rows are judged alike; without any documents
@@ -19,7 +20,7 @@ there is no reference and nothing to judge.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ MIN_WORDS = 50
 #: The limit of a distance: the first, plus the second over the square root of the counts.
 MAX_CLASSES = (0.17, 1.5)
 MAX_WORDS = (0.15, 2.5)
-MOST_LANGUAGES = 64
+BLOCK_LANGUAGES = 1024
 
 MIN_WORDS_BASE = 20
 MAX_REPEAT_PERCENT = 30
@@ -186,15 +187,25 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def references(measured: DataFrame, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages, and their summed histograms as rows."""
+def references(measured: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """All languages, those of most documents first, and their summed histograms as rows; in blocks."""
     sums = measured.select(F.coalesce("lang", F.lit("")).alias("lang"), "histogram").mapInArrow(_language_sums, "lang string, bin int, total long")
-    sums = saved(sums.groupBy("lang", "bin").agg(F.sum("total").alias("total")), "references")
-    langs = [r.lang for r in sums.where("bin = -1").orderBy(F.desc("total"), "lang").limit(most).collect()]
-    table = np.zeros((len(langs), WIDTH))
-    for r in sums.where(F.col("lang").isin(langs) & (F.col("bin") >= 0)).collect():  # at most `most` times WIDTH rows
-        table[langs.index(r.lang), r.bin] = r.total
-    return langs, table
+    sums = sums.groupBy("lang", "bin").agg(F.sum("total").alias("total"))
+    bins = F.collect_list(F.struct("bin", "total")).alias("bins")  # WIDTH + 1 at most
+    rows = saved(sums.groupBy("lang").agg(F.max(F.when(F.col("bin") == -1, F.col("total"))).alias("n_docs"), bins), "references")
+    langs, table = [], []
+    for lang, _, counts in rows.orderBy(F.desc("n_docs"), "lang").toLocalIterator():
+        row = np.zeros(WIDTH)
+        for k, total in counts:
+            if k >= 0:
+                row[k] = total
+        langs.append(lang)
+        table.append(row)
+        if len(langs) >= BLOCK_LANGUAGES:
+            yield langs, np.stack(table)
+            langs, table = [], []
+    if langs:
+        yield langs, np.stack(table)
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -216,32 +227,37 @@ def distance(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
 Limits = tuple[tuple[float, float], tuple[float, float], int, int]
 
 
-def verdicts(histogram: np.ndarray, table: np.ndarray, limits: Limits) -> tuple[np.ndarray, ...]:
-    """The nearest reference, distances of classes and words from it, and whether both are within the limits or guarded."""
+def verdicts(histogram: np.ndarray, blocks: Iterable[tuple[list[str], np.ndarray]], limits: Limits) -> tuple[np.ndarray, ...]:
+    """The nearest language, distances of classes and words from it, and whether both are within the limits or guarded."""
     max_classes, max_words, min_chars, min_words = limits
-    if not len(table):
-        zero = np.zeros(len(histogram))
-        return zero.astype(np.int64), zero, zero, np.ones(len(histogram), bool)
-    classes = distance(histogram[:, :CLASSES], table[:, :CLASSES])
-    common = distance(histogram[:, CLASSES:], table[:, CLASSES:])
-    near = np.argmin(classes + common, axis=1)
-    at = np.arange(len(near))
+    n = len(histogram)
+    near, class_distance, word_distance = np.full(n, None, object), np.zeros(n), np.zeros(n)
+    least, at = np.full(n, np.inf), np.arange(n)
+    for langs, table in blocks:
+        classes = distance(histogram[:, :CLASSES], table[:, :CLASSES])
+        common = distance(histogram[:, CLASSES:], table[:, CLASSES:])
+        both = classes + common
+        k = np.argmin(both, axis=1)
+        nearer = np.flatnonzero(both[at, k] < least)
+        k = k[nearer]
+        least[nearer] = both[nearer, k]
+        near[nearer] = np.array(langs, object)[k]
+        class_distance[nearer], word_distance[nearer] = classes[nearer, k], common[nearer, k]
     chars, n_words = histogram[:, :CLASSES].sum(axis=1), histogram[:, CLASSES:].sum(axis=1)
-    good = (classes[at, near] <= max_classes[0] + max_classes[1] / np.sqrt(np.maximum(chars, 1))) | (chars < min_chars)
-    good &= (common[at, near] <= max_words[0] + max_words[1] / np.sqrt(np.maximum(n_words, 1))) | (n_words < min_words)
-    return near, classes[at, near], common[at, near], good
+    good = (class_distance <= max_classes[0] + max_classes[1] / np.sqrt(np.maximum(chars, 1))) | (chars < min_chars)
+    good &= (word_distance <= max_words[0] + max_words[1] / np.sqrt(np.maximum(n_words, 1))) | (n_words < min_words)
+    return near, class_distance, word_distance, good
 
 
-def _judged(shared, limits: Limits):
+def _judged(shared: list, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near, classes, common, good = verdicts(_histograms(batch.column(7)), table, limits)
+            near, classes, common, good = verdicts(_histograms(batch.column(7)), (block.value for block in shared), limits)
             n_words, n_repeat = batch.column(2).to_numpy(), batch.column(6).to_numpy()
             failed = (n_words < MIN_WORDS_BASE) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-            nearest = pa.array([langs[k] if langs else None for k in near], pa.string())
+            nearest = pa.array(near, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[batch.column(k) for k in range(2, 7)], pa.array(failed), pa.array(~failed & good), nearest, pa.array(classes), pa.array(common)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance"],
@@ -265,7 +281,7 @@ def judge(
     rows = docs.select(docs[key].alias("doc_id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     measured = saved(rows.mapInArrow(_measured, f"doc_id {kind}, lang string, {counts}, histogram binary"), "measured")
-    shared = docs.sparkSession.sparkContext.broadcast(references(measured))
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in references(measured)]
     return measured.mapInArrow(
         _judged(shared, (max_classes, max_words, min_chars, min_words)),
         f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double",

@@ -49,6 +49,17 @@ def test_divergence_edges(with_clashes, edges):
     assert divergence.judge(with_clashes(edges).limit(0)).count() == 0
 
 
+def test_every_language_has_a_reference(spark, monkeypatch):
+    # Language k has its own share of digits; the last one has the fewest documents.
+    texts = {k: " ".join(f"{i:05b}".translate({48: "a", 49: "b"}) + "a" * (95 - k) + "1" * k for i in range(30)) for k in range(70)}
+    rows = [(100 * k + i, texts[k], f"l{k:02}") for k in texts for i in range(2 if k < 69 else 1)] + [(9999, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = divergence.judge(df).collect()
+    assert all(r.nearest == f"l{r.doc_id // 100:02}" and r.class_distance < 1e-6 and r.kept for r in out if r.doc_id != 9999)
+    monkeypatch.setattr(divergence, "BLOCK_LANGUAGES", 3)
+    assert sorted(out) == sorted(divergence.judge(df).collect())
+
+
 def test_distance_is_of_jensen_shannon():
     a, b = np.array([[3.0, 1.0, 0.0]]), np.array([[0.0, 1.0, 3.0]])
     p, q = a / 4, b / 4
