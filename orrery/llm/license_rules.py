@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition.
 
-Texts are cut into sentences, in two ways: at full stops only, as in wrapped licence texts,
-and at line ends as well, as in notices that stand alone.  A sentence is normalised to its
+Texts are cut into sentences, in three ways: at full stops only, as in wrapped licence texts;
+at line ends as well, as in notices that stand alone; and at full stops, blank lines and
+colons before a line end, as in notices below a title or above a list.  A sentence is normalised to its
 words, without case and punctuation; known ones have identifiers.  A licence rule is a
 sequence of identifiers; it matches where its identifiers follow each other among the known
 sentences of a document, in order, with at most ``MAX_GAP`` other words in between.  A rule
@@ -14,6 +15,7 @@ notice is matched each time and named once.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -79,6 +81,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         ),
     ),
+    (
+        "MIT",  # as above, cut at the colon
+        (
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+        ),
+    ),
 )
 
 _STOP = np.zeros(256, bool)
@@ -96,32 +106,38 @@ class Sentences:
     hashed: np.ndarray
 
 
-def sentences(chunk: w.Chunk, at_lines: bool) -> Sentences:
-    """A sentence ends at a full stop, question or exclamation mark before white space or the end, and at line ends if asked."""
+def sentences(chunk: w.Chunk) -> Iterator[Sentences]:
+    """In each of the three ways.  A full stop, question or exclamation mark before white space or the end is a stop, but not that of a "v." before a number."""
     data = chunk.data
     starts, ends, firsts = w.spans(chunk, w.ALNUM)
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return Sentences(none, none, none, none.astype(np.uint64))
+        return
     follows = np.ones(len(data), bool)
     follows[:-1] = _BLANK[data[1:]]
     last = chunk.bounds[1:][np.diff(chunk.bounds) > 0] - 1
     follows[last] = True
-    stop = _STOP[data] & follows
-    if at_lines:
-        stop |= data == 10
-    stops = np.concatenate([[0], np.cumsum(stop)])
+
+    def between(marks: np.ndarray) -> np.ndarray:
+        """How many marks are behind each word and before the next."""
+        sums = np.concatenate([[0], np.cumsum(marks)])
+        return sums[starts[1:]] - sums[ends[:-1]]
+
+    stops = between(_STOP[data] & follows)
+    version = (ends - starts == 1)[:-1] & (data[starts[:-1]] | 32 == ord("v")) & (data[ends[:-1]] == ord("."))
+    version &= (data[starts[1:]] >= ord("0")) & (data[starts[1:]] <= ord("9"))
+    stop = stops > version
+    lines, colons = between(data == 10), between(data == ord(":"))
     row = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    new = np.ones(len(starts), bool)
-    new[1:] = (stops[starts[1:]] > stops[ends[:-1]]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    end = np.concatenate([first[1:], [len(starts)]])
+    other = row[1:] != row[:-1]
     hashed = w.hashes(data, starts, ends)
     up, down = w.powers(len(hashed) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
-    folded = w.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
-    base = firsts[:-1][row[first]]
-    return Sentences(row[first], first - base, end - base, folded)
+    for cut in (stop, stop | (lines > 0), stop | (lines > 1) | ((lines > 0) & (colons > 0))):
+        first = np.flatnonzero(np.concatenate([[True], cut | other]))
+        end = np.concatenate([first[1:], [len(starts)]])
+        folded = w.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+        base = firsts[:-1][row[first]]
+        yield Sentences(row[first], first - base, end - base, folded)
 
 
 class Rules:
@@ -141,8 +157,7 @@ class Rules:
     def identify(self, chunk: w.Chunk) -> list[tuple[int, int, int, int]]:
         """Row, first word, end word and identifier of each known sentence, in order."""
         found = set()
-        for at_lines in (False, True):
-            s = sentences(chunk, at_lines)
+        for s in sentences(chunk):
             place = np.searchsorted(self.hashes, s.hashed)
             place[place == len(self.hashes)] = 0
             hit = np.flatnonzero(self.hashes[place] == s.hashed)
@@ -151,15 +166,17 @@ class Rules:
 
     def match(self, line: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple[str, int, int]]:
         """Licence, first and end word of each match in a document's (first, end, identifier) sentences; none inside a longer one."""
-        out = []
-        for k, (first, _, identifier) in enumerate(line):
+        out, firsts = [], [x[0] for x in line]
+        for first, behind, identifier in line:
             for name, sequence in self.rules.get(identifier, ()):
-                end, at = line[k][1], k
+                end = behind
                 for wanted in sequence[1:]:
-                    at += 1
-                    if at >= len(line) or line[at][2] != wanted or line[at][0] - end > gap:
+                    # The next known sentences; there may be some of one start, as texts are cut in several ways.
+                    at = bisect_left(firsts, end)
+                    found = [x for x in line[at : bisect_right(firsts, firsts[at])] if x[2] == wanted] if at < len(line) and firsts[at] - end <= gap else []
+                    if not found:
                         break
-                    end = line[at][1]
+                    end = found[0][1]
                 else:
                     out.append((name, first, end))
         reach, kept = -1, []

@@ -1,5 +1,6 @@
 import hashlib
 import heapq
+import textwrap
 import zlib
 
 import numpy as np
@@ -197,6 +198,110 @@ def test_license_rules(spark):
     assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["Apache-2.0", "CC-BY-NC-4.0"], 5: ["Apache-2.0"], 6: [], 7: ["MIT"], 8: [], 9: [], 10: []}
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+""",
+    "Apache-2.0": """Copyright 2020 Some Body
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "GPL-3.0-or-later": """A program
+    Copyright (C) 2020  Some Body
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "GPL-2.0-or-later": """A program
+    Copyright (C) 2020  Some Body
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "MPL-2.0": """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "BSD": """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+""",
+    "ISC": """Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.
+""",
+}
+
+
+def test_rules_are_found_in_wrapped_notices(spark):
+    names = list(NOTICES)
+    docs = list(enumerate(NOTICES.values()))
+    docs += [(100 + k, t.replace("\n", "\r\n")) for k, t in docs]
+    got = scan(spark, docs)
+    assert got == {k: [names[k % 100]] for k, _ in docs}
+    wrapped = [(k, "A title\n\n" + textwrap.fill(". ".join(texts) + ".", 50) + "\n\nMore words") for k, (_, texts) in enumerate(license_rules.RULES)]
+    got = scan(spark, wrapped)
+    assert got == {k: [name] for k, (name, _) in enumerate(license_rules.RULES)}
+
+
+def test_versions_end_no_sentence(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"
+    rows = [(1, mpl), (2, f"Words\n{mpl}.\nWords"), (3, mpl.replace("v. ", "v.\n")), (4, mpl.replace("v. 2.0", "v. x")), (5, mpl.replace("License, v", "License. V"))]
+    got = scan(spark, rows)
+    assert {k for k, v in got.items() if v == ["MPL-2.0"]} == {1, 2, 3} and not got[4] and not got[5]
+
+
 def test_license_edges(with_clashes, edges):
     assert all(r.licenses == [] and r.matches == [] for r in license_rules.scan(with_clashes(edges)).collect())
     assert license_rules.scan(with_clashes(edges).limit(0)).count() == 0
