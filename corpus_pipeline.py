@@ -22,10 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of smallest id stays; of repeated rows of one id all do."""
-    found = saved(minhash_forest.near_duplicates(shipped(spark) and docs), "near")
-    copies = found.where(~F.col("kept")).select("doc_id")
-    return docs.join(small(copies, minhash_forest.BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+    """Of each component one row stays, that of smallest id; of equal ids any one, and a null id only if there is no other.
+
+    Each row is a document of its own: of repeated rows, of one id or of null ids, one stays, and rows of one id that
+    are no near copies all do.
+    """
+    rows = saved(shipped(spark) and docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # the same ids in every pass
+    found = saved(minhash_forest.near_duplicates(rows.select("_row", "text"), key="_row"), "near").select(F.col("doc_id").alias("_row"), "component_id", "kept")
+    shared = found.where(~F.col("kept")).select("component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    members = found.join(shared, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row").select("component_id", order.alias("at"))
+    best = members.groupBy("component_id").agg(F.min("at").alias("best"))
+    copies = saved(members.join(best, "component_id").where(F.col("at") != F.col("best")).select("at._row"), "copies")
+    return rows.join(small(copies, minhash_forest.BROADCAST_IDS), "_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import __spark_entry__
 import corpus_pipeline
 from orrery.llm import fm_index, minhash_forest, pii_crf
 
+from texts import prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -40,3 +42,15 @@ def test_nulls_go_through(spark, with_clashes, edges):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).checkpoint()
     assert docs.count() >= 1
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, with_clashes, rng):
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, a), (9, a), (3, a), (3, a), (None, b), (None, b), (None, f"{b} more"), (5, c), (5, d), (None, e)]
+    docs = with_clashes(rows)
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF)
+        assert out.schema == docs.schema
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(got) == 5 and {(3, a), (5, c), (5, d), (None, e)} < set(got)
+        assert sum(i is None and t.startswith(b) for i, t in got) == 1
