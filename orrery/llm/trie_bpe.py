@@ -5,40 +5,53 @@ the prefix without its last token, and that token.  So a prefix needs one token
 found among the tokens that end there as the one that may stand behind the state before it.
 Distinct words are put in order, which is the depth-first order of their trie; the path from
 the root is kept, and a word starts from the states of the prefix that it shares with the
-word before.  A word's last symbol carries the word end, so it is a branch of its own.
+word before.  A word's last symbol carries the word end, so it is a branch of its own.  The
+tokens that end at a place come from an automaton over the tokens' texts, whose state is the
+longest end of the prefix that begins a token (its steps are made as they are met, by suffix
+links).
 
 Two tokens may stand side by side if merging their text doesn't join anything across the
 boundary: the merges that made them are undone, latest first, and no pair at the boundary may
 have a merge that comes earlier than what was undone (of equal ones the left is first).
 
-Scale: a map over the documents without a shuffle.  Each task keeps what white space divides
-in a cache of at most ``CACHE`` entries, and runs the trie on what is new in a batch.
+Scale: a map over the documents without a shuffle.  A worker keeps the ids of words in two
+generations of about ``CACHE`` entries together: when the newer is full, the older goes, but for
+what is met again.  The trie runs over the words of some texts that are in neither.
 
 Edge cases: null and empty texts have no ids and decode to nothing; special tokens in a text
-are found first, as the library does; equal rows are encoded alike.
+are found first, as the library does; equal rows are encoded alike; an empty table has no
+rows.  A text of any length is encoded whole, and its words above ``LONGEST_KEPT`` characters are
+not kept.  Columns other than the key and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 250_000
-#: Pairs of tokens whose fit a worker keeps.
+from .stages import lean
+
+CACHE = 500_000
+#: Pairs of tokens whose fit a worker keeps, and steps of the automaton.
 PAIRS = 400_000
-#: Longer pieces between white space are not kept between batches.
+STEPS = 300_000
+#: Longer words are not kept between batches.
 LONGEST_KEPT = 64
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The same for texts of ASCII in lower case.
+_ASCII_PIECE = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9]+")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -79,22 +92,41 @@ class Vocabulary:
             made = ids[a + b]
             self.pairs[ids[a], ids[b]] = r
             self.left[made], self.right[made], self.rank[made] = ids[a], ids[b], r
-        self.tails = {raw[k:] for raw in self.inner for k in range(len(raw))}
-        self.final_tails = {raw[k:] for raw in self.final for k in range(len(raw))}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.span = len(self.names)
+        self.beside: dict[int, bool] = {}  # by the left token times span, and the right one
+        #: The automaton: beginnings of tokens, the states met so far, their texts and tokens, and steps by state and byte.
+        self.heads = {raw[:k] for table in (self.inner, self.final) for raw in table for k in range(len(raw) + 1)}
+        self.state_of = {b"": 0}
+        self.texts = [b""]
+        self.inner_at: list[tuple[tuple[int, int], ...]] = [()]
+        self.final_at: list[tuple[tuple[int, int], ...]] = [()]
+        self.steps: dict[int, int] = {}
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.marks = tuple(s.encode() for s in self.special)
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' text is the two tokens."""
-        key = (a, b)
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) > PAIRS:
-                self.beside.clear()
-            known = self.beside[key] = self._may_follow(a, b)
+        if len(self.beside) > PAIRS:
+            self.beside.clear()
+        known = self.beside[a * self.span + b] = self._may_follow(a, b)
         return known
 
+    def step(self, key: int) -> int:
+        """The state behind one (times 256) and a byte: the longest end of its text that begins a token."""
+        text = self.texts[key >> 8] + bytes([key & 255])
+        while text not in self.heads:
+            text = text[1:]
+        state = self.state_of.get(text)
+        if state is None:
+            state = self.state_of[text] = len(self.texts)
+            self.texts.append(text)
+            ends = [text[k:] for k in range(len(text))]  # longest first
+            self.inner_at.append(tuple((len(x), self.inner[x]) for x in ends if x in self.inner))
+            self.final_at.append(tuple((len(x), self.final[x]) for x in ends if x in self.final))
+        if len(self.steps) > STEPS:
+            self.steps.clear()
+        self.steps[key] = state
+        return state
+
     def _may_follow(self, a: int, b: int) -> bool:
         rank, limit = self.rank, len(self.pairs)
         while True:
@@ -112,35 +144,47 @@ class Vocabulary:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of each word, packed; shared prefixes of words are encoded once."""
         out: dict[bytes, bytes] = {}
-        inner, final, tails, final_tails, size, may = self.inner, self.final, self.tails, self.final_tails, self.size, self.may_follow
+        inner_at, final_at, size, span = self.inner_at, self.final_at, self.size, self.span
+        steps, beside, may, step = self.steps, self.beside, self.may_follow, self.step
         before = b""
-        states: list[int] = [-1]  # the last token of each prefix of the path
+        states = [-1]  # the last token of each prefix of the path
+        places = [0]  # the automaton's state behind it
         for word in sorted(set(words)):
             n = len(word) - 1  # the last byte is with the word end
             shared = 0
             most = min(n, len(states) - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                found = []
-                k = i - 1
-                while k >= 0 and (tail := word[k:i]) in tails:
-                    if tail in inner:
-                        found.append((k, inner[tail]))
-                    k -= 1
-                for k, token in reversed(found):
-                    if k == 0 or may(states[k], token):
-                        states.append(token)
+            del states[shared + 1 :], places[shared + 1 :]
+            place = places[shared]
+            for i in range(shared, n):
+                key = place << 8 | word[i]
+                place = steps.get(key)
+                if place is None:
+                    place = step(key)
+                places.append(place)
+                for length, token in inner_at[place]:
+                    k = i + 1 - length
+                    if not k:
+                        break
+                    fits = beside.get(states[k] * span + token)
+                    if fits is None:
+                        fits = may(states[k], token)
+                    if fits:
                         break
-            found = []
-            k = n
-            while k >= 0 and (tail := word[k:]) in final_tails:
-                if tail in final:
-                    found.append((k, final[tail]))
-                k -= 1
-            for k, token in reversed(found):
-                if k == 0 or may(states[k], token):
+                states.append(token)
+            key = place << 8 | word[n]
+            place = steps.get(key)
+            if place is None:
+                place = step(key)
+            for length, token in final_at[place]:
+                k = n + 1 - length
+                if not k:
+                    break
+                fits = beside.get(states[k] * span + token)
+                if fits is None:
+                    fits = may(states[k], token)
+                if fits:
                     break
             ids = [token]
             while k:
@@ -150,10 +194,10 @@ class Vocabulary:
             before = word
         return out
 
-    def words(self, piece: str) -> list[bytes]:
-        """The words of a text without special tokens: normalised, divided, as UTF-8."""
-        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower case by single characters
-        return [m.encode() for m in _PIECE.findall(piece.lower())]
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens: normalised and divided."""
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # by single characters
+        return (_ASCII_PIECE if text.isascii() else _PIECE).findall(text)
 
     def parts(self, text: str) -> list[str]:
         """A text cut at special tokens, which stand at odd places."""
@@ -169,47 +213,42 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, cache: int = CACHE) -> None:
-        self.vocabulary, self.most = vocabulary, cache
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        v = self.vocabulary
-        divided: dict[bytes, list[bytes | int]] = {}  # words, and the ids of special tokens
-        words: set[bytes] = set()
-        for chunk in chunks:
-            if any(m in chunk for m in v.marks):
-                line: list[bytes | int] = []
-                for k, part in enumerate(v.parts(chunk.decode())):
-                    found = [v.special[part]] if k % 2 else v.words(part)
-                    line += found
-                    words.update(x for x in found if not isinstance(x, int))
-            else:
-                line = v.words(chunk.decode())
-                words.update(line)
-            divided[chunk] = line
-        encoded = v.encode_words(words)
-        encoded |= {k: pack([k]) for k in v.special.values()}
-        return {chunk: b"".join([encoded[x] for x in line]) for chunk, line in divided.items()}
+        self.vocabulary, self.most = vocabulary, cache // 2
+        #: By word; special tokens stand behind a blank, which no word has.
+        self.special = {f" {x}": pack([k]) for x, k in vocabulary.special.items()}
+        self.known: dict[str, bytes] = dict(self.special)
+        self.older: dict[str, bytes] = {}
+
+    def _divided(self, text: str) -> list[str]:
+        if not any([s in text for s in self.vocabulary.special]):
+            return self.vocabulary.words(text)
+        out = []
+        for k, part in enumerate(self.vocabulary.parts(text)):
+            out += [f" {part}"] if k % 2 else self.vocabulary.words(part)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [(t or "").encode().split() for t in texts]  # at ASCII white space, over which no word goes
-        new: set[bytes] = set()
-        for chunks in chunked:
-            new.update(chunks)
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        known = self.cache
-        learned = self._learn({c for c in new if c not in known})
-        known.update((c, x) for c, x in learned.items() if len(c) <= LONGEST_KEPT)
-        long = {c: x for c, x in learned.items() if len(c) > LONGEST_KEPT}
-        if long:
-            return [b"".join([known[c] if len(c) <= LONGEST_KEPT else long[c] for c in chunks]) for chunks in chunked]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
+        divided = [self._divided(t or "") for t in texts]
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, dict(self.special)
+        known, older = self.known, self.older
+        new: set[str] = set()
+        for line in divided:
+            new.update(filterfalse(known.__contains__, line))
+        again = {x: older[x] for x in new if x in older}
+        known.update(again)
+        wanted = {x.encode(): x for x in new if x not in again}
+        known.update((wanted[x], ids) for x, ids in self.vocabulary.encode_words(wanted).items())
+        out = [b"".join(map(known.__getitem__, line)) for line in divided]
+        for x in new:
+            if len(x) > LONGEST_KEPT:
+                del known[x]
+        return out
 
 
 def decode(ids: bytes, names: list[str]) -> str:
     """As of a tokenizer file without a decoder: the tokens' names, divided by blanks."""
-    return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    return " ".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -217,8 +256,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(vocabulary(path))
+
+
 #: Texts of about so many characters are encoded at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -242,12 +287,12 @@ def _ids(packed: list[bytes]) -> pa.Array:
 
 def _run(path: str, wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path))
-        names = encoder.vocabulary.names
-        for batch in batches:
+        one = encoder(path)
+        names = one.vocabulary.names
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
-                ids = encoder.encode(texts[a:b])
+                ids = one.encode(texts[a:b])
                 columns = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if "ids_sha256" in wanted:
                     columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
