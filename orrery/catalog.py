@@ -452,16 +452,31 @@ def functions_dates(spark, d):
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS a, CASE WHEN o_orderstatus = 'P' THEN 1 END AS b,
 coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, 'none') AS c, CAST(o_custkey AS VARCHAR) AS e, CAST(o_totalprice AS BIGINT) AS f, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'done' END AS g
-FROM orders WHERE abs(o_totalprice - floor(o_totalprice) - 0.5) > 0.01""".replace("CAST(o_totalprice AS BIGINT)", "CAST(trunc(o_totalprice) AS BIGINT)"))
+FROM orders""")
 def functions_conditional(spark, d):
     p, s = field("o_totalprice"), field("o_orderstatus")
-    found = q(spark, d, "orders").where(call("abs", p - call("floor", p) - 0.5) > 0.01)
     case = call("case", {"when": (p > 200000).tree, "then": "high"}, {"when": (p > 100000).tree, "then": "mid"}, {"else": "low"})
     made = {
         "a": case, "b": call("case", {"when": (s == "P").tree, "then": 1}), "c": when(s == "F", field("o_orderpriority")).or_else("none"), "e": call("cast", "text", field("o_custkey")),
         "f": call("cast", "bigint", p), "g": when(s == "O", "open", "done"),
     }
-    return _projected(found, ["o_orderkey"], made)
+    return _projected(q(spark, d, "orders"), ["o_orderkey"], made)
+
+
+@query("""SELECT o_orderkey, year(age(o_orderdate, t)) * 12 + month(age(o_orderdate, t)) AS a, year(age(o_orderdate, t)) AS b, year(age(t, o_orderdate)) * 12 + month(age(t, o_orderdate)) AS c,
+year(age(o_orderdate, u)) * 12 + month(age(o_orderdate, u)) AS e FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate, TIMESTAMP '1996-01-31 12:00:00' AS t, TIMESTAMP '1995-02-28 00:00:00' AS u FROM orders)""")
+def date_diff_months(spark, d):
+    t, at = field("o_orderdate"), "1996-01-31 12:00:00"
+    made = {"a": call("dateDiff", "month", t, at), "b": call("dateDiff", "year", t, at), "c": call("dateDiff", "month", at, t), "e": call("dateDiff", "month", t, "1995-02-28 00:00:00")}
+    return _projected(q(spark, d, "orders"), ["o_orderkey"], made)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_extendedprice / 4 AS BIGINT) AS a, CAST(CAST(l_linenumber / 2.0 AS DOUBLE) AS INTEGER) AS b, CAST(round(CAST(l_linenumber AS DECIMAL(10,1)) / 2, 0) AS BIGINT) AS c,
+CAST(-l_linenumber / 2.0::DOUBLE AS SMALLINT) AS e FROM lineitem""")
+def cast_rounds(spark, d):
+    n = field("l_linenumber")
+    made = {"a": call("cast", "bigint", field("l_extendedprice") / 4), "b": call("cast", "int", n / 2.0), "c": call("cast", "bigint", call("cast", "numeric", n) / 2), "e": call("cast", "smallint", -(n / 2.0))}
+    return _projected(q(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], made)
 
 
 # Aggregates and groups.

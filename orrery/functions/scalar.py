@@ -21,7 +21,7 @@ _MICROS = {"millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hou
 CASTS = {
     "text": "string", "varchar": "string", "smallint": "smallint", "int": "int", "integer": "int", "bigint": "bigint", "real": "float",
     "double precision": "double", "numeric": "decimal(38,18)", "decimal": "decimal(38,18)", "boolean": "boolean", "date": "date",
-    "timestamp": "timestamp", "timestamptz": "timestamp", "uuid": "string",
+    "timestamp": "timestamp", "timestamptz": "timestamp", "uuid": "string", "bytea": "binary",
 }
 
 
@@ -57,13 +57,30 @@ def date_add(unit: str, d: Column, n: Column) -> Column:
 
 
 def date_diff(unit: str, a: Column, b: Column) -> Column:
-    """a less b: from milliseconds to weeks rounded to the nearest whole, months and years whole ones that have passed."""
+    """a less b: from milliseconds to weeks rounded to the nearest whole, months and years whole ones that have passed (by calendar fields, day and time of day)."""
     unit = _unit(unit)
     if unit in _MICROS:
         return F.round((F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / _MICROS[unit]).cast("long")
-    months = F.months_between(a, b, True)
-    months = F.when(months >= 0, F.floor(months)).otherwise(F.ceil(months))
-    return months.cast("long") if unit == "month" else F.call_function("div", months.cast("long"), F.lit(12).cast("long"))
+    a, b = a.cast("timestamp"), b.cast("timestamp")
+    high, low = F.greatest(a, b), F.least(a, b)
+    within = lambda t: F.struct(F.day(t), F.unix_micros(t) - F.unix_micros(F.date_trunc("day", t)))
+    months = (F.year(high) - F.year(low)) * 12 + F.month(high) - F.month(low) - (within(high) < within(low)).cast("int")
+    whole = months if unit == "month" else F.floor(months / 12)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(a >= b, whole).otherwise(-whole)).cast("long")
+
+
+def cast(value: Typed, name: str) -> Column:
+    """To integers by rounding: of floats to the even of two nearest, of decimals away from zero."""
+    name = name.lower()
+    if name not in CASTS:
+        raise ValueError(f"cannot cast to {name}")
+    c, kind = value
+    if CASTS[name] in ("smallint", "int", "bigint"):
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = F.rint(c)
+        elif isinstance(kind, T.DecimalType):
+            c = F.round(c)
+    return c.cast(CASTS[name])
 
 
 def date_trunc(unit: str, d: Column) -> Column:

@@ -1,8 +1,9 @@
 """Trees of objects linked by parent: filters, walks and node properties.
 
-Walks go level by level as joins of (id, parent) with a frontier; a frontier that is small,
-by count, is broadcast.  Levels of all nodes come from pointer doubling, in log2 of the depth
-joins.  What a loop carries is written between its rounds.
+Walks are made by pointer doubling: in each round a node's pointer goes twice as far up, so a
+tree of depth d takes log2(d) rounds, a chain of thousands of levels about a dozen.  What is known
+of a stretch (the nearest seed, sums, heights) is joined along.  Nodes whose pointer has left
+the tree are not shuffled again, and what a loop carries is written between its rounds.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .query import Query
 
 #: Tree operators that filters may hold.
 _OPERATORS = {"$isroot", "$isleaf", "$level", "$childrenof", "$descendantsof", "$hasancestor", "$hasdescendant"}
-#: Levels after which a walk without a limit is taken for a cycle.
-MOST_LEVELS = 10_000
 
 
 def links(view: View) -> DataFrame:
@@ -34,54 +33,72 @@ def _ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("id")).where("id is not null").distinct()
 
 
+def _pointers(nodes: DataFrame) -> DataFrame:
+    """id, up: the parent, null where it isn't there."""
+    known = nodes.select(F.col("id").alias("known")).distinct()
+    return nodes.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
+
+
+def _longest(nodes: DataFrame) -> int:
+    """After so many doublings a pointer still in use has gone more steps than there are nodes, so in a circle."""
+    return nodes.count().bit_length() + 1
+
+
+def _along(state: DataFrame, **made: Column) -> DataFrame:
+    """A doubling: the columns of each node made of its own and those of the node that its pointer leads to, named ``up_...``."""
+    above = state.select(F.col("id").alias("up"), *[F.col(c).alias(f"up_{c}") for c in state.columns if c != "id"])
+    done = state.where("up is null")  # by far the most in the end, and all of one key
+    moved = state.where("up is not null").join(above, "up", "left")
+    columns = {c: made.get(c, F.col(c)) for c in state.columns} | {"up": F.col("up_up")}
+    return stored(moved.select(*[x.alias(c) for c, x in columns.items()]).union(done), "walk")
+
+
 def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False) -> DataFrame:
     """id, depth of everything below the ids in ``seeds`` (a column id); depth from the nearest seed. Seeds are in it only if asked, or below another."""
     nodes = links(view)
-    frontier = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "frontier")
-    found = frontier.select("id", F.lit(0).alias("depth")) if include_seeds else None
-    seen = None
-    for depth in range(1, (max_depth if max_depth is not None else MOST_LEVELS) + 1):
-        step = nodes.join(small(frontier.select(F.col("id").alias("parent_id"))), "parent_id", "left_semi").select("id")
-        if seen is not None:
-            step = step.join(seen, "id", "left_anti")
-        step = stored(step.distinct(), "frontier")
-        if step.isEmpty():
+    seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
+    marked = small(seeds.select(F.col("id").alias("seed")))
+    state = nodes.select("id", F.col("parent_id").alias("up")).join(marked, F.col("up") == F.col("seed"), "left")
+    state = stored(state.select("id", "up", F.when(F.col("seed").isNotNull(), 1).cast("long").alias("near")), "walk")
+    most, span = _longest(state), 1  # near: the least number of steps, of the first `span`, up to a seed
+    for _ in range(most):
+        if max_depth is not None and span >= max_depth or state.where("up is not null").isEmpty():
             break
-        level = step.select("id", F.lit(depth).alias("depth"))
-        found = level if found is None else found.union(level)
-        seen = step if seen is None else seen.union(step)
-        frontier = step
-    else:
-        if max_depth is None:
-            raise ValueError("the parent links have a cycle")
-    if found is None:
-        return frontier.select("id", F.lit(0).alias("depth")).limit(0)
+        state = _along(state, near=F.least("near", F.col("up_near") + span))
+        span *= 2
+    found = state.where("near is not null").select("id", F.col("near").cast("int").alias("depth"))
+    if max_depth is not None:
+        found = found.where(F.col("depth") <= max_depth)
+    if include_seeds:
+        found = found.union(seeds.select("id", F.lit(0).alias("depth")))
     return found.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
 def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False) -> DataFrame:
     """id, depth of everything above the ids in ``seeds``; parents are at depth 1."""
     nodes = links(view)
-    frontier = stored(_ids(seeds, "id").join(nodes, "id"), "frontier")
-    found = frontier.select("id", F.lit(0).alias("depth")) if include_seeds else None
-    seen = None
-    for depth in range(1, (max_depth if max_depth is not None else MOST_LEVELS) + 1):
-        step = nodes.join(small(_ids(frontier, "parent_id")), "id", "left_semi")
-        if seen is not None:
-            step = step.join(seen, "id", "left_anti")
-        step = stored(step, "frontier")
-        if step.isEmpty():
+    seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
+    # In each round the nodes found so far hand their depth on to where their pointers lead.
+    found = seeds.select("id", F.lit(True).alias("seed"), F.lit(None).cast("long").alias("depth"))
+    state = stored(_pointers(nodes), "walk")
+    most, span = _longest(state), 1
+    for _ in range(most):
+        if max_depth is not None and span > max_depth:
             break
-        level = step.select("id", F.lit(depth).alias("depth"))
-        found = level if found is None else found.union(level)
-        seen = step.select("id") if seen is None else seen.union(step.select("id"))
-        frontier = step
-    else:
-        if max_depth is None:
-            raise ValueError("the parent links have a cycle")
-    if found is None:
-        return frontier.select("id", F.lit(0).alias("depth")).limit(0)
-    return found.groupBy("id").agg(F.min("depth").alias("depth"))
+        known = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).alias("known"))
+        if max_depth is not None:
+            known = known.where(F.col("known") + span <= max_depth)
+        steps = state.where("up is not null").join(small(known), "id")
+        steps = steps.select(F.col("up").alias("id"), F.lit(False).alias("seed"), (F.col("known") + span).alias("depth"))
+        found = stored(found.union(steps).groupBy("id").agg(F.max("seed").alias("seed"), F.min("depth").alias("depth")), "found")
+        if state.where("up is not null").isEmpty():
+            break
+        state = _along(state)
+        span *= 2
+    out = found.where("depth is not null").select("id", F.col("depth").cast("int").alias("depth"))
+    if include_seeds:
+        out = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).cast("int").alias("depth"))
+    return out
 
 
 def levels(view: View, with_path: bool = False) -> DataFrame:
@@ -89,27 +106,16 @@ def levels(view: View, with_path: bool = False) -> DataFrame:
 
     A node whose parent isn't there is an orphan: its level counts from itself.
     """
-    nodes = links(view)
-    known = nodes.select(F.col("id").alias("known"))
     path = [F.array("id").alias("path")] if with_path else []
-    state = nodes.join(known, F.col("parent_id") == F.col("known"), "left").select(
-        "id", F.col("known").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("id").alias("root"), *path
-    )
-    state = stored(state, "levels")
-    for _ in range(state.count().bit_length() + 1):  # after so many doublings a path has more steps than there are nodes
+    known = F.col("up").isNotNull()
+    # A level counts the steps to `up`; the root is the last node known on the way there, itself at first.
+    state = _pointers(links(view)).select("id", "up", F.when(known, 1).otherwise(0).cast("long").alias("level"), F.col("id").alias("root"), *path)
+    state = stored(state, "walk")
+    for _ in range(_longest(state)):
         if state.where("up is not null").isEmpty():
             return state.withColumn("level", F.col("level").cast("int")).drop("up")
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"), F.col("root").alias("root2"), *([F.col("path").alias("path2")] if with_path else []))
-        joined = state.join(above, "up", "left")
-        state = joined.select(
-            "id",
-            F.col("up2").alias("up"),
-            # a level counts the steps to `up`; the levels of `up` are added until there is none
-            (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"),
-            F.coalesce("root2", "root").alias("root"),
-            *([F.concat(F.coalesce("path2", F.array().cast(state.schema["path"].dataType)), "path").alias("path")] if with_path else []),
-        )
-        state = stored(state, "levels")
+        made = {"level": F.col("level") + F.col("up_level"), "root": F.col("up_root")}
+        state = _along(state, **made, **({"path": F.concat("up_path", "path")} if with_path else {}))
     raise ValueError("the parent links have a cycle")
 
 
@@ -286,9 +292,23 @@ def flattened(view: View, name: str | None = None, order: str = "depth_first") -
 
 def subtree_sizes(view: View) -> DataFrame:
     """id, subtree_size (itself included) and height (levels below it) of every node."""
-    found = levels(view, with_path=True)
-    above = found.select("level", F.posexplode("path").alias("at", "id"))
-    return above.groupBy("id").agg(F.count("*").alias("subtree_size"), F.max(F.col("level") - F.col("at")).cast("int").alias("height"))
+    pointers = stored(_pointers(links(view)), "walk")
+    sums = pointers.select("id", F.lit(1).cast("long").alias("subtree_size"), F.lit(0).cast("long").alias("height"))
+    span = 1  # the sums are of the nodes less than `span` steps below
+    for _ in range(_longest(pointers)):
+        linked = pointers.where("up is not null")
+        if linked.isEmpty():
+            return sums.select("id", "subtree_size", F.col("height").cast("int").alias("height"))
+        below = linked.join(sums, "id").groupBy("up").agg(F.sum("subtree_size").alias("more"), (F.max("height") + span).alias("far"))
+        sums = stored(
+            sums.join(below.withColumnRenamed("up", "id"), "id", "left").select(
+                "id", (F.col("subtree_size") + F.coalesce("more", F.lit(0))).alias("subtree_size"), F.greatest("height", "far").alias("height")
+            ),
+            "sums",
+        )
+        pointers = _along(pointers)
+        span *= 2
+    raise ValueError("the parent links have a cycle")
 
 
 def statistics(view: View) -> DataFrame:

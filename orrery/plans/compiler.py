@@ -278,9 +278,7 @@ class Compiler:
         if op == "$datetrunc":
             return scalar.date_trunc(items[0], self.scalar(items[1], T.TimestampType()))
         if op == "$cast":
-            if str(items[0]).lower() not in scalar.CASTS:
-                raise ValueError(f"cannot cast to {items[0]}")
-            return self.scalar(items[1]).cast(scalar.CASTS[items[0].lower()])
+            return scalar.cast(self.typed(items[1]), str(items[0]))
         if op == "$regexreplace":
             return scalar.regex_replace(self.scalar(items[0]), *[str(tree_of(x)) for x in items[1:]])
         if op in scalar.PLAIN:
