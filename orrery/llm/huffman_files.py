@@ -2,47 +2,50 @@
 
 The ids' counts over the whole corpus give code lengths of at most ``LIMIT`` bits (package-
 merge); codes are canonical, so the file needs the lengths only.  A file is Parquet whose rows
-are blocks: whole documents in ascending order until ``BLOCK_IDS`` ids are reached, with the
+are blocks: documents in ascending order until ``BLOCK_IDS`` ids are reached, with the
 documents' ids and lengths, the code bits, and the bit offset of every ``STRIDE``-th id.
-Blocks are independent of each other.  A block is decoded by table look-ups of LIMIT bits, one
-id of every stretch between checkpoints at a time.
+A longer document is cut and goes on in the next blocks.  Blocks are independent of each other.
+A block is decoded by table look-ups of LIMIT bits, one id of every stretch between checkpoints
+at a time.
 
-Layout of a folder: ``lengths`` (id, bits), ``blocks`` (part, first, docs, lengths, bits,
-checkpoints; ``first`` counts from the part's start) and ``parts`` (part, start).
+Layout of a folder: ``lengths`` (id, bits), ``blocks`` (part, first, serial, opens, closes, docs,
+lengths, bits, checkpoints; ``first`` counts ids, and ``serial`` documents, from the part's start;
+``opens`` and ``closes`` say whether the first piece is the rest of a document, and whether the last
+one ends it) and ``parts`` (part, start).
 
-Scale: documents are encoded once and written with a count of ids per partition; counts are
-summed by Spark to a row per id in use.  The bits are sorted by document through a range
-partition.  The driver holds the code table and a row per partition.
+Scale: documents are encoded once, and each task writes the counts of its ids with them; counts
+are summed by Spark to a row per id in use.  The bits are sorted by document through a range
+partition, with the row as tiebreak.  The driver holds the code table and a row per partition.
 
 Edge cases: null and empty texts are documents of the end id alone; equal document ids keep
-all their rows, in no defined order; an empty table makes files without blocks; a vocabulary
-of one id takes one bit per id.
+all their rows, in no defined order; null ids come first; a document of any length is in blocks
+of at most 2 ``BLOCK_IDS``; an empty table makes files without blocks; a vocabulary of one id takes
+one bit per id.  Columns other than the key and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stages import saved, shared_folder, slices
+from . import words as w
+from .stages import lean, per_worker, saved, shared_folder, slices
 
 LIMIT = 16
 BLOCK_IDS = 1 << 16
 STRIDE = 256
-#: Pieces whose ids a worker keeps.
-CACHE = 800_000
-LONGEST_KEPT = 64
-SLICE_CHARS = 4_000_000
+#: Words whose ids a worker keeps, of up to 50 bytes each.
+CACHE = 1 << 20
+#: Texts of about so many characters are encoded at a time.
+SLICE_CHARS = 400_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -131,7 +134,7 @@ class Code:
         return np.split(flat, np.cumsum([b[2] for b in blocks])[:-1]) if blocks else []
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -148,104 +151,170 @@ def _chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Kept(dict):
-    """Packed ids of pieces; what isn't there is taken from the older generation, or made."""
+#: Texts with characters from here on, or unassigned ones, go to the library as a whole.
+FAR = 0x530
+_BLANK, _SPACE, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(6)
 
-    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]) -> None:
-        super().__init__()
-        self.make, self.older = make, older
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = self.make(piece)
-        if len(piece) <= LONGEST_KEPT:
-            self[piece] = found
-        return found
+def _class_of(c: str) -> int:
+    if c.isspace() and not "\x1c" <= c <= "\x1f":
+        return _BLANK if c == " " else _SPACE
+    kind = unicodedata.category(c)
+    return _FOREIGN if kind == "Cn" else {"L": _LETTER, "N": _NUMBER}.get(kind[0], _OTHER)
+
+
+_CLASS = np.array([*[_class_of(chr(k)) for k in range(FAR)], _FOREIGN], np.uint8)
+_AFTER_ONE = np.array([ord(c) for c in "stmd"], np.uint32)
+_AFTER_TWO = ((ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l")))
+
+
+def word_starts(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the words of the byte-level pre-tokenizer begin, in texts side by side (``bounds``: where each begins, and the end).
+
+    A blank belongs to what follows it, the rest of the white space before that is a word, a run of letters, of
+    numbers, or of other marks is one, and so is an apostrophe with s, t, m, d, re, ve or ll that begins a word.
+    """
+    n = len(codes)
+    kind = _CLASS[codes]
+    first = np.zeros(n + 1, bool)
+    first[bounds] = True
+    space = kind <= _SPACE
+    run = np.maximum(kind, _SPACE)
+    start = first[:n].copy()
+    start[1:] |= run[1:] != run[:-1]
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])  # white space before something else
+    start[last] = True
+    start[last + 1] = kind[last] != _BLANK
+    quote = np.flatnonzero(start & (codes == 39))
+    quote = quote[~first[quote + 1]]
+    short = quote[np.isin(codes[quote + 1], _AFTER_ONE)]
+    rest = quote[~first[np.minimum(quote + 2, n)]]
+    long = rest[np.any([(codes[rest + 1] == x) & (codes[rest + 2] == y) for x, y in _AFTER_TWO], axis=0)]
+    for found, length in ((short, 2), (long, 3)):
+        start[found + 1] = False
+        behind = found + length
+        start[behind[behind < n]] = True
+    return np.flatnonzero(start)
+
+
+class Table:
+    """Packed ids by a word's 64-bit hash (two of a million words share one with probability 3e-8); open addressing in arrays."""
+
+    def __init__(self, kind: str, most: int) -> None:
+        self.bits = max(4, int(most - 1).bit_length() + 1)
+        self.most, self.size = most, 0
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int64)
+        self.count = np.zeros(1 << self.bits, np.int64)
+        self.pool, self.filled = np.zeros(1 << 12, kind), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            here = self.keys[slot]
+            hit = here == keys[left]
+            out[left[hit]] = slot[hit]
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """New keys, each once."""
+        flat = np.array([x for one in ids for x in one], self.pool.dtype)
+        while self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        count = np.array([len(one) for one in ids], np.int64)
+        at = self.filled + np.cumsum(count) - count
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        self.filled += len(flat)
+        self.size += len(keys)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            taken, mine = np.unique(slot[free], return_index=True)
+            done = free[mine]
+            self.keys[taken], self.at[taken], self.count[taken] = keys[left[done]], at[left[done]], count[left[done]]
+            on = np.ones(len(left), bool)
+            on[done] = False
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots one after another, and how many before each (one more entry ends the last)."""
+        count = self.count[slots]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.pool[np.arange(ends[-1]) + np.repeat(self.at[slots] - ends[:-1], count)], ends
 
 
 class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer is byte-level with its regular expression.
 
-    A blank before a character that is not white space always begins a piece, so what stands
-    between such blanks is encoded by itself and kept, in two generations: when the newer is
-    full, the older goes, but for what is met again.
+    Texts are divided as the pre-tokenizer does it, side by side in arrays, and the library's
+    model is asked for words that aren't kept.  Texts with special tokens or far characters go
+    through the library whole.
     """
 
     def __init__(self, path: str, end: int, cache: int = CACHE) -> None:
         self.tokenizer, self.most = _tokenizer(path), cache
         self.model, self.chars = self.tokenizer.model, _chars()
+        self.blank = self.chars[32]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.letter = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end], self.kind).tobytes()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Kept(self._piece, {})
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a new piece; its words, which many pieces share, are made once."""
-        words = _words(piece)
-        if len(words) > 1:
-            return b"".join([self.known[x] for x in words])
-        word, blank = (piece[1:], "") if piece[:1] == "\n" else (piece, " ")
-        if word.isalpha():  # letters are one word to the pre-tokenizer, so the model can be asked
-            mapped = word if word.isascii() else "".join([self.chars[b] for b in word.encode()])
-            return self._pack([t.id for t in self.model.tokenize(self.chars[32] + mapped if blank else mapped)])
-        return self._pack(self.tokenizer.encode(blank + word, add_special_tokens=False).ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text, packed, with the end id."""
-        out = []
-        for t in texts:
-            t = t or ""
-            if any(s in t for s in self.specials):
-                out.append(self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end)
-                continue
-            if len(self.known) > self.most // 2:
-                self.known = Kept(self._piece, dict(self.known))
-            pieces = _UNEVEN.search(t) and _BLANK.split(t) or t.split(" ")
-            pieces[0] = "\n" + pieces[0]  # marks what has no blank before it; no other piece begins with white space
-            out.append(b"".join(map(self.known.__getitem__, pieces)) + self.end)
-        return out
+        self.known = Table(self.kind, cache)
 
-
-_MARKS = ".,;:!?*#&%$|"
-
-
-def _words(piece: str) -> list[str]:
-    """A piece cut where the pre-tokenizer cuts in any case: around single line ends, and between a letter and marks at a line's end.
-
-    Parts without a blank before them begin with a line end as their mark, as pieces do.
-    """
-    open_, body = (piece[:1], piece[1:]) if piece[:1] == "\n" else ("", piece)
-    lines = body.split("\n")
-    if "" in lines or " " in body or not "".join(lines).isprintable():
-        return [piece]
-    out = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append("\n\n")  # the line end itself
-            open_ = "\n"
-        core = line.rstrip(_MARKS)
-        if core and core != line and core[-1].isalpha():
-            out += [open_ + core, "\n" + line[len(core) :]]
+    def _word(self, word: str) -> list[int]:
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            mapped = self.blank + word[1:]
         else:
-            out.append(open_ + line)
-    return out
+            mapped = "".join([self.chars[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(mapped)]
 
-
-@lru_cache(maxsize=2)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text, packed, with the end id."""
+        texts = [t or "" for t in texts]
+        whole: dict[int, bytes] = {}
+        for k, t in enumerate(texts):
+            if any([s in t for s in self.specials]) or not t.isascii() and _CLASS[np.minimum(_codes(t), FAR)].max() == _FOREIGN:
+                whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+                texts[k] = ""
+        text = "".join(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        codes = _codes(text)
+        starts = word_starts(codes, bounds) if text else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(codes)) if len(starts) else starts
+        keys = np.maximum(w.hashes(codes, starts, ends), np.uint64(1))
+        slots = self.known.find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            if self.known.size + len(missing) > self.known.most:  # what is kept goes, so all words of these texts are new
+                missing = np.arange(len(keys))
+                self.known = Table(self.kind, max(self.most, len(keys)))
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            self.known.add(new, [self._word(text[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            slots = self.known.find(keys)
+        ids, before = self.known.ids(slots)
+        cut = before[np.searchsorted(starts, bounds)].tolist()
+        packed = ids.tobytes()
+        size = ids.itemsize
+        return [whole.get(k, b"") + packed[a * size : b * size] + self.end for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@per_worker
 def encoder(path: str, end: int) -> Encoder:
     """One for all tasks of a worker."""
     return Encoder(path, end)
 
 
-_UNEVEN = re.compile(r" (?!\S)")
-_BLANK = re.compile(r" (?=\S)")
-
-
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     first = size = 0
     for k, t in enumerate(texts):
@@ -258,95 +327,105 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _encoded(path: str, end: int):
+    """Each document's ids, and behind a task's last document a row with the counts of all its ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; Spark runs the others
         one = encoder(path, end)
-        for batch in batches:
+        total = np.zeros(0, np.int64)
+        kind = pa.int64()
+        names = ["doc_id", "ids", "counts"]
+        for batch in lean(batches, _tokenizer, encoder):
             texts = batch.column(1).to_pylist()
             for a, b in _pieces(texts):
                 ids = one.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return run
-
-
-def _counted(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            column = batch.column(0).cast(pa.binary())
-            _, offsets, values = column.buffers()
-            o = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
-            if len(column) and o[-1] > o[0]:
-                more = np.bincount(np.frombuffer(values, kind, (o[-1] - o[0]) // np.dtype(kind).itemsize, int(o[0])))
+                more = np.bincount(np.frombuffer(b"".join(ids), one.kind))
                 if len(more) > len(total):
                     total, more = more, total
                 total[: len(more)] += more
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["id", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in lean(batches):
+        for counts in batch.column(0).to_pylist():
+            more = np.frombuffer(counts, "<i8").copy()
+            if len(more) > len(total):
+                total, more = more, total
+            total[: len(more)] += more
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+
+
+_BLOCKS = "first long, serial long, opens boolean, closes boolean, docs array<long>, lengths array<long>, bits binary, checkpoints array<long>"
+
+
 def _blocked(shared, kind: str):
-    """Of a partition in order of documents: its blocks."""
+    """Of a partition in order of documents: its blocks; a document of more than BLOCK_IDS ids is in several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(shared.value)
         names: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         ready = first = 0
-        itemsize = np.dtype(kind).itemsize
+        serial = -1  # of the last document
+        opens = False  # whether the block's first piece is the rest of a document
 
-        def block() -> pa.RecordBatch:
-            nonlocal names, parts, ready, first
-            ids = np.frombuffer(b"".join(parts), kind).astype(np.int64)
+        def block(closes: bool) -> pa.RecordBatch:
+            nonlocal names, parts, ready, first, opens
+            ids = np.concatenate(parts).astype(np.int64)
             bits, checkpoints = code.encode(ids)
-            lengths = [len(x) // itemsize for x in parts]
-            made = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first], pa.int64()),
-                    pa.array([names], pa.list_(pa.int64())),
-                    pa.array([lengths], pa.list_(pa.int64())),
-                    pa.array([bits], pa.binary()),
-                    pa.array([checkpoints.tolist()], pa.list_(pa.int64())),
-                ],
-                ["first", "docs", "lengths", "bits", "checkpoints"],
-            )
+            row = {
+                "first": first, "serial": serial - len(parts) + 1, "opens": opens, "closes": closes, "docs": names, "lengths": [len(x) for x in parts],
+                "bits": bits, "checkpoints": checkpoints.tolist(),
+            }
             first += len(ids)
-            names, parts, ready = [], [], 0
-            return made
-
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names.append(name)
-                parts.append(ids)
-                ready += len(ids) // itemsize
-                if ready >= BLOCK_IDS:
-                    yield block()
+            names, parts, ready, opens = [], [], 0, not closes
+            return pa.RecordBatch.from_pylist([row], _BLOCK_TYPES)
+
+        for batch in lean(batches):
+            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(packed, kind)
+                serial += 1
+                for at in range(0, len(ids), BLOCK_IDS):
+                    names.append(name)
+                    parts.append(ids[at : at + BLOCK_IDS])
+                    ready += len(parts[-1])
+                    if ready >= BLOCK_IDS:
+                        yield block(at + BLOCK_IDS >= len(ids))
         if parts:
-            yield block()
+            yield block(True)
 
     return run
 
 
+_BLOCK_TYPES = pa.schema([
+    ("first", pa.int64()), ("serial", pa.int64()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("docs", pa.list_(pa.int64())),
+    ("lengths", pa.list_(pa.int64())), ("bits", pa.binary()), ("checkpoints", pa.list_(pa.int64())),
+])
+
+
 def write(docs: DataFrame, path: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end: int = 0) -> str:
     """Encodes all texts, each followed by the id ``end``, and writes the files in ascending order of the key; returns the folder."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     kind = encoder(path, end).kind
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    ids = saved(rows.mapInArrow(_encoded(path, end), "doc_id long, ids binary"), "encoded", "zstd")
-    counts = ids.select("ids").mapInArrow(_counted(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use
+    made = saved(rows.mapInArrow(_encoded(path, end), "doc_id long, ids binary, counts binary"), "encoded", "zstd")
+    counts = made.where("counts is not null").select("counts").mapInArrow(_summed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id in use
+    ids = made.where("ids is not null").select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))  # rows of one id may be many
     table = np.zeros(max([r.id for r in counts], default=0) + 1, np.int64)
     for r in counts:
         table[r.id] = r.n
     lengths = code_lengths(table)
     spark.createDataFrame([(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)], "id int, bits int").write.parquet(f"{folder}/lengths")
     shared = spark.sparkContext.broadcast(lengths)
-    ordered = ids.repartitionByRange(slices(spark), "doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(_blocked(shared, kind), "first long, docs array<long>, lengths array<long>, bits binary, checkpoints array<long>")
-    blocks.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/blocks")
+    ordered = ids.repartitionByRange(slices(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    ordered.mapInArrow(_blocked(shared, kind), _BLOCKS).withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/blocks")
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     sizes = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum(total).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
@@ -354,32 +433,73 @@ def write(docs: DataFrame, path: str, folder: str | None = None, key: str = "doc
     return folder
 
 
+def _crc_of_both(one: int, two: int, n_two: int) -> int:
+    """The crc32 of two byte strings one behind the other, of theirs: the first's is moved on by the zeros of n_two bytes, squaring the operator of one bit."""
+
+    def apply(operator: list[int], x: int) -> int:
+        out = k = 0
+        while x:
+            if x & 1:
+                out ^= operator[k]
+            x >>= 1
+            k += 1
+        return out
+
+    operator = [0xEDB88320, *[1 << k for k in range(31)]]  # a zero bit
+    n = 8 * n_two
+    while n:
+        if n & 1:
+            one = apply(operator, one)
+        operator = [apply(operator, x) for x in operator]
+        n >>= 1
+    return one ^ two
+
+
 def _read(shared, with_ids: bool):
+    """The pieces of documents in blocks; ``serial`` is null for those that are whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(shared.value)
-        for batch in batches:
+        for batch in lean(batches):
             for at in range(0, batch.num_rows, 16):
                 rows = batch.slice(at, 16).to_pylist()
                 found = code.decode([(r["bits"], np.array(r["checkpoints"], np.int64), sum(r["lengths"])) for r in rows])
-                names, starts, sizes, sums, lists = [], [], [], [], []
+                out: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "part", "serial", "ids")}
                 for r, ids in zip(rows, found, strict=True):
                     ends = np.cumsum(r["lengths"])
-                    for name, n, e in zip(r["docs"], r["lengths"], ends.tolist(), strict=True):
-                        own = ids[e - n : e].astype("<u4")
-                        names.append(name)
-                        starts.append(r["first"] + e - n)
-                        sizes.append(n)
-                        sums.append(zlib.crc32(own.tobytes()))
+                    ids = ids.astype("<u4")
+                    raw, last = ids.tobytes(), len(ends) - 1
+                    for k, (n, e) in enumerate(zip(r["lengths"], ends.tolist(), strict=True)):
+                        whole = not (k == 0 and r["opens"] or k == last and not r["closes"])
+                        out["start"].append(r["first"] + e - n)
+                        out["ids_crc32"].append(zlib.crc32(raw[4 * (e - n) : 4 * e]))
+                        out["serial"].append(None if whole else r["serial"] + k)
                         if with_ids:
-                            lists.append(own.astype(np.int32))
-                columns = [pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
+                            out["ids"].append(ids[e - n : e].astype(np.int32))
+                    out["doc_id"] += r["docs"]
+                    out["n_tokens"] += r["lengths"]
+                    out["part"] += [r["part"]] * len(ends)
+                columns = [pa.array(out[k], pa.int64()) for k in ("doc_id", "start", "n_tokens", "ids_crc32", "part", "serial")]
                 if with_ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+                    columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, list(out)[: len(columns)])
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The crc32 of documents in several pieces."""
+    for batch in lean(batches):
+        sums = []
+        for pieces in batch.column("pieces").to_pylist():
+            total = pieces[0]["ids_crc32"]
+            for piece in pieces[1:]:
+                total = _crc_of_both(total, piece["ids_crc32"], 4 * piece["n_tokens"])
+            sums.append(total)
+        at = batch.schema.get_field_index("pieces")
+        yield batch.set_column(at, "ids_crc32", pa.array(sums, pa.int64()))
+
+
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of little-endian 32-bit ids) and ids of each document, from the files."""
     rows = spark.read.schema("id int, bits int").parquet(f"{folder}/lengths").collect()
@@ -387,9 +507,20 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     for r in rows:
         lengths[r.id] = r.bits
     shared = spark.sparkContext.broadcast(lengths)
-    blocks = spark.read.schema("first long, docs array<long>, lengths array<long>, bits binary, checkpoints array<long>, part int").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(f"{_BLOCKS}, part int").parquet(f"{folder}/blocks")
     parts = spark.read.schema("part int, start long").parquet(f"{folder}/parts")
     blocks = blocks.join(F.broadcast(parts), "part")  # a row per partition of the writer
-    blocks = blocks.select((F.col("start") + F.col("first")).alias("first"), "docs", "lengths", "bits", "checkpoints")
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.mapInArrow(_read(shared, with_ids), schema)
+    blocks = blocks.withColumn("first", F.col("start") + F.col("first")).drop("start")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    made = "doc_id long, start long, n_tokens long, ids_crc32 long, part long, serial long" + ", ids array<int>" * with_ids
+    long = blocks.where("not closes or opens")  # blocks that hold a piece of a document, and maybe whole ones
+    whole = blocks.mapInArrow(_read(shared, with_ids), made).where("serial is null").select(names)
+    pieces = long.mapInArrow(_read(shared, with_ids), made).where("serial is not null")
+    pieces = pieces.groupBy("part", "serial").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("start", "n_tokens", "ids_crc32", *["ids"] * with_ids))).alias("pieces")
+    )
+    ids = [F.flatten("pieces.ids").alias("ids")] * with_ids
+    total = F.aggregate("pieces.n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    pieces = pieces.select("doc_id", F.col("pieces.start")[0].alias("start"), total.alias("n_tokens"), F.transform("pieces", lambda x: F.struct(x["n_tokens"].alias("n_tokens"), x["ids_crc32"].alias("ids_crc32"))).alias("pieces"), *ids)
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return whole.unionByName(pieces.mapInArrow(_joined, kind))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 from typing import TypeVar
@@ -20,14 +21,24 @@ T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own, but only if there are no other machines."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = Path(tempfile.gettempdir(), f"orrery-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with as many underscores behind it as make it none of the columns (which Spark compares without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it: later jobs don't compute it again, and lost executors don't matter."""
     spark = df.sparkSession
@@ -65,8 +76,24 @@ def _trim():
         return lambda _: 0
 
 
-def lean(batches: Iterator[T]) -> Iterator[T]:
-    """The same batches; when they end, what a reused worker has freed goes back to the system, as idle workers share its memory with the next stages."""
+_KEPT: list = []
+
+
+def per_worker(make):
+    """Keeps what a function makes for the next tasks of a worker, until a task of another operator begins there."""
+    kept = lru_cache(maxsize=2)(make)
+    _KEPT.append(kept)
+    return kept
+
+
+def lean(batches: Iterator[T], *own) -> Iterator[T]:
+    """The same batches; what was kept per worker, but by ``own``, goes first.
+
+    When they end, what the worker has freed goes back to the system, as idle workers share its memory with the next stages.
+    """
+    for kept in _KEPT:
+        if kept not in own:
+            kept.cache_clear()
     pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own keeps what it frees
     try:
         yield from batches

@@ -32,7 +32,6 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
@@ -40,7 +39,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .stages import lean
+from .stages import lean, per_worker
 
 CACHE = 500_000
 #: Pairs of tokens whose fit a worker keeps, and steps of the automaton.
@@ -251,12 +250,12 @@ def decode(ids: bytes, names: list[str]) -> str:
     return " ".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def encoder(path: str) -> Encoder:
     """One for all tasks of a worker."""
     return Encoder(vocabulary(path))
@@ -289,7 +288,7 @@ def _run(path: str, wanted: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path)
         names = one.vocabulary.names
-        for batch in lean(batches):
+        for batch in lean(batches, vocabulary, encoder):
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 ids = one.encode(texts[a:b])

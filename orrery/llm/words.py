@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+KEPT_POWERS = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -87,13 +88,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, n at least."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            full = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.multiply.accumulate(full)
-    return _POWERS[0], _POWERS[1]
+    """Powers of the multiplier and of its inverse modulo 2^64, n at least; kept for up to KEPT_POWERS."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_MULTIPLIER, _INVERSE):
+        full = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        full[0] = 1
+        made.append(np.multiply.accumulate(full))
+    if n <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
