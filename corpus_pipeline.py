@@ -12,46 +12,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import fm_index, minhash_forest, pii_crf, quality_crf, trie_bpe
-from orrery.llm.stages import saved, shipped, small, table, tokenizer_path
+from orrery.llm.stages import saved, shipped, small, table, tokenizer_path, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF scores below 0.5 go."""
-    model = quality_crf.fit(docs, table(shipped(spark), sf_dir, "labels"))
-    return quality_crf.with_scores(docs, model, score="_score").where("_score >= 0.5").drop("_score")
+    """Documents that the line CRF scores below 0.5 go; repeated rows are judged alike, an empty table stays one."""
+    shipped(spark)
+    model, score = quality_crf.fit(docs, table(spark, sf_dir, "labels")), unused("score", docs.columns)
+    return quality_crf.with_scores(docs, model, score=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component one row stays, that of smallest id; of equal ids any one, and a null id only if there is no other.
 
     Each row is a document of its own: of repeated rows, of one id or of null ids, one stays, and rows of one id that
-    are no near copies all do.
+    are no near copies all do.  An empty table stays one.
     """
-    rows = saved(shipped(spark) and docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # the same ids in every pass
-    found = saved(minhash_forest.near_duplicates(rows.select("_row", "text"), key="_row"), "near").select(F.col("doc_id").alias("_row"), "component_id", "kept")
+    shipped(spark)
+    row = unused("row", docs.columns)
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # the same ids in every pass
+    found = saved(minhash_forest.near_duplicates(rows.select(row, "text"), key=row), "near").select(F.col("doc_id").alias(row), "component_id", "kept")
     shared = found.where(~F.col("kept")).select("component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    members = found.join(shared, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row").select("component_id", order.alias("at"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    members = found.join(shared, "component_id", "left_semi").join(rows.select(row, "doc_id"), row).select("component_id", order.alias("at"))
     best = members.groupBy("component_id").agg(F.min("at").alias("best"))
-    copies = saved(members.join(best, "component_id").where(F.col("at") != F.col("best")).select("at._row"), "copies")
-    return rows.join(small(copies, minhash_forest.BROADCAST_IDS), "_row", "left_anti").select(docs.columns)
+    best = small(saved(best, "best"), minhash_forest.BROADCAST_IDS)  # a large component is not joined in one task
+    copies = saved(members.join(best, "component_id").where(F.col("at") != F.col("best")).select(f"at.{row}"), "copies")
+    return rows.join(small(copies, minhash_forest.BROADCAST_IDS), row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut from the texts; the documents stay."""
+    """Benchmark passages are cut from the texts; all rows stay, repeated ones too, and a null text stays null."""
     clean = fm_index.remove(docs, table(shipped(spark), sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
-    clean = pii_crf.redacted(docs, pii_crf.fit(shipped(spark) and docs))
+    """Personal data and secrets are replaced by their kind in brackets; all rows stay, repeated ones too, and a null text stays null."""
+    shipped(spark)
+    clean = pii_crf.redacted(docs, pii_crf.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and decoded text, and the ids."""
-    return trie_bpe.digests(shipped(spark) and docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
+    """doc_id, n_tokens, the digests of ids and decoded text, and the ids, a row for each row; of null and empty texts no ids."""
+    shipped(spark)
+    return trie_bpe.digests(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
