@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import saved
+from .stages import lean, saved
 
 
 class Sets:
@@ -45,7 +45,7 @@ class Sets:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = Sets()
-    for batch in batches:
+    for batch in lean(batches):
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.join(u, v)
     nodes = [x for x in sets.up if sets.root(x) != x]

@@ -15,7 +15,10 @@ blocks of items of at most ``BLOCK_WORDS`` words (as many passes as blocks).  A
 a third of all documents hold is found in each document's own shard.
 
 Edge cases: null and empty texts have no words and no hit; an item without words has no
-phrase and occurs nowhere; equal items each count; no items, no hits.
+phrase and occurs nowhere; equal items each count; no items, no hits; repeated rows are each
+searched, a null id as any other; a text of any length is searched whole, a longer one than a
+shard in an index of its own; an empty table has no rows.  ``occurrences`` looks at no other columns,
+``remove`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .stages import saved
+from .stages import lean, saved
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -266,7 +269,7 @@ SPAN = "array<struct<first_word: long, end_word: long, first_byte: long, end_byt
 def _report(wanted_b, names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Phrases = wanted_b.value
-        for batch in batches:
+        for batch in lean(batches):
             if not batch.num_rows:
                 continue
             column = batch.column(text_at)
@@ -309,7 +312,7 @@ def _removal(wanted_b, names: list[str], text_at: int, first: bool, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Phrases = wanted_b.value
-        for batch in batches:
+        for batch in lean(batches):
             n = batch.num_rows
             if not n:
                 continue
@@ -362,14 +365,15 @@ def occurrences(
     names = ["doc_id", "n_words", "n_hit", "spans", "items"]
     docs = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, item, item_text, window)) or [phrases([])]
+    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, item, item_text, window)]  # the driver holds one at a time
+    blocks = blocks or [spark.sparkContext.broadcast(phrases([]))]
     schema = f"doc_id {kind}, n_words long, n_hit long, spans {SPAN}, items array<string>"
     if len(blocks) == 1:
-        return docs.mapInArrow(_report(spark.sparkContext.broadcast(blocks[0]), names, 1), schema)
+        return docs.mapInArrow(_report(blocks[0], names, 1), schema)
     docs = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same rows in every pass
     found = []
     for block in blocks:
-        run = _report(spark.sparkContext.broadcast(block), ["row", *names[1:]], 1)
+        run = _report(block, ["row", *names[1:]], 1)
         found.append(docs.select("row", "text").mapInArrow(run, schema.replace(f"doc_id {kind}", "row long")))
     parts = found[0]
     for more in found[1:]:

@@ -12,7 +12,10 @@ holds is a byte per feature and line of that sample.  Inputs are texts only.
 
 Scale: one map pass over the texts; the model is some kB.  Edge cases: null and empty texts,
 or texts without words, score the training documents' share of good ones; without labels of
-both classes every score is that share (0.5 without any).
+both classes every score is that share (0.5 without any); repeated rows score alike, and count
+once in training; of several texts of one labelled id that of smallest hash is learned from; a
+text of any length is scored whole; an empty table has no rows.  All columns stay; one of the
+score's name is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 
 from . import words as w
 from .divergence import _KEYS, _STRIP, _SYMBOLS, _repeats
+from .stages import lean
 
 TRAIN_DOCS = 4000
 PENALTY = 2.0
@@ -338,7 +342,7 @@ def held_out(key: Column) -> Column:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         for chunk in w.chunks(batch.column(1), lower=False):
             rows, lengths, bins = line_bins(chunk)
             at = np.searchsorted(rows, np.arange(chunk.last - chunk.first + 1))
@@ -368,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def _scored(shared, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for chunk in w.chunks(batch.column(text_at), lower=False):
                 rows, lengths, bins = line_bins(chunk)
