@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
 Each document has a histogram of character classes and one of common words.  A language's
-reference is the sum of both over all its documents.  A document is held against every
+reference is the sum of both over all its documents that the base rules let pass.  A document is held against every
 reference by Jensen-Shannon distance (base 2, so 0 to 1) and judged by the nearest; the
 label of its own language is not used for that.  A histogram of n counts lies off its own
 distribution by about 1/sqrt(n), so the limits have a fixed part and one that shrinks with
@@ -14,8 +14,11 @@ of ``BLOCK_LANGUAGES``; the driver holds one block at a time, and a task scores
 against block after block, keeping the nearest so far.
 
 Edge cases: null and empty texts have zero counts and fail the base rule of words; a null
-language is a language of its own; repeated rows are judged alike; without any documents
-there is no reference and nothing to judge.
+language is a language of its own; repeated rows are judged alike, and each counts in its
+reference; of references that are equally near the first in the order of documents and name is
+taken; a text of any length is measured whole; without any document that the base rules let pass
+there is no reference, the nearest is null and both distances are 0; an empty table has no rows.
+Columns other than the key, the text and the language are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .minhash_forest import _rows
-from .stages import saved
+from .stages import lean, saved
 
 #: Common words of languages that a corpus may hold.
 COMMON_WORDS = {
@@ -152,7 +155,7 @@ def measure(chunk: w.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "histogram"]
-    for batch in batches:
+    for batch in lean(batches):
         for chunk in w.chunks(batch.column(2), lower=False):
             base, histogram = measure(chunk)
             n = len(base)
@@ -170,7 +173,7 @@ def _histograms(column: pa.Array) -> np.ndarray:
 def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a partition's histograms by language, as (lang, bin, count), and the documents as bin -1."""
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in lean(batches):
         if not batch.num_rows:
             continue
         codes = batch.column(0).dictionary_encode()
@@ -187,9 +190,14 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _failed(n_words, n_repeat):
+    """The base rules, on columns or arrays."""
+    return (n_words < MIN_WORDS_BASE) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+
+
 def references(measured: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
-    """All languages, those of most documents first, and their summed histograms as rows; in blocks."""
-    sums = measured.select(F.coalesce("lang", F.lit("")).alias("lang"), "histogram").mapInArrow(_language_sums, "lang string, bin int, total long")
+    """All languages with a document that passes the base rules, those of most first, and their summed histograms as rows; in blocks."""
+    sums = measured.where(~_failed(F.col("n_words"), F.col("n_repeat_words"))).select(F.coalesce("lang", F.lit("")).alias("lang"), "histogram").mapInArrow(_language_sums, "lang string, bin int, total long")
     sums = sums.groupBy("lang", "bin").agg(F.sum("total").alias("total"))
     bins = F.collect_list(F.struct("bin", "total")).alias("bins")  # WIDTH + 1 at most
     rows = saved(sums.groupBy("lang").agg(F.max(F.when(F.col("bin") == -1, F.col("total"))).alias("n_docs"), bins), "references")
@@ -251,12 +259,12 @@ def verdicts(histogram: np.ndarray, blocks: Iterable[tuple[list[str], np.ndarray
 
 def _judged(shared: list, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             if not batch.num_rows:
                 continue
             near, classes, common, good = verdicts(_histograms(batch.column(7)), (block.value for block in shared), limits)
             n_words, n_repeat = batch.column(2).to_numpy(), batch.column(6).to_numpy()
-            failed = (n_words < MIN_WORDS_BASE) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+            failed = _failed(n_words, n_repeat)
             nearest = pa.array(near, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[batch.column(k) for k in range(2, 7)], pa.array(failed), pa.array(~failed & good), nearest, pa.array(classes), pa.array(common)],
