@@ -4,13 +4,15 @@ Texts are cut into sentences, in three ways: at full stops only, as in wrapped l
 at line ends as well, as in notices that stand alone; and at full stops, blank lines and
 colons before a line end, as in notices below a title or above a list.  A sentence is normalised to its
 words, without case and punctuation; known ones have identifiers.  A licence rule is a
-sequence of identifiers; it matches where its identifiers follow each other among the known
-sentences of a document, in order, with at most ``MAX_GAP`` other words in between.  A rule
+sequence of identifiers; it matches where its identifiers follow each other in a document, in
+order, with at most ``MAX_GAP`` other words between two, whether known sentences or not.  A rule
 whose match lies inside a longer rule's is left out.
 
 Scale: a map over the documents without a shuffle; the rules are broadcast with the code.
 Edge cases: null and empty texts have no licence; equal rows have equal licences; a repeated
-notice is matched each time and named once.
+notice is matched each time and named once; of several matches of a rule from one sentence the
+nearest is taken; a text of any length is scanned whole; an empty table has no rows.  Columns other
+than the key and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as w
+from .stages import lean
 
 MAX_GAP = 40
 
@@ -81,6 +84,46 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         ),
     ),
+    (
+        "AGPL-3.0-or-later",
+        (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+            "See the GNU Affero General Public License for more details",
+        ),
+    ),
+    (
+        "LGPL-2.1-or-later",
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+            "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+            "See the GNU Lesser General Public License for more details",
+        ),
+    ),
+    (
+        "Zlib",
+        (
+            "This software is provided 'as-is', without any express or implied warranty",
+            "In no event will the authors be held liable for any damages arising from the use of this software",
+        ),
+    ),
+    (
+        "0BSD",
+        (
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+            'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+        ),
+    ),
+    ("MIT", ("SPDX-License-Identifier: MIT",)),
+    ("Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
+    ("BSD", ("SPDX-License-Identifier: BSD-3-Clause",)),
+    ("BSD", ("SPDX-License-Identifier: BSD-2-Clause",)),
+    ("GPL-2.0-or-later", ("SPDX-License-Identifier: GPL-2.0-or-later",)),
+    ("GPL-3.0-or-later", ("SPDX-License-Identifier: GPL-3.0-or-later",)),
+    ("LGPL-2.1-or-later", ("SPDX-License-Identifier: LGPL-2.1-or-later",)),
+    ("MPL-2.0", ("SPDX-License-Identifier: MPL-2.0",)),
+    ("CC-BY-4.0", ("SPDX-License-Identifier: CC-BY-4.0",)),
+    ("CC0-1.0", ("SPDX-License-Identifier: CC0-1.0",)),
     (
         "MIT",  # as above, cut at the colon
         (
@@ -171,12 +214,12 @@ class Rules:
             for name, sequence in self.rules.get(identifier, ()):
                 end = behind
                 for wanted in sequence[1:]:
-                    # The next known sentences; there may be some of one start, as texts are cut in several ways.
-                    at = bisect_left(firsts, end)
-                    found = [x for x in line[at : bisect_right(firsts, firsts[at])] if x[2] == wanted] if at < len(line) and firsts[at] - end <= gap else []
-                    if not found:
+                    # The next such sentence within the gap; other known ones may stand before it.
+                    at, upto = bisect_left(firsts, end), bisect_right(firsts, end + gap)
+                    found = next((x for x in line[at:upto] if x[2] == wanted), None)
+                    if found is None:
                         break
-                    end = found[0][1]
+                    end = found[1]
                 else:
                     out.append((name, first, end))
         reach, kept = -1, []
@@ -202,7 +245,7 @@ def _whole(chunk: w.Chunk) -> list[int]:
 def _scan(rules: Sequence[tuple[str, Sequence[str]]], gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Rules(rules)
-        for batch in batches:
+        for batch in lean(batches):
             for chunk in w.chunks(batch.column(1), lower=True):
                 by_row: dict[int, list[tuple[int, int, int]]] = {}
                 for row, first, end, identifier in known.identify(chunk):
