@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import divergence, fm_index, huffman_files, license_rules, minhash_forest, pii_crf, quality_crf, sharding, trie_bpe, url_rules
 from .stages import shared_folder, shipped, table, tokenizer_path
 
@@ -29,8 +27,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "virtual_slot"
     )
     weights = sharding.weigh(docs)
-    slot_map = sharding.map_table(spark, 1, sharding.assign(weights, 16), weights)
-    folder = sharding.store_map(slot_map, f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.store_map(sharding.map_table(spark, 1, sharding.assign(weights, 16), weights), folder)
+    first = {r.slot: r.shard for r in sharding.load_map(spark, folder).collect()}  # as many rows as there are slots
+    sharding.store_map(sharding.map_table(spark, 2, sharding.rebalance(first, weights, 16), weights), folder)
     return sharding.place(docs, sharding.load_map(spark, folder)).select(
         "doc_id",
         "size",
@@ -93,6 +93,12 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _OP6_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -150,7 +156,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_crf": op8_line_crf,
     "op9_license_rules": op9_license_rules,
     "op10_trie_bpe": op10_trie_bpe,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 _SQL = {"op6_url_rules": _OP6_SQL, "op9_license_rules": _OP9_SQL}

@@ -12,8 +12,11 @@ of equal texts or a source that holds a third of all rows is spread like any oth
 position in a shard is counted inside slots, in parallel, and shifted by the rows of the
 shard's earlier slots.
 
-Edge cases: a null text has no bytes and weighs 1, as an empty one; a null id is hashed as
-such; equal rows are all kept.  An empty table has a map of empty slots and no rows.
+Edge cases: a null text has no bytes and weighs 1, as an empty one; rows of a null id are hashed
+by their text; equal rows are all kept, in one slot, and so are rows of one id, which are numbered
+together; a text as long as a shard makes its shard the heaviest; ties of weight go to the smallest
+slot and shard.  An empty table has a map of empty slots and no rows.  Of the caller's columns
+those of the names that are added are replaced, and all others kept.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stages import shared_folder
+from .stages import shared_folder, unused
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long"
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds virtual_slot and size (UTF-8 bytes of the text, plus 1)."""
+    """Adds virtual_slot and size (UTF-8 bytes of the text, plus 1); columns of these names are replaced."""
+    name = F.when(docs[key].isNotNull(), F.xxhash64(F.lit("slot"), docs[key])).otherwise(F.xxhash64(F.lit("null"), docs[text]))
     return docs.withColumns({
-        "virtual_slot": F.pmod(F.xxhash64(F.lit("slot"), docs[key]), F.lit(slots)).cast("int"),
+        "virtual_slot": F.pmod(name, F.lit(slots)).cast("int"),
         "size": F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long") + 1,
     })
 
@@ -102,22 +106,22 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
 
 
 def place(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds shard and position: the row's place in its shard, without gaps from 0, by slot and id."""
-    before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slot_map = slot_map.select(
-        F.col("slot").alias("virtual_slot"), "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before")
-    )
-    within = Window.partitionBy("virtual_slot").orderBy(key, "size")
-    numbered = docs.withColumn("_within", F.row_number().over(within))
+    """All rows and columns, with shard and position (the row's place in its shard, without gaps from 0, by slot and id); columns of these names are replaced."""
+    docs = docs.drop("shard", "position")
+    before, within = unused("before", docs.columns), unused("within", docs.columns)
+    ahead = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slot_map = slot_map.select(F.col("slot").alias("virtual_slot"), "shard", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias(before))
+    order = Window.partitionBy("virtual_slot").orderBy(docs[key], docs["size"])
+    numbered = docs.withColumn(within, F.row_number().over(order))
     return (
         numbered.join(F.broadcast(slot_map), "virtual_slot")  # as many rows as there are slots
-        .withColumn("position", F.col("_before") + F.col("_within") - 1)
-        .drop("_before", "_within")
+        .withColumn("position", F.col(before) + F.col(within) - 1)
+        .drop(before, within)
     )
 
 
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows with virtual_slot, size, shard and position, by a first map of these rows."""
+    """All rows and columns with virtual_slot, size, shard and position, by a first map of these rows; columns of these names are replaced."""
     docs = with_slots(docs, slots, key, text)
     weights = weigh(docs)
     slot_map = map_table(docs.sparkSession, 1, assign(weights, shards, slots), weights)
