@@ -64,6 +64,39 @@ def test_one_dense_region_over_blocks(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
 
 
+def test_crowded_regions(spark, monkeypatch):
+    """Many documents that are alike and not linked, and some near copies: rows of the second round are linear, links are found."""
+    monkeypatch.setattr(minhash_forest, "BLOCK", 48)
+    rng = random.Random(17)
+    words = prose(rng, 160).split()
+
+    def alike(k):  # seven other words: about 0.6 to 0.7 of the shingles are shared by two
+        own = list(words)
+        for at in rng.sample(range(160), 7):
+            own[at] = f"{prose(rng, 1)}{k}"
+        return own
+
+    rows = [(k, alike(k)) for k in range(2000)]
+    for n, source in enumerate(rng.sample(range(2000), 150)):
+        near = list(rows[source][1])
+        near[rng.randrange(160)] = f"q{n}"
+        rows.append((10_000 + n, near))
+    rows = [(k, " ".join(w)) for k, w in rows]
+    made = []
+    regions = minhash_forest.regions
+    monkeypatch.setattr(minhash_forest, "regions", lambda dense: made.append(regions(dense)) or made[0])
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(156)} for i, t in rows}
+    linked = [i for i, _ in rows if i >= 10_000]
+    want = [next(j for j in range(2000) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in linked]
+    right = sum(got[i][1] == j for i, j in zip(linked, want, strict=True))
+    n_rows = made[0].count()
+    print(f"links found {right} of {len(linked)}; {n_rows} rows in regions of {16 * len(rows)} in the forest; largest block", made[0].groupBy("bucket", "block").count().agg({"count": "max"}).first()[0])
+    assert right >= 0.99 * len(linked)
+    assert n_rows <= 2 * 16 * len(rows)
+    assert sum(v[1] != i for i, v in got.items()) == right  # no others
+
+
 def test_edges(spark, with_clashes, edges):
     rows = [*edges, (20, "w " * 3000), (21, "W " * 2999)]
     assert found(with_clashes(rows)) == expected(rows)

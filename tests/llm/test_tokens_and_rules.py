@@ -1,5 +1,6 @@
 import hashlib
 import heapq
+import re
 import textwrap
 import zlib
 
@@ -106,6 +107,41 @@ def test_files_round_trip(spark, with_clashes, edges, monkeypatch):
     assert huffman_files.read(spark, huffman_files.write(docs.limit(0), path)).count() == 0
 
 
+def test_long_documents_are_cut(spark, monkeypatch):
+    path = stages.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(huffman_files, "BLOCK_IDS", 64)
+    rows = [(1, "a few"), (2, "many words here " * 200), (3, "x " * 64), (4, None), (5, "more words " * 32), (5, "more words " * 32), (None, "no id " * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = huffman_files.write(docs, path)
+    assert spark.read.parquet(f"{folder}/blocks").selectExpr("max(aggregate(lengths, 0L, (a, x) -> a + x))").first()[0] <= 128
+    got = sorted(huffman_files.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5]
+    by_id, start = dict(rows), 0
+    for r in got:
+        ids = library.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids, r.ids_crc32) == (start, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    short = sorted(huffman_files.read(spark, folder, with_ids=False).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in short] == [tuple(r)[:4] for r in got]
+
+
+def test_crc_of_both(rng):
+    for _ in range(200):
+        one, two = rng.randbytes(rng.randint(0, 50)), rng.randbytes(rng.randint(0, 5000))
+        assert huffman_files._crc_of_both(zlib.crc32(one), zlib.crc32(two), len(two)) == zlib.crc32(one + two)
+
+
+def test_words_of_the_byte_level_pre_tokenizer(rng):
+    path = stages.tokenizer_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), huffman_files.Encoder(path, 0, cache=200)
+    alphabet = [chr(k) for k in range(0x560)] + list(" \n\t'a stmdrevl1.") * 60
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = [x for k in range(0, len(texts), 300) for x in encoder.encode(texts[k : k + 300])]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == want
+
+
 def test_sharding_is_even_and_gapless(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sharding.shard(docs, 16).collect()
@@ -122,6 +158,22 @@ def test_sharding_edges(with_clashes, edges):
     assert sharding.shard(df.limit(0), 4).count() == 0
 
 
+def test_sharding_keeps_columns_of_any_names(spark):
+    rows = [(k, "t" * k, "old", 7, 8, "w", "b", 9) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, position int, virtual_slot int, within string, before string, size int")
+    out = sharding.shard(df, 3)
+    assert sorted(out.columns) == sorted(df.columns)
+    for r in out.select("shard", "position", "within", "before", "size", "text").collect():
+        assert r.shard in (0, 1, 2) and (r.within, r.before, r["size"]) == ("w", "b", len(r.text) + 1)
+
+
+def test_sharding_spreads_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, f"text {k}") for k in range(600)], "doc_id long, text string")
+    rows = sharding.shard(df, 4).collect()
+    counts = np.bincount([r.shard for r in rows], minlength=4)
+    assert len(rows) == 600 and counts.min() > 120
+
+
 def test_maps_are_versions_and_edits_are_small(spark, tmp_path):
     rng = np.random.default_rng(1)
     weights = {k: (int(rng.integers(1, 1000)), 1) for k in range(0, 512, 1)}
@@ -305,3 +357,60 @@ def test_versions_end_no_sentence(spark):
 def test_license_edges(with_clashes, edges):
     assert all(r.licenses == [] and r.matches == [] for r in license_rules.scan(with_clashes(edges)).collect())
     assert license_rules.scan(with_clashes(edges).limit(0)).count() == 0
+
+
+def plain_licenses(text, rules, gap=license_rules.MAX_GAP):
+    """Names of the rules found, by cutting the text at separators between words in each of the three ways."""
+    text = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+    words = [m.group() for m in found]
+    between = [text[a.end() : b.start()] for a, b in zip(found, found[1:])]
+    known = set()
+    for way in range(3):
+        first = 0
+        for k in range(len(words)):
+            sep = between[k] if k < len(between) else None
+            stops = len(re.findall(r"[.!?](?=[ \t\n\x0b\f\r])", sep or ""))
+            version = sep is not None and words[k] == "v" and sep[:1] == "." and words[k + 1][0] in "0123456789"
+            cut = sep is None or stops > version or way == 1 and "\n" in sep or way == 2 and (sep.count("\n") > 1 or "\n" in sep and ":" in sep)
+            if cut:
+                known.add((first, k + 1, " ".join(words[first : k + 1])))
+                first = k + 1
+    normal = lambda t: " ".join(re.findall(r"[0-9a-z]+", t.lower()))
+    matches = []
+    for name, sentences in rules:
+        wanted = [normal(t) for t in sentences]
+        for a, end, sentence in known:
+            if sentence == wanted[0]:
+                for t in wanted[1:]:
+                    ends = [(x, y) for x, y, z in known if z == t and end <= x <= end + gap]
+                    end = min(ends)[1] if ends else None
+                    if end is None:
+                        break
+                if end is not None:
+                    matches.append((a, end, name))
+    return sorted({n for a, b, n in matches if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _ in matches)})
+
+
+def test_licenses_against_brute_force(spark, rng):
+    rules = license_rules.RULES
+    pool = [s for _, sentences in rules for s in sentences]
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            name, sentences = rng.choice(rules)
+            if kind < 0.5:
+                parts += [x + rng.choice([". ", ".\n", ".\n\n", ":\n", " \n", "! "]) for x in sentences]
+            elif kind < 0.7:
+                parts += [rng.choice(pool) + ". ", rng.choice(sentences) + ". "]
+            else:
+                parts.append(f"Some {rng.choice(['short', 'longer ' * rng.randint(1, 60)])} prose v. 2.0 here{rng.choice(['. ', ', ', chr(10)])}")
+        text = "".join(parts)
+        texts.append("\n".join(textwrap.wrap(text, 60)) if rng.random() < 0.3 else text)
+    rows = list(enumerate([*texts, None, ""]))
+    got = scan(spark, rows)
+    wrong = [(t, got[k], plain_licenses(t, rules)) for k, t in rows if got[k] != plain_licenses(t, rules)]
+    assert not wrong, wrong[0]
+    assert len({x for names in got.values() for x in names}) >= 12
