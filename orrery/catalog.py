@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +18,7 @@ from .plans.compiler import Compiler
 from .plans.nodes import call, const, field, when
 from .plans.paths import View
 from .plans.stored import shared_folder
-from .sources import exchange, lists, objects
+from .sources import exchange, graph, lists, objects
 from .streaming import filters as streams
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +180,35 @@ def pred_fts_fields(spark, d):
     return q(spark, d, "documents").where({"$fts": {"query": "fr license", "fields": ["lang", "text"]}}).df().select("doc_id")
 
 
+@query("""SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_type ILIKE '%STEEL%' OR contains(lower(p_name), 'ing') AND starts_with(p_brand, 'Brand#2') OR ends_with(lower(p_type), 'tin') AND regexp_matches(p_name, '^[a-m]')
+OR regexp_matches(p_brand, '(?i)^BRAND#5') AND NOT regexp_matches(p_type, '(?i)copper')""")
+def pred_text_expression(spark, d):
+    name, kind, brand = ({"$field": c} for c in ("p_name", "p_type", "p_brand"))
+    f = {"$or": [
+        {"$and": [{"$like": [name, "%a%"]}, {"$ilike": [kind, "%STEEL%"]}]}, {"$and": [{"$containsIgnoreCase": [name, "ING"]}, {"$startsWith": [brand, "Brand#2"]}]},
+        {"$and": [{"$endsWithIgnoreCase": [kind, "TIN"]}, {"$regex": [name, "^[a-m]"]}]}, {"$and": [{"$iregex": [brand, "^BRAND#5"]}, {"$inotregex": [kind, "copper"]}]},
+    ]}
+    return q(spark, d, "part").where({"$expr": f}).df().select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS paid FROM orders) WHERE paid IS NULL AND o_totalprice > 100000 OR paid * 2 IS NOT NULL AND o_totalprice < 50000")
+def pred_null_expression(spark, d):
+    paid, price = {"$field": "Paid"}, {"$field": "o_totalprice"}
+    f = {"$or": [{"$and": [{"$isNull": paid}, {"$gt": [price, 100000]}]}, {"$and": [{"$notNull": {"$mul": [paid, 2]}}, {"$lt": [price, 50000]}]}]}
+    return _nullable(spark, d).where({"$expr": f}).df().select("o_orderkey")
+
+
+@query("""SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE coalesce(n, 0) > 5 OR coalesce(n, 0) < 2 OR coalesce(n, 0) <= 3 AND o_orderstatus = 'O' OR n >= 5 AND o_orderstatus = 'P'
+UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def pred_array_counts(spark, d):
+    whole = orders_with_lines(spark, d)
+    f = {"$or": [{"Lines": {"$arrayCountGt": 5}}, {"Lines": {"$arrayCountLt": 2}}, {"Lines": {"$arrayCountLte": 3}, "o_orderstatus": "O"}, {"Lines": {"$arrayCountGte": 5}, "o_orderstatus": "P"}]}
+    returned = whole.df.withColumn("Back", F.filter("Lines", lambda x: x["l_returnflag"] == "R"))
+    none = Query(View(returned, {"id": "o_orderkey"}, None, "orders")).where({"Back": {"$arrayEmpty": True}}).df()
+    counted = Query(whole).where(f).df()
+    return counted.select("o_orderkey").union(none.select(-F.col("o_orderkey")))
+
+
 def _nullable(spark, d) -> Query:
     df = view(spark, d, "orders").df.withColumn("Paid", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
     return Query(View(df, {"id": "o_orderkey"}, None, "orders"))
@@ -500,11 +527,28 @@ def aggregate_statistics(spark, d):
     return out.withColumns({"sum": F.round("sum", 2), "average": F.round("average", 4)})
 
 
-@query("SELECT 0::BIGINT AS sum_none, 0::BIGINT AS avg_none, true AS min_is_null, (SELECT max(p_size) FROM part)::BIGINT AS max_size")
+@query("""SELECT coalesce(sum(p_size) FILTER (WHERE p_size < -1), 0)::BIGINT AS sum_none, coalesce(avg(p_size) FILTER (WHERE p_size < -1), 0)::BIGINT AS avg_none, min(p_size) FILTER (WHERE p_size < -1) IS NULL AS min_is_null,
+max(p_size)::BIGINT AS max_size, min(p_size)::BIGINT AS min_size, sum(p_size)::BIGINT AS total, round(avg(p_size), 6) AS mean FROM part""")
 def aggregate_terminals(spark, d):
     p = q(spark, d, "part")
     none = p.where({"p_size": {"$lt": -1}})
-    return _scalar_row(spark, sum_none=int(none.sum("p_size")), avg_none=int(none.average("p_size")), min_is_null=none.min("p_size") is None, max_size=int(p.max("p_size")))
+    return _scalar_row(
+        spark, sum_none=int(none.sum("p_size")), avg_none=int(none.average("p_size")), min_is_null=none.min("p_size") is None, max_size=int(p.max("p_size")), min_size=int(p.min("p_size")),
+        total=int(p.sum("p_size")), mean=round(float(p.average("p_size")), 6),
+    )
+
+
+@query(f"WITH {_NODES} SELECT sum(id)::BIGINT AS total, round(avg(id), 3) AS mean, min(name) AS low, max(id)::BIGINT AS high FROM nodes WHERE scheme_id = 3")
+def aggregate_base_terminals(spark, d):
+    c = tq(spark, d, 3)
+    return _scalar_row(spark, total=int(c.sum("0$:Id")), mean=round(float(c.average("0$:Id")), 3), low=c.min("0$:Name"), high=int(c.max("0$:Id")))
+
+
+@query("SELECT sum(DISTINCT p_size)::BIGINT AS s, round(avg(DISTINCT p_size), 6) AS a, count(DISTINCT p_brand) AS n FROM part")
+def aggregate_distinct(spark, d):
+    size = {"$field": "p_size"}
+    out = q(spark, d, "part").aggregate({"$sum": size, "distinct": True, "alias": "s"}, {"$avg": size, "distinct": True, "alias": "a"}, {"$count": {"$field": "p_brand"}, "distinct": True, "alias": "n"})
+    return out.withColumn("a", F.round("a", 6))
 
 
 @query("""SELECT o_orderstatus, list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', ',') AS priorities FROM orders GROUP BY 1""")
@@ -729,11 +773,9 @@ def tree_path_to_root(spark, d):
     return tree.path_to_root(whole, node).select("id", "name")
 
 
-@query(f"{_PATHS}, crumbs AS (SELECT p.id, string_agg(m.name, ' > ' ORDER BY q.level) AS breadcrumbs FROM paths p JOIN paths q ON list_contains(p.path, q.id) JOIN nodes m ON m.id = q.id WHERE p.level < 3 AND q.level < 3 GROUP BY p.id) SELECT c.id, p.level, c.breadcrumbs FROM crumbs c JOIN paths p USING (id)")
+@query(f"{_PATHS}, crumbs AS (SELECT p.id, string_agg(m.name, ' > ' ORDER BY q.level) AS breadcrumbs FROM paths p JOIN paths q ON list_contains(p.path, q.id) JOIN nodes m ON m.id = q.id GROUP BY p.id) SELECT c.id, p.level, c.breadcrumbs FROM crumbs c JOIN paths p USING (id)")
 def tree_breadcrumbs(spark, d):
-    whole = forest(spark, d)
-    upper = whole.with_df(whole.df.where("scheme_id < 4"))
-    return tree.flattened(upper, "name", "breadth_first").select("id", "level", "breadcrumbs")
+    return tree.flattened(forest(spark, d), "name", "breadth_first").select("id", "level", "breadcrumbs")
 
 
 @query(f"{_PATHS} SELECT a AS id, count(*) AS subtree_size, max(level) - min(level) AS height FROM (SELECT unnest(path) AS a, level FROM paths) GROUP BY a")
@@ -747,9 +789,14 @@ def tree_statistics(spark, d):
     return tree.statistics(forest(spark, d)).withColumn("avg_children", F.round("avg_children", 6))
 
 
-@query(f"WITH {_NODES} SELECT 0::BIGINT AS n")
+@query(f"""WITH {_NODES}, broken AS (SELECT id, CASE WHEN id % 1000 = 7 THEN id WHEN id % 1000 = 8 THEN -id ELSE parent_id END AS parent_id FROM nodes UNION ALL SELECT id, parent_id FROM nodes WHERE id % 1000 = 9)
+SELECT id, 'duplicate id' AS problem FROM broken GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'missing parent' FROM broken WHERE parent_id NOT IN (SELECT id FROM broken) UNION ALL SELECT id, 'own parent' FROM broken WHERE id = parent_id""")
 def tree_integrity(spark, d):
-    return _scalar_row(spark, n=tree.integrity_errors(forest(spark, d)).count())
+    whole = forest(spark, d)
+    last = F.pmod("id", F.lit(1000))
+    parent = F.when(last == 7, F.col("id")).when(last == 8, -F.col("id")).otherwise(F.col("parent_id"))
+    broken = whole.df.withColumn("parent_id", parent).union(whole.df.where(last == 9))
+    return tree.integrity_errors(whole.with_df(broken))
 
 
 @query(f"WITH {_NODES} SELECT c.parent_id, count(*) AS n, round(avg(c.\"Value\"), 4) AS mean FROM nodes c JOIN nodes n ON c.parent_id = n.id WHERE c.scheme_id = 3 AND n.parent_id = 1 GROUP BY 1")
@@ -764,16 +811,38 @@ def tree_window(spark, d):
     return w.select({"field": "0$:Id", "alias": "id"}, {"func": "row_number", "alias": "place"})
 
 
-@query(f"WITH {_NODES} SELECT id, CASE WHEN id = 1000 THEN 3 ELSE parent_id END AS parent_id FROM nodes WHERE scheme_id < 4")
+@query(f"WITH {_NODES} SELECT id, CASE WHEN id = 1000 THEN 3 ELSE parent_id END AS parent_id FROM nodes")
 def tree_move(spark, d):
-    whole = forest(spark, d)
-    return tree.move(whole.with_df(whole.df.where("scheme_id < 4")), 1000, 3).select("id", "parent_id")
+    return tree.move(forest(spark, d), 1000, 3).select("id", "parent_id")
 
 
-@query(f"{_PATHS} SELECT id FROM paths WHERE NOT list_contains(path, 1000) AND level < 3")
+@query(f"{_PATHS} SELECT id FROM paths WHERE NOT list_contains(path, 1000)")
 def tree_delete_subtree(spark, d):
-    whole = forest(spark, d)
-    return tree.without_subtree(whole.with_df(whole.df.where("scheme_id < 4")), 1000).select("id")
+    return tree.without_subtree(forest(spark, d), 1000).select("id")
+
+
+@query(f"WITH {_NODES} SELECT id, parent_id, name FROM nodes UNION ALL SELECT -5, 1003, 'new'")
+def tree_create_child(spark, d):
+    return tree.create_child(forest(spark, d), 1003, {"id": -5, "name": "new", "scheme_id": 3}).select("id", "parent_id", "name")
+
+
+@query(f"{_PATHS}, ends AS (SELECT id, level, path, row_number() OVER (ORDER BY list_concat(path, [9223372036854775807])) AS place FROM paths) SELECT id, place FROM ends")
+def tree_post_order(spark, d):
+    walk = tree.flattened(forest(spark, d), order="post_order")
+    return walk.select("id", F.row_number().over(Window.orderBy(F.concat("path", F.array(F.lit(2**63 - 1))))).cast("long").alias("place"))
+
+
+@query(f"WITH {_NODES} SELECT id FROM nodes WHERE scheme_id = 3 AND parent_id IN (1000, 1003)")
+def tree_own_scheme(spark, d):
+    """Customers below two nations through customers only, so without orders, and none below a region."""
+    three = tq(spark, d, 3)
+    below = three.where_descendants_of(1000, 1003, polymorphic=False).df().select("id")
+    return below.union(three.where_descendants_of(1, 2, polymorphic=False).df().select("id"))
+
+
+@query(f"{_PATHS} SELECT n.id, p.level - 1 AS depth, coalesce(c.n, 0)::BIGINT AS n_children FROM nodes n JOIN paths p USING (id) LEFT JOIN (SELECT parent_id, count(*) AS n FROM nodes WHERE scheme_id < 4 GROUP BY 1) c ON c.parent_id = n.id AND p.level < 3 WHERE list_contains(path, 1003) AND p.level <= 2")
+def tree_load(spark, d):
+    return tree.load_tree(forest(spark, d), 1003, 1).select("id", F.col("depth").cast("long").alias("depth"), F.size("children").cast("long").alias("n_children"))
 
 
 @query(f"WITH {_NODES} SELECT scheme_id, count(*) AS n, min(id) AS low, max(name) AS last FROM nodes GROUP BY 1")
@@ -785,6 +854,54 @@ def group_by_base_column(spark, d):
 # Sources, storage and services.
 
 
+def _graph(spark, d) -> tuple[graph.Store, graph.References]:
+    """Orders that refer to customers, those to nations, those to regions; and nations that list their customers, and map them by segment."""
+    c = view(spark, d, "customer")
+    first = c.df.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first"))
+    first = first.groupBy("c_nationkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c_mktsegment", "first")))).alias("First"))
+    rich = c.df.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("Rich"))
+    n = view(spark, d, "nation")
+    groups = n.df.select("n_nationkey", "n_name").join(first, F.col("n_nationkey") == first["c_nationkey"], "left").drop("c_nationkey").join(rich, F.col("n_nationkey") == rich["c_nationkey"], "left").drop("c_nationkey")
+    store = {name: view(spark, d, name) for name in ("orders", "customer", "nation", "region")} | {"groups": View(groups, {"id": "n_nationkey"}, None, "groups")}
+    return store, {"orders": {"o_custkey": "customer"}, "customer": {"c_nationkey": "nation"}, "nation": {"n_regionkey": "region"}, "groups": {"Rich": "customer", "First": "customer"}}
+
+
+@query("""SELECT o_orderkey, c_name AS customer, n_name AS nation, r_name AS region, true AS shallow FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 300000""")
+def load_graph(spark, d):
+    store, references = _graph(spark, d)
+    rows = store["orders"].df.where("o_totalprice > 300000")
+    deep = graph.load_graph(store, references, "orders", rows, 10)
+    shallow = graph.load_graph(store, references, "orders", rows, 1).schema["o_custkey"].dataType.names == ["c_custkey"]
+    return deep.select("o_orderkey", F.col("o_custkey.c_name").alias("customer"), "o_custkey.c_nationkey.n_name", F.col("o_custkey.c_nationkey.n_regionkey.r_name").alias("region"), F.lit(shallow).alias("shallow")).withColumnRenamed("n_name", "nation")
+
+
+@query("""SELECT n_nationkey, coalesce(rich, '') AS rich, segments FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(c_name, ',' ORDER BY c_custkey) AS rich FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a ON a.c_nationkey = n_nationkey
+LEFT JOIN (SELECT c_nationkey, string_agg(c_mktsegment || '=' || low, ',' ORDER BY c_mktsegment) AS segments FROM (SELECT c_nationkey, c_mktsegment, arg_min(c_name, c_custkey) AS low FROM customer GROUP BY 1, 2) GROUP BY 1) b ON b.c_nationkey = n_nationkey""")
+def load_graph_arrays_and_maps(spark, d):
+    store, references = _graph(spark, d)
+    out = graph.load_graph(store, references, "groups", depth=2)
+    pairs = F.transform(F.map_entries("First"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["c_name"]))
+    return out.select("n_nationkey", F.coalesce(F.array_join(F.transform("Rich", lambda x: x["c_name"]), ","), F.lit("")).alias("rich"), F.array_join(pairs, ",").alias("segments"))
+
+
+@query("""SELECT 'customer' AS scheme, c_custkey AS id, upper(c_name) AS name, c_nationkey AS up FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'customer', c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT 'nation', n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 10 = 0) THEN lower(n_name) ELSE n_name END, n_regionkey FROM nation
+UNION ALL SELECT 'customer', (SELECT max(c_custkey) FROM customer) + 1, 'new', (SELECT max(n_nationkey) FROM nation) + 1 UNION ALL SELECT 'nation', (SELECT max(n_nationkey) FROM nation) + 1, 'new nation', 1""")
+def save_graph(spark, d):
+    """Customers with changed names saved with their changed nations, and one of a new nation, both without ids."""
+    store, references = _graph(spark, d)
+    references = {"customer": {"c_nationkey": "nation"}}
+    found = graph.load_graph(store, references, "customer", store["customer"].df.where("c_custkey % 10 = 0"))
+    found = found.withColumn("c_name", F.upper("c_name")).withColumn("c_nationkey", F.col("c_nationkey").withField("n_name", F.lower("c_nationkey.n_name")))
+    kind = found.schema
+    nation = {f.name: None for f in kind["c_nationkey"].dataType.fields} | {"n_name": "new nation", "n_regionkey": 1}
+    new = {f.name: None for f in kind.fields} | {"c_name": "new", "c_nationkey": nation}
+    saved = graph.save_graph(store, references, "customer", found.union(spark.createDataFrame([new], T.StructType([T.StructField(f.name, f.dataType) for f in kind.fields]))))
+    c = saved["customer"].select(F.lit("customer").alias("scheme"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("up"))
+    return c.union(saved["nation"].select(F.lit("nation"), "n_nationkey", "n_name", "n_regionkey"))
+
+
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 def reference_load(spark, d):
     o = q(spark, d, "orders").where({"o_totalprice": {"$gt": 300000}}).df()
@@ -822,7 +939,7 @@ def values_pivot(spark, d):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def exchange_round_trip(spark, d):
     df = view(spark, d, "nation").df
-    path = str(Path(tempfile.mkdtemp(prefix="orrery-"), "nations.zip"))
+    path = f"{shared_folder(spark)}/nations-{uuid.uuid4().hex}.zip"
     exchange.export({"object": df}, path, compress=True)
     return exchange.load(spark, path, {"object": df.schema})["object"]
 
@@ -848,36 +965,33 @@ def write_and_read(spark, d):
     return objects.load(spark, path, {"id": "o_orderkey"}).df.select("o_orderkey", "o_orderstatus")
 
 
-@query(f"{_PATHS} SELECT n.id, CASE WHEN list_contains(path, 1003) THEN -10 ELSE scheme_id END AS scheme_id FROM nodes n JOIN paths p USING (id) WHERE level < 3")
+@query(f"{_PATHS} SELECT n.id, CASE WHEN list_contains(path, 1003) THEN -10 ELSE scheme_id END AS scheme_id FROM nodes n JOIN paths p USING (id)")
 def soft_delete(spark, d):
-    whole = forest(spark, d)
-    upper = whole.with_df(whole.df.where("scheme_id < 4"))
-    return storage.soft_delete(upper, spark.createDataFrame([(1003,)], "id long")).select("id", "scheme_id")
+    return storage.soft_delete(forest(spark, d), spark.createDataFrame([(1003,)], "id long")).select("id", "scheme_id")
 
 
-@query(f"{_PATHS} SELECT id FROM paths WHERE NOT list_contains(path, 1003) AND level < 3")
+@query(f"{_PATHS} SELECT id FROM paths WHERE NOT list_contains(path, 1003)")
 def purge(spark, d):
     whole = forest(spark, d)
-    upper = whole.with_df(whole.df.where("scheme_id < 4"))
-    marked = storage.soft_delete(upper, spark.createDataFrame([(1003,)], "id long"))
-    return storage.purge(upper.with_df(marked)).select("id")
+    marked = storage.soft_delete(whole, spark.createDataFrame([(1003,)], "id long"))
+    return storage.purge(whole.with_df(marked)).select("id")
 
 
-@query(f"{_PATHS} SELECT id FROM paths WHERE level < 3 AND (list_contains(path, 1) OR list_contains(path, 1004)) AND NOT list_contains(path, 1000)")
+@query(f"{_PATHS} SELECT id FROM paths WHERE (list_contains(path, 1) OR list_contains(path, 1004)) AND NOT list_contains(path, 1000)")
 def permissions_inherited(spark, d):
-    whole = forest(spark, d)
-    upper = whole.with_df(whole.df.where("scheme_id < 4"))
     granted = spark.createDataFrame(
         [(0, 7, None, False, False, False, False), (1, 7, None, True, False, False, False), (1004, None, 5, True, True, False, False), (1000, 7, None, False, False, False, False)],
         "id_ref long, user_id long, role_id long, select boolean, insert boolean, update boolean, delete boolean",
     )
     roles = spark.createDataFrame([(7, 5)], "user_id long, role_id long")
-    return permissions.allowed(upper, granted, 7, "select", roles).select("id")
+    return permissions.allowed(forest(spark, d), granted, 7, "select", roles).select("id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE TRY_CAST(p_name AS BIGINT) IS NOT NULL) AS success, count(*) FILTER (WHERE TRY_CAST(p_name AS BIGINT) IS NULL) AS errors FROM part")
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE mixed IS NULL OR TRY_CAST(mixed AS BIGINT) IS NOT NULL) AS success, count(*) FILTER (WHERE mixed IS NOT NULL AND TRY_CAST(mixed AS BIGINT) IS NULL) AS errors
+FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS mixed FROM part)""")
 def migrate_type(spark, d):
-    return schemes.migration_report(view(spark, d, "part").df, "p_name", T.LongType())
+    mixed = F.when(F.col("p_partkey") % 5 == 0, None).when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    return schemes.migration_report(view(spark, d, "part").df.withColumn("mixed", mixed), "mixed", T.LongType())
 
 
 @query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, TRY_CAST(p_name AS BIGINT) AS p_name, NULL::DOUBLE AS added FROM part")

@@ -34,8 +34,10 @@ def parse(query: str) -> list[list[tuple[bool, str]]]:
     return [g for g in groups if g]
 
 
-def matches(texts: Sequence[Column], query: str) -> Column:
-    """Whether the texts, one behind the other, match."""
+def matches(texts: Sequence[Column], query: str, language: str | None = None) -> Column:
+    """Whether the texts, one behind the other, match; there are no languages with stemming, so only "simple" may be asked for."""
+    if language not in (None, "simple"):
+        raise ValueError(f"no text search for the language {language}")
     words = normalised(F.concat_ws(" ", *texts))
     found = F.lit(False)
     for group in parse(query):

@@ -8,12 +8,12 @@ may do everything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.paths import View
-from ..plans.stored import small
-from .tree import levels
+from ..plans.stored import small, stored
+from .tree import _along, _longest, _pointers, links
 
 ACTIONS = ("select", "insert", "update", "delete")
 
@@ -27,11 +27,19 @@ def effective(view: View, permissions: DataFrame, user: int, user_roles: DataFra
         roles = [r.role_id for r in user_roles.where(F.col("user_id") == user).select("role_id").distinct().collect()]  # of one user
         mine = mine | F.col("role_id").isin(roles)
     own = permissions.where(mine).select("id_ref", F.col("user_id").isNull().cast("int").alias("by_role"), *ACTIONS)
-    steps = levels(view, with_path=True).select("id", F.size("path").alias("n"), F.posexplode(F.array_union(F.array(F.lit(0).cast("long")), F.col("path").cast("array<long>"))).alias("at", "id_ref"))
-    found = steps.join(small(own), "id_ref", "left").where("by_role is not null or at = 0")
-    nearest = Window.partitionBy("id").orderBy(F.col("by_role").isNull(), F.desc("at"), "by_role")
-    best = found.withColumn("_row", F.row_number().over(nearest)).where("_row = 1")
-    return best.select("id", *[F.coalesce(a, F.lit(False)).alias(a) for a in ACTIONS])
+    best = own.groupBy("id_ref").agg(F.min_by(F.struct(*ACTIONS), "by_role").alias("granted"))
+    known = small(best)
+    # The nearest object with a permission, on the way up from each one, itself included.
+    state = _pointers(links(view)).join(known.select(F.col("id_ref").alias("mark")), F.col("id") == F.col("mark"), "left").select("id", "up", "mark")
+    state = stored(state, "walk")
+    for _ in range(_longest(state)):
+        if state.where("up is not null").isEmpty():
+            break
+        state = _along(state, mark=F.coalesce("mark", "up_mark"))
+    else:
+        raise ValueError("the parent links have a cycle")
+    found = state.select("id", F.coalesce("mark", F.lit(0)).alias("id_ref")).join(known, "id_ref", "left")
+    return found.select("id", *[F.coalesce(f"granted.{a}", F.lit(False)).alias(a) for a in ACTIONS])
 
 
 def allowed(view: View, permissions: DataFrame, user: int, action: str = "select", user_roles: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.compiler import Compiler
 from ..plans.nodes import tree_of
@@ -98,13 +99,18 @@ class Query:
         df = self.filtered()
         compiler = Compiler(self.view.with_df(df))
         order = compiler.order(self.orders)
-        if self.unique == "props":
-            df = _first_of(df, [df[c] for c in self._distinct_columns()], order, self._tie(df))
-        elif self.unique == "base":
-            df = _first_of(df, [df[c] for c in self._base_columns() if c != self.view.id], order, self._tie(df))
-        elif self.unique == "by":
+        if self.unique:
+            rising = _rising(compiler, self.orders)
+            if self.unique == "by":
+                keys = [compiler._value_of(_order(k, False)) for k in self.unique_by]
+            else:
+                names = self._distinct_columns() if self.unique == "props" else [c for c in self._base_columns() if c != self.view.id]
+                keys = [df[c] for c in names]
+            df = _first_of(df, keys, order, rising, self._tie(df))
+            compiler = Compiler(self.view.with_df(df))
+            order = compiler.order(self.orders)
+        if self.unique == "by":
             keys = [compiler._value_of(_order(k, False)) for k in self.unique_by]
-            df = _first_of(df, keys, order, self._tie(df))
             order = [*[k.asc_nulls_last() for k in keys], *order]
         if order:
             df = df.orderBy(*order)
@@ -219,11 +225,45 @@ def _order(key: Any, desc: bool) -> Any:
     return {**entry, "dir": "desc" if desc else "asc"}
 
 
-def _first_of(df: DataFrame, keys: list[Column], order: list[Column], tie: list[Column]) -> DataFrame:
+def _rising(compiler: Compiler, orders: Sequence[Any]) -> list[Column] | None:
+    """Columns that rise, with nulls where they belong, as the orders want it; None where that can't be said without a sort."""
+    out: list[Column] = []
+    for key in orders:
+        if isinstance(key, Column):
+            return None
+        key = {"field": key} if isinstance(key, str) else key
+        desc = str(key.get("dir", key.get("direction", "asc"))).lower() == "desc"
+        last = str(key.get("nulls", "first" if desc else "last")).lower() == "last"
+        c = compiler._value_of(key)
+        kind = compiler.view.df.select(c.alias("x")).schema["x"].dataType
+        out.append(c.isNull() if last else c.isNotNull())
+        if not desc:
+            out.append(c)
+        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            out.append(F.bitwise_not(c))
+        elif isinstance(kind, T.TimestampType):
+            out.append(F.bitwise_not(F.unix_micros(c)))
+        elif isinstance(kind, T.DateType):
+            out.append(F.bitwise_not(F.unix_date(c)))
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            out += [~F.isnan(c), -c]  # nothing is greater than NaN
+        elif isinstance(kind, T.DecimalType):
+            out.append(-c)
+        else:
+            return None
+    return out
+
+
+def _first_of(df: DataFrame, keys: list[Column], order: list[Column], rising: list[Column] | None, tie: list[Column]) -> DataFrame:
+    """The first row of each key: by an aggregation, which is combined before the shuffle, or else by a sort of each key's rows."""
     if not order and not tie:
         return df.dropDuplicates()
-    window = Window.partitionBy(*keys).orderBy(*order, *tie)
-    return df.withColumn("_row", F.row_number().over(window)).where("_row = 1").drop("_row")
+    if rising is None:
+        window = Window.partitionBy(*keys).orderBy(*order, *tie)
+        return df.withColumn("_row", F.row_number().over(window)).where("_row = 1").drop("_row")
+    place = F.struct(*[c.alias(f"p{k}") for k, c in enumerate([*rising, *tie])])
+    best = df.groupBy(*[c.alias(f"_key_{k}") for k, c in enumerate(keys)]).agg(F.min_by(F.struct(*df.columns), place).alias("_first"))
+    return best.select("_first.*")
 
 
 @dataclass(frozen=True)

@@ -53,12 +53,16 @@ def _along(state: DataFrame, **made: Column) -> DataFrame:
     return stored(moved.select(*[x.alias(c) for c, x in columns.items()]).union(done), "walk")
 
 
-def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False) -> DataFrame:
-    """id, depth of everything below the ids in ``seeds`` (a column id); depth from the nearest seed. Seeds are in it only if asked, or below another."""
+def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, through: View | None = None) -> DataFrame:
+    """id, depth of everything below the ids in ``seeds`` (a column id); depth from the nearest seed. Seeds are in it only if asked, or below another.
+
+    through: the objects that the walk may go through and end at, if not all.
+    """
     nodes = links(view)
     seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
     marked = small(seeds.select(F.col("id").alias("seed")))
-    state = nodes.select("id", F.col("parent_id").alias("up")).join(marked, F.col("up") == F.col("seed"), "left")
+    walked = links(through) if through else nodes
+    state = walked.select("id", F.col("parent_id").alias("up")).join(marked, F.col("up") == F.col("seed"), "left")
     state = stored(state.select("id", "up", F.when(F.col("seed").isNotNull(), 1).cast("long").alias("near")), "walk")
     most, span = _longest(state), 1  # near: the least number of steps, of the first `span`, up to a seed
     for _ in range(most):
@@ -74,13 +78,20 @@ def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, incl
     return found.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
-def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False) -> DataFrame:
-    """id, depth of everything above the ids in ``seeds``; parents are at depth 1."""
+def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, through: View | None = None) -> DataFrame:
+    """id, depth of everything above the ids in ``seeds``; parents are at depth 1.
+
+    through: the objects that the walk may go through and end at, if not all.
+    """
     nodes = links(view)
     seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
     # In each round the nodes found so far hand their depth on to where their pointers lead.
     found = seeds.select("id", F.lit(True).alias("seed"), F.lit(None).cast("long").alias("depth"))
-    state = stored(_pointers(nodes), "walk")
+    ends = links(through) if through else nodes
+    known = ends.select(F.col("id").alias("known")).distinct()
+    starts = ends.union(nodes.join(seeds, "id", "left_semi")).distinct() if through else nodes  # a seed may be any object
+    state = starts.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
+    state = stored(state, "walk")
     most, span = _longest(state), 1
     for _ in range(most):
         if max_depth is not None and span > max_depth:
@@ -146,11 +157,12 @@ class TreeQuery(Query):
     def where_children_of(self, *ids: Any) -> TreeQuery:
         return self._and("children", ids)
 
-    def where_descendants_of(self, *ids: Any, max_depth: int | None = None, include_seeds: bool = False) -> TreeQuery:
-        return self._and("descendants", (ids, max_depth, include_seeds))
+    def where_descendants_of(self, *ids: Any, max_depth: int | None = None, include_seeds: bool = False, polymorphic: bool = True) -> TreeQuery:
+        """polymorphic: whether the walk goes through objects of all schemes, or only of the query's own."""
+        return self._and("descendants", (ids, max_depth, include_seeds, polymorphic))
 
-    def where_ancestors_of(self, *ids: Any, max_depth: int | None = None) -> TreeQuery:
-        return self._and("ancestors", (ids, max_depth))
+    def where_ancestors_of(self, *ids: Any, max_depth: int | None = None, polymorphic: bool = True) -> TreeQuery:
+        return self._and("ancestors", (ids, max_depth, polymorphic))
 
     def where_has_ancestor(self, condition: Any, view: View | None = None, max_depth: int | None = None) -> TreeQuery:
         """A proper ancestor, of the scheme of ``view`` if given, that the condition holds for: found first, then walked down from."""
@@ -205,7 +217,7 @@ class TreeQuery(Query):
             else:
                 if op == "$descendantsof":
                     ids = value if isinstance(value, list) else [value]
-                    walk = self._walk("descendants", (ids, None, False))
+                    walk = self._walk("descendants", (ids, None, False, True))
                 else:
                     walk = self._walk("has_ancestor" if op == "$hasancestor" else "has_descendant", (value, None, None))
                 df = df.join(walk.select(F.col("id").alias(key), F.lit(True).alias(flag)), key, "left")
@@ -244,10 +256,10 @@ class TreeQuery(Query):
     def _walk(self, kind: str, value: Any) -> DataFrame:
         forest = self._forest()
         if kind == "descendants":
-            ids, max_depth, include = value
-            return descendants(forest, self._listed(ids), max_depth, include)
+            ids, max_depth, include, polymorphic = value
+            return descendants(forest, self._listed(ids), max_depth, include, None if polymorphic else self.view)
         if kind == "ancestors":
-            return ancestors(forest, self._listed(value[0]), value[1])
+            return ancestors(forest, self._listed(value[0]), value[1], through=None if value[2] else self.view)
         condition, view, max_depth = value
         walk = descendants if kind == "has_ancestor" else ancestors
         return walk(forest, self._matching(condition, view), max_depth)
@@ -270,6 +282,16 @@ def path_to_root(view: View, node: Any) -> DataFrame:
     return view.df.join(F.broadcast(walk.withColumnRenamed("id", view.id)), view.id).orderBy(F.desc("depth")).drop("depth")
 
 
+def load_tree(view: View, node: Any, max_depth: int | None = None, through: View | None = None) -> DataFrame:
+    """The node (at depth 0) and everything below it, as far as max_depth, with depth and the ids of children that are there too."""
+    seeds = view.df.where(F.col(view.id) == node).select(F.col(view.id).alias("id"))
+    found = small(stored(descendants(view, seeds, max_depth, True, through), "tree").withColumnRenamed("id", view.id))
+    rows = view.df.join(found, view.id)
+    below = rows.where("depth > 0").groupBy(F.col(view.parent).alias("_up")).agg(F.array_sort(F.collect_list(view.id)).alias("children"))
+    none = F.array().cast(below.schema["children"].dataType)
+    return rows.join(below, F.col(view.id) == F.col("_up"), "left").drop("_up").withColumn("children", F.coalesce("children", none))
+
+
 def flattened(view: View, name: str | None = None, order: str = "depth_first") -> DataFrame:
     """All nodes with level, path of ids and, if a name column is given, breadcrumbs; in depth-first or breadth-first order."""
     found = levels(view, with_path=True).withColumnRenamed("id", view.id)

@@ -6,9 +6,10 @@ A tree is ``{"func": name, "args": [...], "partition_by": [...], "order_by": [..
 the current row) and ``exclude`` (no_others, current_row, group, ties).
 
 Emulations: a filter is a ``when`` inside the aggregate; a GROUPS frame is a RANGE frame over
-the dense rank of the order; an exclusion takes the frame's elements, with their place and
-group, as an array and drops some, so such frames should be narrow.  Ranking without an order
-goes by the id.  Partitions are as large as their keys are frequent: Spark sorts a partition
+the dense rank of the order; an exclusion divides the frame in two around what goes, or subtracts
+that from sums and counts.  Only ``min`` and ``max`` over RANGE frames, or over ROWS frames without
+the row's group, take the frame's elements as an array, so these should be narrow.  Ranking without
+an order goes by the id.  Partitions are as large as their keys are frequent: Spark sorts a partition
 in one task, spilling to disk.
 """
 
@@ -195,6 +196,37 @@ def _emulated(compiler, df: DataFrame, tree: dict, frame: dict, prefix: str) ->
     value = F.lit(1) if args[0] == "*" else compiler.scalar({"$field": args[0]} if isinstance(args[0], str) else args[0])
     if tree.get("filter") is not None:
         value = F.when(compiler.filter(tree["filter"]), value)
+    if exclude not in ("current_row", "group", "ties"):
+        raise ValueError(f"unknown exclusion {exclude}")
+    peers = Window.partitionBy(*parts, F.col(group))
+    around = start <= 0 <= end
+    kept: list[WindowSpec] | None = None  # frames whose rows together are what stays
+
+    def sides(by: str, frame: str) -> list[WindowSpec]:
+        spans = [(start, min(end, -1)), (max(start, 1), end)]
+        return [getattr(Window.partitionBy(*parts).orderBy(F.col(by)), frame)(a, b) for a, b in spans if a <= b]
+
+    others = [peers.orderBy(F.col(place)).rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing))]
+    own = peers.orderBy(F.col(place)).rowsBetween(0, 0)
+    if mode == "rows" and exclude == "current_row":
+        kept = sides(place, "rowsBetween")
+    elif mode == "groups":
+        kept = sides(group, "rangeBetween") + {"group": [], "ties": [own], "current_row": others}[exclude] * around
+    if kept is not None:
+        return df, _together(name, value, kept)
+    # The rows that go: of the frame, those of the row's group, all or some.
+    if mode == "rows":
+        gone = [peers.orderBy(F.col(place)).rowsBetween(start, end)]
+        back = [own] if exclude == "ties" and around else []
+    else:
+        gone = {"group": [peers], "ties": others, "current_row": [own]}[exclude] * around
+        back = []
+    if name in ("sum", "avg", "count"):
+        n = _count(value, [window]) - _count(value, gone) + _count(value, back)
+        if name == "count":
+            return df, n
+        total = _sum(value, [window]) - _sum(value, gone) + _sum(value, back)
+        return df, F.when(n > 0, total if name == "sum" else total / n)
     members = F.collect_list(F.struct(value.alias("v"), F.col(place).alias("p"), F.col(group).alias("g"))).over(window)
     df = df.withColumn(f"{prefix}_members", members)
 
@@ -203,14 +235,33 @@ def _emulated(compiler, df: DataFrame, tree: dict, frame: dict, prefix: str) ->
             return x["p"] != F.col(place)
         if exclude == "group":
             return x["g"] != F.col(group)
-        if exclude == "ties":
-            return (x["g"] != F.col(group)) | (x["p"] == F.col(place))
-        raise ValueError(f"unknown exclusion {exclude}")
+        return (x["g"] != F.col(group)) | (x["p"] == F.col(place))
 
     left = F.transform(F.filter(F.col(f"{prefix}_members"), lambda x: stays(x) & x["v"].isNotNull()), lambda x: x["v"])
-    kind = df.schema[f"{prefix}_members"].dataType.elementType["v"].dataType
-    if name == "count":
-        return df, F.size(left).cast("long")
-    from ..plans.compiler import array_aggregate
+    return df, F.array_min(left) if name == "min" else F.array_max(left)
+
 
-    return df, array_aggregate(left, kind, name)
+def _count(value: Column, frames: list[WindowSpec]) -> Column:
+    out = F.lit(0).cast("long")
+    for frame in frames:
+        out = out + F.count(value).over(frame)
+    return out
+
+
+def _sum(value: Column, frames: list[WindowSpec]) -> Column:
+    out = F.lit(0)
+    for frame in frames:
+        out = out + F.coalesce(F.sum(value).over(frame), F.lit(0))
+    return out
+
+
+def _together(name: str, value: Column, frames: list[WindowSpec]) -> Column:
+    """An aggregate of the rows of several frames that share none."""
+    if name == "count":
+        return _count(value, frames)
+    if name in ("min", "max"):
+        found = [getattr(F, name)(value).over(frame) for frame in frames]
+        pick = F.least if name == "min" else F.greatest
+        return F.when(F.lit(False), value) if not found else found[0] if len(found) == 1 else pick(*found)
+    n, total = _count(value, frames), _sum(value, frames)
+    return F.when(n > 0, total if name == "sum" else total / n)

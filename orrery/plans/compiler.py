@@ -135,7 +135,8 @@ class Compiler:
         if op in _TEXT:
             return _TEXT[op](column, F.lit(value))
         if op == "$fts":
-            return text_search.matches([column], value["query"] if isinstance(value, dict) else value)
+            query, language = (value["query"], value.get("language")) if isinstance(value, dict) else (value, None)
+            return text_search.matches([column], query, language)
         raise ValueError(f"unknown operator {op}")
 
     def _array(self, column: Column, kind: T.DataType, op: str, value: Any) -> Column:
@@ -208,11 +209,12 @@ class Compiler:
         if op in _TEXT:
             return _TEXT[op](self.scalar(args[0]), self.scalar(args[1]))
         if op == "$fts":
+            language = None
             if isinstance(args, dict):
-                query, fields = args["query"], args["fields"]
+                query, fields, language = args["query"], args["fields"], args.get("language")
             else:
                 query, *fields = args
-            return text_search.matches([self.scalar(f if isinstance(f, (dict, Node)) else {"$field": f}) for f in fields], query)
+            return text_search.matches([self.scalar(f if isinstance(f, (dict, Node)) else {"$field": f}) for f in fields], query, language)
         if op in self.extra:
             return self.extra[op](args)
         return self.scalar(tree)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of two longs that are broadcast at most.
@@ -15,9 +16,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own, but only if there are no other machines."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = Path(tempfile.gettempdir(), f"orrery-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,3 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if it has no more rows than a bound."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def numbered(df: DataFrame, name: str, *order: str, start: int = 1) -> DataFrame:
+    """Adds a column that counts the rows in an order, without gaps: by ranges, each in a task of its own, shifted by the rows before."""
+    part, at, before = "_part", "_at", "_before"
+    ranged = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), "numbered")
+    sums = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = ranged.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(sums), F.lit(0)).alias(before))
+    rows = ranged.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    rows = rows.join(F.broadcast(offsets), part)
+    return rows.withColumn(name, (F.col(before) + F.col(at) + (start - 1)).cast("long")).drop(part, at, before)

@@ -1,23 +1,30 @@
 """Exchange files: JSON lines with a header, typed records and a footer, plain or in a ZIP archive.
 
-Export writes one file from the driver, streaming partition by partition, for exchange with
-other systems; for large data use Parquet.  Import reads lines with Spark.
+Export writes one file, which the driver makes partition by partition and then copies to its
+place, for exchange with other systems; for large data use Parquet.  Import reads lines with
+Spark; an archive, which can't be divided, is read by one task, batch by batch.  Paths are of any
+file system that Spark knows.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import json
+import os
+import tempfile
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = 1
 ENTRY = "data.jsonl"
+#: Lines of an archive that are handed on at a time.
+LINES = 5000
 #: Record kinds in an order in which each only refers to earlier ones.
 KINDS = ("type", "scheme", "structure", "user", "role", "list", "list_item", "object", "value", "permission", "function")
 
@@ -44,26 +51,42 @@ def export(tables: dict[str, DataFrame], path: str, compress: bool = False, dry_
     if dry_run:
         return {k: df.count() for k, df in tables.items()}
     last = "{}"
-    with open(path, "wb") as f:
-        archive = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) if compress else None
-        out = archive.open(ENTRY, "w") if archive else f
-        for last in lines(tables):
-            out.write(last.encode() + b"\n")
-        if archive:
-            out.close()
-            archive.close()
+    with tempfile.TemporaryDirectory(prefix="orrery-") as folder:
+        local = os.path.join(folder, "export")
+        with open(local, "wb") as f:
+            archive = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) if compress else None
+            out = archive.open(ENTRY, "w") if archive else f
+            for last in lines(tables):
+                out.write(last.encode() + b"\n")
+            if archive:
+                out.close()
+                archive.close()
+        _put(next(iter(tables.values())).sparkSession, local, path)
     return json.loads(last)["counts"]
 
 
+def _put(spark: SparkSession, local: str, path: str) -> None:
+    """Copies a file of the driver's to a path of any file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of archives."""
+    for batch in batches:
+        for content in batch.column(0).to_pylist():
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(ENTRY) as f:
+                whole = io.TextIOWrapper(f, "utf-8")
+                while rows := list(itertools.islice(whole, LINES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in rows], pa.string())], ["value"])
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """type and data (JSON) of each record, from a plain file or an archive."""
-    local = Path(path)
-    if local.is_file() and zipfile.is_zipfile(local):
-        with zipfile.ZipFile(local) as z, z.open(ENTRY) as f:
-            rows = [(line.rstrip("\n"),) for line in io.TextIOWrapper(f, "utf-8")]
-        text = spark.createDataFrame(rows, "value string")
-    else:
-        text = spark.read.text(path)
+    files = spark.read.format("binaryFile").load(path)
+    head = spark.read.text(path).select(F.substring("value", 1, 2)).first()
+    text = files.select("content").mapInArrow(_unpacked, "value string") if head and head[0] == "PK" else spark.read.text(path)
     return text.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.data").alias("data"), "value")
 
 

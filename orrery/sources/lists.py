@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stored import small
+from ..plans.stored import numbered, small
 
 ITEM = "struct<Id: bigint, Value: string, Alias: string>"
 
 
 def items(df: DataFrame, value: str, alias: str | None = None, id: str | None = None) -> DataFrame:
     """A list of the distinct values of a column; ids count them from 1 in order of the values unless a column gives them."""
-    from pyspark.sql import Window
-
     if id:
         return df.select(F.col(id).cast("long").alias("id"), F.col(value).cast("string").alias("value"), (F.col(alias) if alias else F.lit(None)).cast("string").alias("alias")).distinct()
     values = df.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct()
-    return values.select(F.row_number().over(Window.orderBy("value")).cast("long").alias("id"), "value", F.lit(None).cast("string").alias("alias"))
+    return numbered(values, "id", "value").select("id", "value", F.lit(None).cast("string").alias("alias"))
 
 
 def with_items(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
