@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import registered
 from .operators import permissions, storage, tree
 from .operators.query import Query
 from .operators.tree import TreeQuery
@@ -951,6 +952,52 @@ def list_items_used(spark, d):
     return lists.used(items, [(coded, "Priority")]).select("id", "value")
 
 
+@query("""SELECT id, value FROM (SELECT DISTINCT dense_rank() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority AS value FROM orders) WHERE value <> '3-MEDIUM' AND value <> '5-LOW'
+UNION ALL SELECT (SELECT count(DISTINCT o_orderpriority) FROM orders) + 1, '6-NEW' UNION ALL SELECT 5, 'LOWEST'""")
+def list_changes(spark, d):
+    """Items added, renamed, deleted, and kept to a set of values."""
+    items = lists.items(view(spark, d, "orders").df, "o_orderpriority")
+    items = lists.add_items(items, spark.createDataFrame([("6-NEW",), ("1-URGENT",)], "value string"))
+    items = lists.update_items(items, spark.createDataFrame([(5, "LOWEST", None), (99, "none", None)], "id long, value string, alias string"))
+    wanted = lists.delete_items(items, spark.createDataFrame([(3,)], "id long"))
+    return lists.sync_items(items, wanted).select("id", "value")
+
+
+@query(f"""{_PATHS} SELECT id FROM paths WHERE list_contains(path, 1) AND NOT list_contains(path, 1000) OR list_contains(path, 1007)""")
+def permissions_changed(spark, d):
+    kind = "id_ref long, user_id long, role_id long, select boolean, insert boolean, update boolean, delete boolean"
+    made = lambda *rows: spark.createDataFrame([(r, u, None, x, False, False, False) for r, u, x in rows], kind)
+    granted = permissions.grant(made((0, 7, True), (1, 7, False), (2, 7, True)), made((0, 7, False), (1, 7, True), (1000, 7, False), (1007, 7, True)))
+    granted = permissions.revoke(granted, spark.createDataFrame([(2, 7)], "id_ref long, user_id long"))
+    return permissions.allowed(forest(spark, d), granted, 7).select("id")
+
+
+@query(f"""{_PATHS} SELECT id, CASE WHEN list_contains(path, 1) THEN 7 ELSE 5 END AS subject FROM paths WHERE level = 1 UNION ALL SELECT 1, 7 UNION ALL SELECT 0, 5""")
+def permissions_of_parents(spark, d):
+    """Nations that got children have a copy of what holds for them from above."""
+    kind = "id_ref long, user_id long, role_id long, select boolean, insert boolean, update boolean, delete boolean"
+    granted = spark.createDataFrame([(0, None, 5, True, False, False, False), (1, 7, None, True, True, False, False)], kind)
+    nations = of_scheme(forest(spark, d), 2).df.select("id")
+    out = permissions.for_new_children(forest(spark, d), granted, nations)
+    return out.select(F.col("id_ref").alias("id"), F.coalesce("user_id", "role_id").alias("subject"))
+
+
+@query("SELECT 'p_' || p_partkey AS label, p_size * p_size + 1 AS area FROM part WHERE p_size * p_size + 1 > 500")
+def stored_functions(spark, d):
+    table = spark.createDataFrame([(1, "orrery_label", "x BIGINT", "STRING", "'p_' || x"), (1, "orrery_area", "x INT", "INT", "x * x + 1"), (2, "orrery_other", "x INT", "INT", "0")], "scheme_id long, name string, parameters string, returns string, body string")
+    names = registered.register(table, 1)
+    v = view(spark, d, "part")
+    compiler = Compiler(v, registered.operators(names, Compiler(v).scalar))
+    found = v.df.where(compiler.boolean({"$gt": [{"$orrery_area": [{"$field": "p_size"}]}, 500]}))
+    return found.select(compiler.scalar({"$orrery_label": {"$field": "p_partkey"}}).alias("label"), compiler.scalar({"$orrery_area": [{"$field": "p_size"}]}).alias("area"))
+
+
+@query(f"WITH {_NODES}, up AS (SELECT n.id, CASE WHEN n.scheme_id = 4 THEN 0 WHEN n.scheme_id = 3 THEN (CASE WHEN EXISTS (SELECT 1 FROM nodes o WHERE o.parent_id = n.id) THEN 1 ELSE 0 END) END AS height, n.parent_id, n.scheme_id FROM nodes n WHERE n.scheme_id >= 3 AND n.id % 50 <> 3 OR n.scheme_id < 3) SELECT id FROM (SELECT parent_id AS id, max(height) - min(height) AS spread FROM up WHERE scheme_id >= 3 AND parent_id IS NOT NULL GROUP BY 1) WHERE spread > 1")
+def tree_unbalanced(spark, d):
+    whole = forest(spark, d)
+    return tree.unbalanced(whole.with_df(whole.df.where("scheme_id < 3 or id % 50 <> 3")))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 0.5")
 def save_batch(spark, d):
     c = view(spark, d, "customer").df.select("c_custkey", "c_acctbal")

@@ -48,3 +48,61 @@ def allowed(view: View, permissions: DataFrame, user: int, action: str = "select
         raise ValueError(f"unknown action {action}")
     ids = effective(view, permissions, user, user_roles).where(F.col(action)).select(F.col("id").alias(view.id))
     return view.df.join(ids, view.id, "left_semi")
+
+
+_SUBJECT = ("id_ref", "user_id", "role_id")
+
+
+def grant(permissions: DataFrame, new: DataFrame) -> DataFrame:
+    """The permissions and the new ones (all columns); one of the same object and user, or role, is replaced."""
+    wrong = new.where(F.col("user_id").isNull() == F.col("role_id").isNull())
+    if not wrong.isEmpty():
+        raise ValueError("a permission is of a user or of a role")
+    return _without(permissions, new).unionByName(new.select(permissions.columns))
+
+
+def revoke(permissions: DataFrame, gone: DataFrame) -> DataFrame:
+    """The permissions without those of these objects and users, or roles; without a column id_ref, of all objects."""
+    return _without(permissions, gone)
+
+
+def _without(permissions: DataFrame, others: DataFrame) -> DataFrame:
+    names = [c for c in _SUBJECT if c in others.columns]
+    keys = small(others.select([F.col(c).alias(f"_{c}") for c in names]).distinct())
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return permissions.join(keys, same, "left_anti")
+
+
+def for_new_children(view: View, permissions: DataFrame, parents: DataFrame) -> DataFrame:
+    """The permissions, and for each of ``parents`` (a column id; objects that got a child) without one a copy of the nearest above it, or of the global one.
+
+    Of several of the nearest object a user's goes before a role's, and then that of the smallest id.
+    """
+    own = permissions.select(F.col("id_ref").alias("id")).distinct()
+    bare = parents.select("id").distinct().join(own, "id", "left_anti")
+    mark = F.col("id_ref").alias("mark")
+    known = small(permissions.select(mark).distinct())
+    state = stored(_pointers(links(view)).join(known, F.col("id") == F.col("mark"), "left").select("id", "up", "mark"), "walk")
+    for _ in range(_longest(state)):
+        if state.where("up is not null").isEmpty():
+            break
+        state = _along(state, mark=F.coalesce("mark", "up_mark"))
+    order = F.struct(F.col("user_id").isNull(), F.coalesce("user_id", "role_id"))
+    best = permissions.groupBy("id_ref").agg(F.min_by(F.struct(*[c for c in permissions.columns if c != "id_ref"]), order).alias("_best"))
+    copied = bare.join(state, "id").select("id", F.coalesce("mark", F.lit(0)).alias("id_ref")).join(small(best), "id_ref")
+    copied = copied.select(F.col("id").cast(permissions.schema["id_ref"].dataType).alias("id_ref"), "_best.*")
+    return permissions.unionByName(copied.select(permissions.columns))
+
+
+def of_user(permissions: DataFrame, user: int) -> DataFrame:
+    return permissions.where(F.col("user_id") == user)
+
+
+def of_role(permissions: DataFrame, role: int) -> DataFrame:
+    return permissions.where(F.col("role_id") == role)
+
+
+def of_object(permissions: DataFrame, object_id: int) -> DataFrame:
+    return permissions.where(F.col("id_ref") == object_id)

@@ -209,7 +209,15 @@ class Query:
         return json.dumps(trees[0] if len(trees) == 1 else {"$and": trees}, default=str)
 
     def explain(self, mode: str = "formatted") -> str:
-        return self.df()._jdf.queryExecution().explainString(self.view.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        return explained(self.df(), mode)
+
+    def explain_aggregate(self, *aggregates: dict, mode: str = "formatted") -> str:
+        return explained(self.aggregate(*aggregates), mode)
+
+
+def explained(df: DataFrame, mode: str = "formatted") -> str:
+    """The plan as text."""
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
 
 def _operand(value: Any) -> Any:

@@ -58,6 +58,38 @@ class SchemeRegistry:
     def empty(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.createDataFrame([], self.schemes[name].type)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """id, name and type (JSON) of each scheme, to be stored; load() reads it."""
+        rows = [(s.id, s.name, s.type.json()) for s in self.schemes.values()]
+        return spark.createDataFrame(rows, "id long, name string, type string")
+
+    @staticmethod
+    def load(table: DataFrame) -> SchemeRegistry:
+        rows = table.select("id", "name", "type").collect()  # a row for each scheme
+        return SchemeRegistry({r.name: Scheme(r.name, T.StructType.fromJson(json.loads(r.type)), r.id) for r in rows})
+
+    def structures(self, spark: SparkSession, name: str) -> DataFrame:
+        """The scheme's fields, nested ones too: path, the path above, type, and whether it is an array or a map."""
+        rows: list[tuple[str, str | None, str, bool, bool]] = []
+
+        def walk(kind: T.StructType, above: str | None) -> None:
+            for f in kind.fields:
+                path = f"{above}.{f.name}" if above else f.name
+                is_array, is_map = isinstance(f.dataType, T.ArrayType), isinstance(f.dataType, T.MapType)
+                item = f.dataType.elementType if is_array else f.dataType.valueType if is_map else f.dataType
+                rows.append((path, above, "class" if isinstance(item, T.StructType) else item.simpleString(), is_array, is_map))
+                if isinstance(item, T.StructType):
+                    walk(item, path)
+
+        walk(self.schemes[name].type, None)
+        return spark.createDataFrame(rows, "path string, above string, type string, is_array boolean, is_map boolean")
+
+    def delete(self, name: str, used: DataFrame | None = None) -> None:
+        """Forgets a scheme; used: objects with a column scheme_id, of which none may have it."""
+        if used is not None and not used.where(F.col("scheme_id") == self.schemes[name].id).isEmpty():
+            raise ValueError(f"scheme {name} has objects")
+        del self.schemes[name]
+
 
 def check_names(kind: T.DataType, path: str = "") -> None:
     """Field names are identifiers, at every depth."""
@@ -72,6 +104,30 @@ def check_names(kind: T.DataType, path: str = "") -> None:
         check_names(kind.valueType, path)
 
 
+def validate(kind: T.StructType, old: T.StructType | None = None) -> list[dict[str, str]]:
+    """What is wrong, or will be lost: severity (error, warning, info), field and problem; the names, types, and changes from an old structure."""
+    out = [{"severity": "error", "field": f.name, "problem": "no identifier"} for f in kind.fields if not _NAME.match(f.name)]
+    lower = [f.name.lower() for f in kind.fields]
+    out += [{"severity": "error", "field": f.name, "problem": "two fields of this name"} for f in kind.fields if lower.count(f.name.lower()) > 1]
+    out += [{"severity": "error", "field": f.name, "problem": f"no support for {f.dataType.simpleString()}"} for f in kind.fields if not _supported(f.dataType)]
+    if old is not None:
+        found = compare(old, kind)
+        out += [{"severity": "info", "field": n, "problem": "new"} for n in found["added"]]
+        out += [{"severity": "warning", "field": n, "problem": "its values go"} for n in found["removed"]]
+        out += [{"severity": "warning", "field": n, "problem": f"{old[n].dataType.simpleString()} becomes {kind[n].dataType.simpleString()}"} for n in found["changed"]]
+    return out
+
+
+def _supported(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_supported(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _supported(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return not isinstance(kind.keyType, (T.ArrayType, T.MapType)) and _supported(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType, T.YearMonthIntervalType, T.DayTimeIntervalType, T.UserDefinedType))
+
+
 def compare(old: T.StructType, new: T.StructType) -> dict[str, list[str]]:
     """Names that are added, removed, or of another type."""
     before, after = {f.name: f.dataType for f in old.fields}, {f.name: f.dataType for f in new.fields}

@@ -14,13 +14,16 @@ import json
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.storage import upsert
+from ..plans.stored import small
+
 VERSION = 1
 ENTRY = "data.jsonl"
 #: Lines of an archive that are handed on at a time.
@@ -46,8 +49,29 @@ def lines(tables: dict[str, DataFrame]) -> Iterator[str]:
     yield json.dumps({"type": "footer", "counts": counts})
 
 
-def export(tables: dict[str, DataFrame], path: str, compress: bool = False, dry_run: bool = False) -> dict[str, int]:
-    """Writes the tables; returns how many records of each kind, which is all that a dry run does."""
+#: Of each kind, the column that says which scheme a record belongs to.
+_SCHEME_OF = {"scheme": "id", "structure": "scheme_id", "object": "scheme_id", "function": "scheme_id"}
+
+
+def of_schemes(tables: dict[str, DataFrame], schemes: Sequence[int]) -> dict[str, DataFrame]:
+    """The records of some schemes: these, their structures, objects and functions, and the values and permissions of those objects; other kinds whole."""
+    out = {}
+    for kind, df in tables.items():
+        column = _SCHEME_OF.get(kind)
+        out[kind] = df.where(F.col(column).isin(list(schemes))) if column and column in df.columns else df
+    if "object" in out:
+        kept = out["object"].select("id")
+        for kind, column in (("value", "object_id"), ("permission", "id_ref")):
+            if kind in out and column in out[kind].columns:
+                mine = out[kind].join(small(kept.withColumnRenamed("id", column)), column, "left_semi").select(tables[kind].columns)
+                out[kind] = mine.union(out[kind].where(F.col(column) == 0)) if kind == "permission" else mine
+    return out
+
+
+def export(tables: dict[str, DataFrame], path: str, compress: bool = False, dry_run: bool = False, schemes: Sequence[int] | None = None) -> dict[str, int]:
+    """Writes the tables, or their records of some schemes; returns how many records of each kind, which is all that a dry run does."""
+    if schemes is not None:
+        tables = of_schemes(tables, schemes)
     if dry_run:
         return {k: df.count() for k, df in tables.items()}
     last = "{}"
@@ -102,3 +126,11 @@ def load(spark: SparkSession, path: str, schemas: dict[str, T.StructType], check
         if found != wanted:
             raise ValueError(f"the footer counts {wanted}, the file has {found}")
     return {k: records.where(F.col("type") == k).select(F.from_json("data", s).alias("d")).select("d.*") for k, s in schemas.items()}
+
+
+def imported(old: dict[str, DataFrame], loaded: dict[str, DataFrame], keys: dict[str, str] | None = None, clean: bool = False) -> dict[str, DataFrame]:
+    """The tables with the loaded records: replaced by their keys (id, if not said otherwise), or, clean, instead of all that was there."""
+    out = dict(old)
+    for kind, df in loaded.items():
+        out[kind] = df if clean or kind not in old else upsert(old[kind], df, (keys or {}).get(kind, "id"))
+    return out

@@ -43,3 +43,37 @@ def used(items: DataFrame, uses: Sequence[tuple[DataFrame, str]]) -> DataFrame:
         ids = df.select(F.col(column).alias("id"))
         out = ids if out is None else out.union(ids)
     return items.join(out, "id", "left_semi")
+
+
+def add_items(items: DataFrame, values: DataFrame) -> DataFrame:
+    """The items and those of ``values`` (value, and maybe alias) that aren't there by value, with ids above the others."""
+    values = values if "alias" in values.columns else values.withColumn("alias", F.lit(None).cast("string"))
+    new = values.select("value", "alias").where("value is not null").groupBy("value").agg(F.min("alias").alias("alias")).join(items, "value", "left_anti")
+    top = items.agg(F.max("id")).first()[0] or 0
+    return items.unionByName(numbered(new, "id", "value", start=int(top) + 1).select("id", "value", "alias"))
+
+
+def update_items(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """The items with the values and aliases of ``changes`` (id, value, alias) where these aren't null; unknown ids are left out."""
+    new = changes.select("id", F.col("value").alias("_value"), F.col("alias").alias("_alias"))
+    joined = items.join(small(new), "id", "left")
+    return joined.select("id", F.coalesce("_value", "value").alias("value"), F.coalesce("_alias", "alias").alias("alias"))
+
+
+def delete_items(items: DataFrame, ids: DataFrame, uses: Sequence[tuple[DataFrame, str]] = ()) -> DataFrame:
+    """The items without those of ``ids`` (a column id); an error if a column of item ids refers to one of them."""
+    gone = items.join(small(ids.select("id").distinct()), "id", "left_semi")
+    if uses:
+        found = [r.id for r in used(gone, uses).limit(5).collect()]
+        if found:
+            raise ValueError(f"items in use: {found}")
+    return items.join(small(gone.select("id")), "id", "left_anti")
+
+
+def sync_items(items: DataFrame, values: DataFrame) -> DataFrame:
+    """The list of exactly these values, as of an enumeration: items that are there keep their ids, the others go."""
+    return add_items(items.join(small(values.select("value").distinct()), "value", "left_semi").select("id", "value", "alias"), values)
+
+
+def by_value(items: DataFrame, value: str) -> DataFrame:
+    return items.where(F.col("value") == value)

@@ -1,7 +1,9 @@
 """What SQL on the driver's tables doesn't show: errors, null rules, nested records, previews."""
 
 import datetime
+import decimal
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +222,128 @@ def test_cycles_are_found(spark):
         tree.levels(v)
 
 
+def test_long_chains(spark):
+    """Twelve thousand levels, in some dozen rounds."""
+    n = 12_000
+    df = spark.range(n).selectExpr("id", "nullif(id - 1, -1) as parent_id")
+    v = View(df, {"id": "id", "parent_id": "parent_id"}, None, "chain")
+    seed = lambda k: spark.createDataFrame([(k,)], "id long")
+    assert tree.levels(v).agg({"level": "max"}).first()[0] == n - 1
+    below = tree.descendants(v, seed(100))
+    assert below.count() == n - 101 and below.agg({"depth": "max"}).first()[0] == n - 101
+    assert tree.descendants(v, seed(100), max_depth=37).count() == 37
+    assert tree.ancestors(v, seed(11_000)).count() == 11_000 and tree.ancestors(v, seed(11_000), max_depth=50).count() == 50
+    sizes = {r.id: (r.subtree_size, r.height) for r in tree.subtree_sizes(v).where("id in (0, 5000, 11999)").collect()}
+    assert sizes == {0: (n, n - 1), 5000: (n - 5000, n - 5001), 11999: (1, 0)}
+
+
+def test_walks_from_several_seeds(spark):
+    """Depth from the nearest seed, seeds below seeds, circles and limits, against a walk step by step."""
+    rng = random.Random(4)
+    up = {k: rng.randrange(k) if k and rng.random() < 0.97 else None for k in range(400)}
+    up |= {500: 502, 501: 500, 502: 501, 503: 502, 504: 9999}
+    v = View(spark.createDataFrame(list(up.items()), "id long, parent_id long"), {"id": "id", "parent_id": "parent_id"}, None, "nodes")
+
+    def climb(k):
+        out, seen = [], set()
+        while up.get(k) in up and up[k] not in seen:
+            k = up[k]
+            seen.add(k)
+            out.append(k)
+        return out
+
+    for _ in range(4):
+        seeds = rng.sample(sorted(up), 6) + [7777]
+        limit = rng.choice([None, 1, 2, 3, 5])
+        near = {k: min([d for d, x in enumerate(climb(k), 1) if x in seeds], default=None) for k in up}
+        below = {k: d for k, d in near.items() if d is not None and (limit is None or d <= limit)}
+        above = {}
+        for s in seeds:
+            for d, x in enumerate(climb(s) if s in up else [], 1):
+                if limit is None or d <= limit:
+                    above[x] = min(d, above.get(x, d))
+        df = spark.createDataFrame([(s,) for s in seeds], "id long")
+        assert {r.id: r.depth for r in tree.descendants(v, df, limit).collect()} == below
+        assert {r.id: r.depth for r in tree.ancestors(v, df, limit).collect()} == above
+        own = {s: 0 for s in seeds if s in up}
+        assert {r.id: r.depth for r in tree.descendants(v, df, limit, include_seeds=True).collect()} == below | own
+        assert {r.id: r.depth for r in tree.ancestors(v, df, limit, include_seeds=True).collect()} == above | own
+
+
+@pytest.mark.parametrize("mode", ["rows", "groups", "range"])
+@pytest.mark.parametrize("exclude", ["current_row", "group", "ties"])
+def test_exclusions_against_brute_force(spark, mode, exclude):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(3), rng.randrange(6), rng.choice([None, *range(1, 9)])) for k in range(120)]
+    v = View(spark.createDataFrame(rows, "id long, p int, o int, v int"), {"id": "id"}, None, "rows")
+    ends = {"rows": [(-2, 2), (1, 3), (-3, 0)], "groups": [(-1, 1), (0, 2), (1, 2)], "range": [(-1, 1), (-2, 0), (1, 2)]}[mode]
+    side = lambda n: "current" if n == 0 else {"preceding": -n} if n < 0 else {"following": n}
+    names = ("sum", "count", "avg", "min", "max")
+    for start, end in ends:
+        frame = {"mode": mode, "start": side(start), "end": side(end), "exclude": exclude}
+        items = [{"func": f, "args": ["v"], "partition_by": ["p"], "order_by": ["o"], "frame": frame, "alias": f} for f in names]
+        got = {r.id: tuple(r)[1:] for r in Query(v).with_window().select("id", *items).collect()}
+        for k, p, o, _ in rows:
+            part = sorted((x for x in rows if x[1] == p), key=lambda x: (x[2], x[0]))
+            order = sorted({x[2] for x in part})
+            at = next(i for i, x in enumerate(part) if x[0] == k)
+            offset = {"rows": lambda i, x: i - at, "groups": lambda i, x: order.index(x[2]) - order.index(o), "range": lambda i, x: x[2] - o}[mode]
+            inside = [x for i, x in enumerate(part) if start <= offset(i, x) <= end]
+            inside = [x for x in inside if not (x[0] == k if exclude == "current_row" else x[2] == o and (exclude == "group" or x[0] != k))]
+            values = [x[3] for x in inside if x[3] is not None]
+            want = (sum(values), len(values), sum(values) / len(values), min(values), max(values)) if values else (None, 0, None, None, None)
+            assert got[k] == pytest.approx(want) if values else got[k] == want, (k, start, end)
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("key", ["i", "f", "s", "t", "d", "m"])
+def test_first_of_each_key(spark, key, desc):
+    rng = random.Random(3)
+    nan = float("nan")
+    day = datetime.date(2024, 1, 1)
+    rows = [(k, rng.randrange(5), rng.choice([None, -5, 3, 3, 2**62, -(2**63)]), rng.choice([None, nan, 1.5, -2.0]), rng.choice([None, "a", "b"]), rng.choice([None, datetime.datetime(2024, 1, 1), datetime.datetime(1960, 1, 1)]),
+             rng.choice([None, day]), rng.choice([None, decimal.Decimal("1.5"), decimal.Decimal("-7")])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, g int, i long, f double, s string, t timestamp, d date, m decimal(10,2)")
+    got = {r.g: r.id for r in Query(View(df, {"id": "id"}, None, "rows")).order_by(key, desc=desc).distinct_by("g").df().collect()}
+    order = F.col(key).desc_nulls_first() if desc else F.col(key).asc_nulls_last()
+    want = {}
+    for r in df.orderBy(order, "id").collect():
+        want.setdefault(r.g, r.id)
+    assert got == want
+
+
+def test_services(spark, tmp_path):
+    registry = schemes.SchemeRegistry()
+    kind = T.StructType([T.StructField("Name", T.StringType()), T.StructField("Home", T.StructType([T.StructField("Rooms", T.ArrayType(T.LongType()))])), T.StructField("By", T.MapType(T.StringType(), T.StructType([T.StructField("X", T.LongType())])))])
+    registry.sync("House", kind)
+    registry.table(spark).write.parquet(str(tmp_path / "schemes"))
+    back = schemes.SchemeRegistry.load(spark.read.parquet(str(tmp_path / "schemes")))
+    assert back.schemes == registry.schemes
+    assert [tuple(r) for r in back.structures(spark, "House").collect()] == [
+        ("Name", None, "string", False, False), ("Home", None, "class", False, False), ("Home.Rooms", "Home", "bigint", True, False), ("By", None, "class", False, True), ("By.X", "By", "bigint", False, False)
+    ]
+    with pytest.raises(ValueError):
+        back.delete("House", spark.createDataFrame([(1,)], "scheme_id long"))
+    back.delete("House")
+    assert not back.schemes
+    found = schemes.validate(T.StructType([T.StructField("a b", T.LongType()), T.StructField("Name", T.LongType()), T.StructField("name", T.NullType())]), kind)
+    assert {(x["severity"], x["field"]) for x in found} >= {("error", "a b"), ("error", "Name"), ("error", "name"), ("warning", "Home"), ("warning", "Name"), ("info", "a b")}
+    items = spark.createDataFrame([(1, "a", None), (2, "b", None)], "id long, value string, alias string")
+    with pytest.raises(ValueError):
+        lists.delete_items(items, spark.createDataFrame([(2,)], "id long"), [(spark.createDataFrame([(2,)], "s long"), "s")])
+    assert lists.by_value(items, "b").first().id == 2
+    tables = {"object": spark.createDataFrame([(1, 10), (2, 20)], "id long, scheme_id long"), "value": spark.createDataFrame([(1, "x"), (2, "y")], "object_id long, v string"), "list": items}
+    path = str(tmp_path / "some.jsonl")
+    assert exchange.export(tables, path, schemes=[20]) == {"list": 2, "object": 1, "value": 1}
+    loaded = exchange.load(spark, path, {"object": tables["object"].schema})
+    merged = exchange.imported({"object": tables["object"].where("id = 1")}, loaded)
+    assert sorted(r.id for r in merged["object"].collect()) == [1, 2]
+    assert [r.id for r in exchange.imported(tables, loaded, clean=True)["object"].collect()] == [2]
+    with pytest.raises(ValueError):
+        Query(View(items, {"id": "id"}, None, "items")).where({"value": {"$fts": {"query": "x", "language": "english"}}}).df()
+    assert "Aggregate" in Query(View(items, {"id": "id"}, None, "items")).explain_aggregate({"$count": "*", "alias": "n"})
+
+
 def test_storage_and_schemes(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string")
@@ -302,6 +426,8 @@ def test_command_line(spark, tmp_path, capsys):
     table = "/root/testdata/sf0.001/nation.parquet"
     main(["query", table, '{"n_regionkey": 1}', "--select", "n_name", "--take", "3"])
     assert len([x for x in capsys.readouterr().out.splitlines() if "n_name" in x]) == 3
+    main(["init", str(tmp_path / "store"), 'One={"type": "struct", "fields": [{"name": "a", "type": "long", "nullable": true, "metadata": {}}]}'])
+    assert spark.read.parquet(str(tmp_path / "store/One")).columns == ["a"] and spark.read.parquet(str(tmp_path / "store/_schemes")).count() == 1
     main(["schema", table])
     schema = capsys.readouterr().out.strip().splitlines()[-1]
     main(["export", str(tmp_path / "n.zip"), f"object={table}", "--compress"])
