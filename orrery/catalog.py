@@ -299,6 +299,32 @@ def pred_map(spark, d):
     return Query(events_with_map(spark, d)).where(f).select({"field": "event_id", "alias": "event_id"}, {"field": "Map[k]", "alias": "k"}).df()
 
 
+@query("SELECT event_id FROM events WHERE json_extract(props, '$.k')::DOUBLE > 89.5 AND json_extract(props, '$.k')::DOUBLE <= 95 OR value < 1.5 AND value >= 0.25")
+def pred_doubles(spark, d):
+    f = {"$or": [{"Map[k]": {"$gtDouble": 89.5, "$lteDouble": 95}}, {"value": {"$ltDouble": 1.5, "$gteDouble": 0.25}}]}
+    return Query(events_with_map(spark, d)).where(f).df().select("event_id")
+
+
+_BY_PLACE = """WITH low AS (SELECT r_name, n_name, min(c_acctbal) AS low, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"""
+
+
+@query(f"""{_BY_PLACE} SELECT r_name, max(n) FILTER (WHERE n_name = 'FRANCE') AS n, max(low) FILTER (WHERE n_name = 'FRANCE') AS low FROM low GROUP BY 1 HAVING max(n) FILTER (WHERE n_name = 'FRANCE') > 0
+UNION ALL SELECT r_name, NULL, NULL FROM low GROUP BY 1 HAVING count(*) FILTER (WHERE n_name = 'JAPAN') > 0""")
+def pred_nested_maps(spark, d):
+    """Regions with a map of nations to maps of figures; a key of a map in a map, and a key of a class in a map."""
+    c, n, r = (view(spark, d, t).df for t in ("customer", "nation", "region"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.min("c_acctbal").alias("low"), F.count("*").alias("n"))
+    figures = F.create_map(F.lit("low"), F.col("low"), F.lit("n"), F.col("n").cast("double"))
+    both = rows.groupBy("n_regionkey").agg(
+        F.map_from_entries(F.collect_list(F.struct("n_name", figures))).alias("Figures"), F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.col("n").alias("Count"), F.col("low").alias("Low"))))).alias("Places")
+    )
+    v = View(r.join(both, F.col("r_regionkey") == F.col("n_regionkey")), {"id": "r_regionkey"}, None, "region")
+    found = Query(v).where({"Figures[FRANCE][n]": {"$gt": 0}, "Places[FRANCE].Count": {"$gt": 0}})
+    out = found.select({"field": "r_name", "alias": "r_name"}, {"field": "Figures[FRANCE][n]", "alias": "n"}, {"field": "Places[FRANCE].Low", "alias": "low"}).df()
+    japan = Query(v).where({"Places.ContainsKey": "JAPAN"}).df().select("r_name", F.lit(None).cast("long"), F.lit(None).cast("double"))
+    return out.select("r_name", F.col("n").cast("long").alias("n"), "low").union(japan)
+
+
 @query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region) AND length(n_name) > 4")
 def pred_nested_path(spark, d):
     v = nested_customers(spark, d)
@@ -616,6 +642,30 @@ def group_window(spark, d):
     return w.select("c_mktsegment", "c_nationkey", "n", {"func": "rank", "order_by": [{"field": "n", "dir": "desc"}], "alias": "place"}, {"func": "sum", "args": ["n"], "alias": "segment_n"})
 
 
+@query("SELECT o_custkey, list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', ',') AS priorities FROM orders GROUP BY 1 HAVING bool_or(o_orderpriority = '1-URGENT')")
+def list_item_arrays(spark, d):
+    """Customers with an array of list items, those of an urgent one."""
+    items = lists.items(view(spark, d, "orders").df, "o_orderpriority")
+    coded = view(spark, d, "orders").df.join(F.broadcast(items), F.col("o_orderpriority") == F.col("value")).groupBy("o_custkey").agg(F.array_sort(F.collect_set("id")).alias("Priorities"))
+    found = Query(View(lists.with_items(coded, "Priorities", items), {"id": "o_custkey"}, None, "customers")).where({"Priorities[].Value": "1-URGENT"}).df()
+    return found.select("o_custkey", F.array_join(F.transform("Priorities", lambda x: x["Value"]), ",").alias("priorities"))
+
+
+@query(f"WITH {_NODES}, g AS (SELECT c.parent_id, count(*) AS n FROM nodes c JOIN nodes n ON c.parent_id = n.id WHERE c.scheme_id = 3 AND n.parent_id IN (1, 2) GROUP BY 1) SELECT parent_id, n, rank() OVER (ORDER BY n DESC) AS place FROM g")
+def tree_group_window(spark, d):
+    g = tq(spark, d, 3).where_descendants_of(1, 2).group_by({"field": "0$:ParentId", "alias": "parent_id"})
+    w = g.with_window({}, {"$count": "*", "alias": "n"})
+    return w.select("parent_id", "n", {"func": "rank", "order_by": [{"field": "n", "dir": "desc"}], "alias": "place"})
+
+
+@query("SELECT count(DISTINCT o_orderstatus) AS n, (SELECT count(*) FROM orders WHERE o_totalprice > 300000) AS n_rows, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS top FROM orders")
+def project_terminals(spark, d):
+    o = q(spark, d, "orders")
+    rich = o.where({"o_totalprice": {"$gt": 300000}}).select("o_orderkey")
+    top = o.order_by("o_totalprice", desc=True).then_by("o_orderkey").select("o_orderkey").first()
+    return _scalar_row(spark, n=o.select("o_orderstatus").distinct().count(), n_rows=rich.count(), top=top["o_orderkey"])
+
+
 # Windows.
 
 _BY_CUSTOMER = {"partition_by": ["o_custkey"], "order_by": ["o_orderdate", "o_orderkey"]}
@@ -886,6 +936,25 @@ def load_graph_arrays_and_maps(spark, d):
     return out.select("n_nationkey", F.coalesce(F.array_join(F.transform("Rich", lambda x: x["c_name"]), ","), F.lit("")).alias("rich"), F.array_join(pairs, ",").alias("segments"))
 
 
+@query("""SELECT o_orderkey, c_name AS customer, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 300000""")
+def graph_json(spark, d):
+    """Objects with those that they refer to as JSON, and read from it."""
+    store, references = _graph(spark, d)
+    deep = graph.load_graph(store, references, "orders", store["orders"].df.where("o_totalprice > 300000"))
+    text = objects.graph_to_json(deep, "o_orderkey")
+    return text.select("o_orderkey", F.get_json_object("json", "$.o_custkey.c_name").alias("customer"), F.get_json_object("json", "$.o_custkey.c_nationkey.n_regionkey.r_name").alias("region"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS name, n_regionkey AS region FROM nation")
+def save_from_json(spark, d):
+    """Nations with their regions read from JSON, and saved."""
+    store, references = _graph(spark, d)
+    deep = graph.load_graph(store, references, "nation", store["nation"].df.where("n_regionkey = 1"))
+    text = objects.graph_to_json(deep.withColumn("n_name", F.lower("n_name")), "n_nationkey")
+    saved = graph.save_graph(store, references, "nation", objects.from_json(text, "json", deep.schema), missing="error")
+    return saved["nation"].select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+
+
 @query("""SELECT 'customer' AS scheme, c_custkey AS id, upper(c_name) AS name, c_nationkey AS up FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'customer', c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 10 <> 0
 UNION ALL SELECT 'nation', n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 10 = 0) THEN lower(n_name) ELSE n_name END, n_regionkey FROM nation
 UNION ALL SELECT 'customer', (SELECT max(c_custkey) FROM customer) + 1, 'new', (SELECT max(n_nationkey) FROM nation) + 1 UNION ALL SELECT 'nation', (SELECT max(n_nationkey) FROM nation) + 1, 'new nation', 1""")

@@ -39,6 +39,8 @@ _TEXT: dict[str, Callable[[Column, Any], Column]] = {
     "$notregex": lambda a, b: ~F.rlike(a, b),
     "$inotregex": lambda a, b: ~F.rlike(a, F.concat(F.lit("(?i)"), b)),
 }
+#: Comparisons as floating-point numbers, whatever the field's type.
+_DOUBLES = {"$gtdouble": "$gt", "$gtedouble": "$gte", "$ltdouble": "$lt", "$ltedouble": "$lte"}
 _SIZES = {"": "$eq", "gt": "$gt", "gte": "$gte", "lt": "$lt", "lte": "$lte"}
 _NULLS = {"$null": True, "$isnull": True, "$notnull": False, "$exists": False}
 _AGGREGATES = ("$count", "$sum", "$avg", "$min", "$max", "$string_agg", "$bool_and", "$bool_or")
@@ -132,6 +134,8 @@ class Compiler:
             return hit if op == "$in" else ~hit
         if op == "$between":
             return column.between(literal(value[0], kind), literal(value[1], kind))
+        if op in _DOUBLES:
+            return _COMPARE[_DOUBLES[op]](column.try_cast("double"), F.lit(float(value)))
         if op in _TEXT:
             return _TEXT[op](column, F.lit(value))
         if op == "$fts":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stored import numbered, small
+from ..plans.stored import numbered, small, stored
 
 ITEM = "struct<Id: bigint, Value: string, Alias: string>"
 
@@ -26,7 +26,7 @@ def with_items(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
     item = F.struct(F.col("id").alias("Id"), F.col("value").alias("Value"), F.col("alias").alias("Alias"))
     lookup = items.select(F.col("id").alias("_item_id"), item.alias("_item"))
     if isinstance(df.schema[column].dataType, T.ArrayType):
-        keyed = df.withColumn("_row", F.monotonically_increasing_id())
+        keyed = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")  # the same rows on both sides of the join
         each = keyed.select("_row", F.posexplode(column).alias("_at", "_item_id")).join(small(lookup), "_item_id", "left")
         whole = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_item"))).alias("_items"))
         back = keyed.join(whole, "_row", "left")

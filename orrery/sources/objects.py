@@ -39,6 +39,11 @@ def to_json(view: View, name: str = "json") -> DataFrame:
     return view.df.select(F.col(view.id), F.to_json(F.struct(*base, props.alias("properties"))).alias(name))
 
 
+def graph_to_json(rows: DataFrame, id: str, name: str = "json") -> DataFrame:
+    """id and the object, with the objects nested in it (as of graph.load_graph), as JSON; nulls are left out."""
+    return rows.select(F.col(id), F.to_json(F.struct(*rows.columns)).alias(name))
+
+
 def from_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     """Rows of JSON objects; unknown fields are skipped, missing ones are null."""
     return df.select(F.from_json(column, schema).alias("_o")).select("_o.*")
