@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.paths import View
-from ..plans.stored import small, stored
-from .tree import _along, _longest, _pointers, links
+from ..plans.stored import small
+from .tree import _along, _pointers, _walk, links
 
 ACTIONS = ("select", "insert", "update", "delete")
 
@@ -31,17 +31,20 @@ def effective(view: View, permissions: DataFrame, user: int, user_roles: DataFra
     known = small(best)
     # The nearest object with a permission, on the way up from each one, itself included.
     state = _pointers(links(view)).join(known.select(F.col("id_ref").alias("mark")), F.col("id") == F.col("mark"), "left").select("id", "up", "mark")
-    state = stored(state, "walk")
-    for _ in range(_longest(state)):
-        if state.where("up is not null").isEmpty():
-            break
-        state = _along(state, mark=F.coalesce("mark", "up_mark"))
-    else:
-        raise ValueError("the parent links have a cycle")
-    found = state.select("id", F.coalesce("mark", F.lit(0)).alias("id_ref")).join(known, "id_ref", "left")
+    found = _nearest(state).select("id", F.coalesce("mark", F.lit(0)).alias("id_ref")).join(known, "id_ref", "left")
     return found.select("id", *[F.coalesce(f"granted.{a}", F.lit(False)).alias(a) for a in ACTIONS])
 
 
+def _nearest(state: DataFrame) -> DataFrame:
+    """Each node's mark, or that of the nearest above it that has one."""
+    walk = _walk(state)
+    for _ in range(walk.most):
+        if not walk.live:
+            return walk.state
+        walk = _along(walk, mark=F.coalesce("mark", "up_mark"))
+    raise ValueError("the parent links have a cycle")
+
+
 def allowed(view: View, permissions: DataFrame, user: int, action: str = "select", user_roles: DataFrame | None = None) -> DataFrame:
     """The objects that a user may read (or whatever the action is)."""
     if action not in ACTIONS:
@@ -84,11 +87,7 @@ def for_new_children(view: View, permissions: DataFrame, parents: DataFrame) ->
     bare = parents.select("id").distinct().join(own, "id", "left_anti")
     mark = F.col("id_ref").alias("mark")
     known = small(permissions.select(mark).distinct())
-    state = stored(_pointers(links(view)).join(known, F.col("id") == F.col("mark"), "left").select("id", "up", "mark"), "walk")
-    for _ in range(_longest(state)):
-        if state.where("up is not null").isEmpty():
-            break
-        state = _along(state, mark=F.coalesce("mark", "up_mark"))
+    state = _nearest(_pointers(links(view)).join(known, F.col("id") == F.col("mark"), "left").select("id", "up", "mark"))
     order = F.struct(F.col("user_id").isNull(), F.coalesce("user_id", "role_id"))
     best = permissions.groupBy("id_ref").agg(F.min_by(F.struct(*[c for c in permissions.columns if c != "id_ref"]), order).alias("_best"))
     copied = bare.join(state, "id").select("id", F.coalesce("mark", F.lit(0)).alias("id_ref")).join(small(best), "id_ref")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import _COMPARE, Compiler
 from ..plans.nodes import tree_of
 from ..plans.paths import View
-from ..plans.stored import small, stored
+from ..plans.stored import small, stored, stored_with
 from .query import Query
 
 #: Tree operators that filters may hold.
@@ -39,18 +39,29 @@ def _pointers(nodes: DataFrame) -> DataFrame:
     return nodes.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
 
 
-def _longest(nodes: DataFrame) -> int:
-    """After so many doublings a pointer still in use has gone more steps than there are nodes, so in a circle."""
-    return nodes.count().bit_length() + 1
+@dataclass
+class Walk:
+    """Nodes with a pointer ``up``; how many have one, and after how many doublings one still in use has gone more steps than there are nodes, so in a circle."""
 
+    state: DataFrame
+    live: int
+    most: int
 
-def _along(state: DataFrame, **made: Column) -> DataFrame:
+
+def _walk(state: DataFrame) -> Walk:
+    state, n = stored_with(state, "walk", n=F.count("*"), live=F.count("up"))
+    return Walk(state, n["live"], n["n"].bit_length() + 1)
+
+
+def _along(walk: Walk, **made: Column) -> Walk:
     """A doubling: the columns of each node made of its own and those of the node that its pointer leads to, named ``up_...``."""
+    state = walk.state
     above = state.select(F.col("id").alias("up"), *[F.col(c).alias(f"up_{c}") for c in state.columns if c != "id"])
     done = state.where("up is null")  # by far the most in the end, and all of one key
     moved = state.where("up is not null").join(above, "up", "left")
     columns = {c: made.get(c, F.col(c)) for c in state.columns} | {"up": F.col("up_up")}
-    return stored(moved.select(*[x.alias(c) for c, x in columns.items()]).union(done), "walk")
+    state, n = stored_with(moved.select(*[x.alias(c) for c, x in columns.items()]).union(done), "walk", live=F.count("up"))
+    return Walk(state, n["live"], walk.most)
 
 
 def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, through: View | None = None) -> DataFrame:
@@ -63,14 +74,14 @@ def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, incl
     marked = small(seeds.select(F.col("id").alias("seed")))
     walked = links(through) if through else nodes
     state = walked.select("id", F.col("parent_id").alias("up")).join(marked, F.col("up") == F.col("seed"), "left")
-    state = stored(state.select("id", "up", F.when(F.col("seed").isNotNull(), 1).cast("long").alias("near")), "walk")
-    most, span = _longest(state), 1  # near: the least number of steps, of the first `span`, up to a seed
-    for _ in range(most):
-        if max_depth is not None and span >= max_depth or state.where("up is not null").isEmpty():
+    walk = _walk(state.select("id", "up", F.when(F.col("seed").isNotNull(), 1).cast("long").alias("near")))
+    span = 1  # near: the least number of steps, of the first `span`, up to a seed
+    for _ in range(walk.most):
+        if max_depth is not None and span >= max_depth or not walk.live:
             break
-        state = _along(state, near=F.least("near", F.col("up_near") + span))
+        walk = _along(walk, near=F.least("near", F.col("up_near") + span))
         span *= 2
-    found = state.where("near is not null").select("id", F.col("near").cast("int").alias("depth"))
+    found = walk.state.where("near is not null").select("id", F.col("near").cast("int").alias("depth"))
     if max_depth is not None:
         found = found.where(F.col("depth") <= max_depth)
     if include_seeds:
@@ -91,20 +102,17 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     known = ends.select(F.col("id").alias("known")).distinct()
     starts = ends.union(nodes.join(seeds, "id", "left_semi")).distinct() if through else nodes  # a seed may be any object
     state = starts.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
-    state = stored(state, "walk")
-    most, span = _longest(state), 1
-    for _ in range(most):
-        if max_depth is not None and span > max_depth:
+    walk, span = _walk(state), 1
+    for _ in range(walk.most):
+        if max_depth is not None and span > max_depth or not walk.live:
             break
         known = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).alias("known"))
         if max_depth is not None:
             known = known.where(F.col("known") + span <= max_depth)
-        steps = state.where("up is not null").join(small(known), "id")
+        steps = walk.state.where("up is not null").join(small(known), "id")
         steps = steps.select(F.col("up").alias("id"), F.lit(False).alias("seed"), (F.col("known") + span).alias("depth"))
         found = stored(found.union(steps).groupBy("id").agg(F.max("seed").alias("seed"), F.min("depth").alias("depth")), "found")
-        if state.where("up is not null").isEmpty():
-            break
-        state = _along(state)
+        walk = _along(walk)
         span *= 2
     out = found.where("depth is not null").select("id", F.col("depth").cast("int").alias("depth"))
     if include_seeds:
@@ -121,12 +129,12 @@ def levels(view: View, with_path: bool = False) -> DataFrame:
     known = F.col("up").isNotNull()
     # A level counts the steps to `up`; the root is the last node known on the way there, itself at first.
     state = _pointers(links(view)).select("id", "up", F.when(known, 1).otherwise(0).cast("long").alias("level"), F.col("id").alias("root"), *path)
-    state = stored(state, "walk")
-    for _ in range(_longest(state)):
-        if state.where("up is not null").isEmpty():
-            return state.withColumn("level", F.col("level").cast("int")).drop("up")
+    walk = _walk(state)
+    for _ in range(walk.most):
+        if not walk.live:
+            return walk.state.withColumn("level", F.col("level").cast("int")).drop("up")
         made = {"level": F.col("level") + F.col("up_level"), "root": F.col("up_root")}
-        state = _along(state, **made, **({"path": F.concat("up_path", "path")} if with_path else {}))
+        walk = _along(walk, **made, **({"path": F.concat("up_path", "path")} if with_path else {}))
     raise ValueError("the parent links have a cycle")
 
 
@@ -314,12 +322,12 @@ def flattened(view: View, name: str | None = None, order: str = "depth_first") -
 
 def subtree_sizes(view: View) -> DataFrame:
     """id, subtree_size (itself included) and height (levels below it) of every node."""
-    pointers = stored(_pointers(links(view)), "walk")
-    sums = pointers.select("id", F.lit(1).cast("long").alias("subtree_size"), F.lit(0).cast("long").alias("height"))
+    walk = _walk(_pointers(links(view)))
+    sums = walk.state.select("id", F.lit(1).cast("long").alias("subtree_size"), F.lit(0).cast("long").alias("height"))
     span = 1  # the sums are of the nodes less than `span` steps below
-    for _ in range(_longest(pointers)):
-        linked = pointers.where("up is not null")
-        if linked.isEmpty():
+    for _ in range(walk.most):
+        linked = walk.state.where("up is not null")
+        if not walk.live:
             return sums.select("id", "subtree_size", F.col("height").cast("int").alias("height"))
         below = linked.join(sums, "id").groupBy("up").agg(F.sum("subtree_size").alias("more"), (F.max("height") + span).alias("far"))
         sums = stored(
@@ -328,7 +336,7 @@ def subtree_sizes(view: View) -> DataFrame:
             ),
             "sums",
         )
-        pointers = _along(pointers)
+        walk = _along(walk)
         span *= 2
     raise ValueError("the parent links have a cycle")
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of two longs that are broadcast at most.
@@ -32,6 +32,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The written table, and aggregates of it that are made on the way."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get
+
+
 def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if it has no more rows than a bound."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
