@@ -1128,10 +1128,10 @@ def stream_windows(spark, d):
     schema = view(spark, d, "events").df.schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counted = streams.windowed_counts(streams.where(stream, {"value": {"$gt": 10}}), "ts", "1 hour", ["event_type"])
-    name = f"windows_{uuid.uuid4().hex}"
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_type", "window_start", "n")
+    path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    out = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_type", "window_start", "n")
 
 
 def compiled(spark: SparkSession, d: str, name: str, condition: object) -> DataFrame:
