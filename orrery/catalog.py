@@ -308,8 +308,8 @@ def pred_doubles(spark, d):
 _BY_PLACE = """WITH low AS (SELECT r_name, n_name, min(c_acctbal) AS low, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"""
 
 
-@query(f"""{_BY_PLACE} SELECT r_name, max(n) FILTER (WHERE n_name = 'FRANCE') AS n, max(low) FILTER (WHERE n_name = 'FRANCE') AS low FROM low GROUP BY 1 HAVING max(n) FILTER (WHERE n_name = 'FRANCE') > 0
-UNION ALL SELECT r_name, NULL, NULL FROM low GROUP BY 1 HAVING count(*) FILTER (WHERE n_name = 'JAPAN') > 0""")
+@query(f"""{_BY_PLACE} SELECT r_name, max(n) FILTER (WHERE n_name = 'NATION_3') AS n, max(low) FILTER (WHERE n_name = 'NATION_3') AS low FROM low GROUP BY 1 HAVING max(n) FILTER (WHERE n_name = 'NATION_3') > 0
+UNION ALL SELECT r_name, NULL, NULL FROM low GROUP BY 1 HAVING count(*) FILTER (WHERE n_name = 'NATION_7') > 0""")
 def pred_nested_maps(spark, d):
     """Regions with a map of nations to maps of figures; a key of a map in a map, and a key of a class in a map."""
     c, n, r = (view(spark, d, t).df for t in ("customer", "nation", "region"))
@@ -319,10 +319,10 @@ def pred_nested_maps(spark, d):
         F.map_from_entries(F.collect_list(F.struct("n_name", figures))).alias("Figures"), F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.col("n").alias("Count"), F.col("low").alias("Low"))))).alias("Places")
     )
     v = View(r.join(both, F.col("r_regionkey") == F.col("n_regionkey")), {"id": "r_regionkey"}, None, "region")
-    found = Query(v).where({"Figures[FRANCE][n]": {"$gt": 0}, "Places[FRANCE].Count": {"$gt": 0}})
-    out = found.select({"field": "r_name", "alias": "r_name"}, {"field": "Figures[FRANCE][n]", "alias": "n"}, {"field": "Places[FRANCE].Low", "alias": "low"}).df()
-    japan = Query(v).where({"Places.ContainsKey": "JAPAN"}).df().select("r_name", F.lit(None).cast("long"), F.lit(None).cast("double"))
-    return out.select("r_name", F.col("n").cast("long").alias("n"), "low").union(japan)
+    found = Query(v).where({"Figures[NATION_3][n]": {"$gt": 0}, "Places[NATION_3].Count": {"$gt": 0}})
+    out = found.select({"field": "r_name", "alias": "r_name"}, {"field": "Figures[NATION_3][n]", "alias": "n"}, {"field": "Places[NATION_3].Low", "alias": "low"}).df()
+    seventh = Query(v).where({"Places.ContainsKey": "NATION_7"}).df().select("r_name", F.lit(None).cast("long"), F.lit(None).cast("double"))
+    return out.select("r_name", F.col("n").cast("long").alias("n"), "low").union(seventh)
 
 
 @query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region) AND length(n_name) > 4")
@@ -750,9 +750,9 @@ def tree_roots(spark, d):
     return tq(spark, d).where_roots().df().select("id", "name")
 
 
-@query(f"WITH {_NODES} SELECT id, scheme_id FROM nodes WHERE id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AND scheme_id < 4")
+@query(f"WITH {_NODES} SELECT id, scheme_id FROM nodes WHERE id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) ")
 def tree_leaves(spark, d):
-    return tq(spark, d).where_leaves().where({"0$:SchemeId": {"$lt": 4}}).df().select("id", "scheme_id")
+    return tq(spark, d).where_leaves().df().select("id", "scheme_id")
 
 
 @query(f"{_PATHS} SELECT n.id, n.name FROM nodes n JOIN paths p USING (id) WHERE level >= 1 AND level < 3")
@@ -1061,10 +1061,12 @@ def stored_functions(spark, d):
     return found.select(compiler.scalar({"$orrery_label": {"$field": "p_partkey"}}).alias("label"), compiler.scalar({"$orrery_area": [{"$field": "p_size"}]}).alias("area"))
 
 
-@query(f"WITH {_NODES}, up AS (SELECT n.id, CASE WHEN n.scheme_id = 4 THEN 0 WHEN n.scheme_id = 3 THEN (CASE WHEN EXISTS (SELECT 1 FROM nodes o WHERE o.parent_id = n.id) THEN 1 ELSE 0 END) END AS height, n.parent_id, n.scheme_id FROM nodes n WHERE n.scheme_id >= 3 AND n.id % 50 <> 3 OR n.scheme_id < 3) SELECT id FROM (SELECT parent_id AS id, max(height) - min(height) AS spread FROM up WHERE scheme_id >= 3 AND parent_id IS NOT NULL GROUP BY 1) WHERE spread > 1")
+@query(f"""WITH {_NODES}, leaf AS (SELECT id, CASE WHEN id IN (SELECT parent_id FROM nodes WHERE scheme_id = 4 AND name = 'P') THEN 1 ELSE 0 END AS height, parent_id FROM nodes WHERE scheme_id = 3)
+SELECT parent_id AS id FROM leaf GROUP BY 1 HAVING max(height) > min(height)""")
 def tree_unbalanced(spark, d):
+    """Nations with customers with pending orders and others without."""
     whole = forest(spark, d)
-    return tree.unbalanced(whole.with_df(whole.df.where("scheme_id < 3 or id % 50 <> 3")))
+    return tree.unbalanced(whole.with_df(whole.df.where("scheme_id < 4 or name = 'P'")), most=0)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 0.5")

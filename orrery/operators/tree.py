@@ -341,11 +341,11 @@ def subtree_sizes(view: View) -> DataFrame:
     raise ValueError("the parent links have a cycle")
 
 
-def unbalanced(view: View) -> DataFrame:
-    """id of the nodes whose children's subtrees differ in height by more than one; a tree without any is balanced."""
+def unbalanced(view: View, most: int = 1) -> DataFrame:
+    """id of the nodes whose children's subtrees differ in height by more than ``most``; a tree without any is balanced."""
     heights = subtree_sizes(view).select("id", "height")
     spread = links(view).join(heights, "id").where("parent_id is not null").groupBy("parent_id").agg((F.max("height") - F.min("height")).alias("spread"))
-    return spread.where("spread > 1").select(F.col("parent_id").alias("id"))
+    return spread.where(F.col("spread") > most).select(F.col("parent_id").alias("id"))
 
 
 def statistics(view: View) -> DataFrame:
