@@ -26,7 +26,7 @@ one bit per id.  Columns other than the key and the text are not looked at.
 from __future__ import annotations
 
 import os
-import unicodedata
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as w
+from .word_table import BLANK, CLASS, FAR, FOREIGN, SPACE, Table, codes_of, contractions
 from .stages import lean, per_worker, saved, shared_folder, slices
 
 LIMIT = 16
@@ -151,23 +152,6 @@ def _chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-#: Texts with characters from here on, or unassigned ones, go to the library as a whole.
-FAR = 0x530
-_BLANK, _SPACE, _LETTER, _NUMBER, _OTHER, _FOREIGN = range(6)
-
-
-def _class_of(c: str) -> int:
-    if c.isspace() and not "\x1c" <= c <= "\x1f":
-        return _BLANK if c == " " else _SPACE
-    kind = unicodedata.category(c)
-    return _FOREIGN if kind == "Cn" else {"L": _LETTER, "N": _NUMBER}.get(kind[0], _OTHER)
-
-
-_CLASS = np.array([*[_class_of(chr(k)) for k in range(FAR)], _FOREIGN], np.uint8)
-_AFTER_ONE = np.array([ord(c) for c in "stmd"], np.uint32)
-_AFTER_TWO = ((ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l")))
-
-
 def word_starts(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where the words of the byte-level pre-tokenizer begin, in texts side by side (``bounds``: where each begins, and the end).
 
@@ -175,81 +159,20 @@ def word_starts(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     numbers, or of other marks is one, and so is an apostrophe with s, t, m, d, re, ve or ll that begins a word.
     """
     n = len(codes)
-    kind = _CLASS[codes]
+    kind = CLASS[codes]
     first = np.zeros(n + 1, bool)
     first[bounds] = True
-    space = kind <= _SPACE
-    run = np.maximum(kind, _SPACE)
+    space = kind <= SPACE
+    run = np.maximum(kind, SPACE)
     start = first[:n].copy()
     start[1:] |= run[1:] != run[:-1]
     last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])  # white space before something else
     start[last] = True
-    start[last + 1] = kind[last] != _BLANK
-    quote = np.flatnonzero(start & (codes == 39))
-    quote = quote[~first[quote + 1]]
-    short = quote[np.isin(codes[quote + 1], _AFTER_ONE)]
-    rest = quote[~first[np.minimum(quote + 2, n)]]
-    long = rest[np.any([(codes[rest + 1] == x) & (codes[rest + 2] == y) for x, y in _AFTER_TWO], axis=0)]
-    for found, length in ((short, 2), (long, 3)):
-        start[found + 1] = False
-        behind = found + length
-        start[behind[behind < n]] = True
+    start[last + 1] = kind[last] != BLANK
+    contractions(codes, first, start)
     return np.flatnonzero(start)
 
 
-class Table:
-    """Packed ids by a word's 64-bit hash (two of a million words share one with probability 3e-8); open addressing in arrays."""
-
-    def __init__(self, kind: str, most: int) -> None:
-        self.bits = max(4, int(most - 1).bit_length() + 1)
-        self.most, self.size = most, 0
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.at = np.zeros(1 << self.bits, np.int64)
-        self.count = np.zeros(1 << self.bits, np.int64)
-        self.pool, self.filled = np.zeros(1 << 12, kind), 0
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's slot, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        slot, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            here = self.keys[slot]
-            hit = here == keys[left]
-            out[left[hit]] = slot[hit]
-            on = ~hit & (here != 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """New keys, each once."""
-        flat = np.array([x for one in ids for x in one], self.pool.dtype)
-        while self.filled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        count = np.array([len(one) for one in ids], np.int64)
-        at = self.filled + np.cumsum(count) - count
-        self.pool[self.filled : self.filled + len(flat)] = flat
-        self.filled += len(flat)
-        self.size += len(keys)
-        slot, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            taken, mine = np.unique(slot[free], return_index=True)
-            done = free[mine]
-            self.keys[taken], self.at[taken], self.count[taken] = keys[left[done]], at[left[done]], count[left[done]]
-            on = np.ones(len(left), bool)
-            on[done] = False
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-
-    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these slots one after another, and how many before each (one more entry ends the last)."""
-        count = self.count[slots]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        return self.pool[np.arange(ends[-1]) + np.repeat(self.at[slots] - ends[:-1], count)], ends
-
-
 class Encoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer is byte-level with its regular expression.
 
@@ -263,28 +186,30 @@ class Encoder:
         self.model, self.chars = self.tokenizer.model, _chars()
         self.blank = self.chars[32]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.letter = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end], self.kind).tobytes()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Table(self.kind, cache)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if word[0] == " " and word.isascii() and word[1:].isalnum():
             mapped = self.blank + word[1:]
         else:
             mapped = "".join([self.chars[b] for b in word.encode()])
-        return [t.id for t in self.model.tokenize(mapped)]
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, packed, with the end id."""
         texts = [t or "" for t in texts]
         whole: dict[int, bytes] = {}
         for k, t in enumerate(texts):
-            if any([s in t for s in self.specials]) or not t.isascii() and _CLASS[np.minimum(_codes(t), FAR)].max() == _FOREIGN:
+            if any([s in t for s in self.specials]) or not t.isascii() and CLASS[np.minimum(codes_of(t), FAR)].max() == FOREIGN:
                 whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
                 texts[k] = ""
         text = "".join(texts)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        codes = _codes(text)
+        codes = codes_of(text)
         starts = word_starts(codes, bounds) if text else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
         keys = np.maximum(w.hashes(codes, starts, ends), np.uint64(1))
@@ -305,10 +230,6 @@ class Encoder:
         return [whole.get(k, b"") + packed[a * size : b * size] + self.end for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 @per_worker
 def encoder(path: str, end: int) -> Encoder:
     """One for all tasks of a worker."""

@@ -14,43 +14,39 @@ Two tokens may stand side by side if merging their text doesn't join anything ac
 boundary: the merges that made them are undone, latest first, and no pair at the boundary may
 have a merge that comes earlier than what was undone (of equal ones the left is first).
 
-Scale: a map over the documents without a shuffle.  A worker keeps the ids of words in two
-generations of about ``CACHE`` entries together: when the newer is full, the older goes, but for
-what is met again.  The trie runs over the words of some texts that are in neither.
+Scale: a map over the documents without a shuffle.  Texts are divided into words in arrays, and
+a worker keeps the ids of up to ``CACHE`` words in a table by hash; when it is full, it begins anew.
+The trie runs over the words of some texts that aren't there.
 
 Edge cases: null and empty texts have no ids and decode to nothing; special tokens in a text
 are found first, as the library does; equal rows are encoded alike; an empty table has no
-rows.  A text of any length is encoded whole, and its words above ``LONGEST_KEPT`` characters are
-not kept.  Columns other than the key and the text are not looked at.
+rows.  A text of any length is encoded whole.  Columns other than the key and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import words as w
 from .stages import lean, per_worker
+from .word_table import CLASS, FAR, FOREIGN, NUMBER, SPACE, Table, codes_of, contractions
 
-CACHE = 500_000
+#: Words whose ids a worker keeps, of up to 60 bytes each.
+CACHE = 1 << 20
 #: Pairs of tokens whose fit a worker keeps, and steps of the automaton.
-PAIRS = 400_000
+PAIRS = 200_000
 STEPS = 300_000
-#: Longer words are not kept between batches.
-LONGEST_KEPT = 64
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: The same for texts of ASCII in lower case.
-_ASCII_PIECE = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9]+")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -60,6 +56,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def normalised(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # by single characters
+
+
 class Vocabulary:
     """Tokens and merges of a tokenizer file with end_of_word_suffix."""
 
@@ -194,9 +194,8 @@ class Vocabulary:
         return out
 
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens: normalised and divided."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # by single characters
-        return (_ASCII_PIECE if text.isascii() else _PIECE).findall(text)
+        """The words of a text without special tokens."""
+        return _PIECE.findall(normalised(text))
 
     def parts(self, text: str) -> list[str]:
         """A text cut at special tokens, which stand at odd places."""
@@ -208,41 +207,72 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def word_spans(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in normalised texts side by side (``bounds``: where each begins, and the end).
+
+    A run of letters is a word, a single number, a run of other marks, and an apostrophe with s, t, m, d, re, ve or ll.
+    """
+    n = len(codes)
+    kind = np.maximum(CLASS[codes], SPACE)
+    first = np.zeros(n + 1, bool)
+    first[bounds] = True
+    start = first[:n] | (kind == NUMBER)
+    start[1:] |= kind[1:] != kind[:-1]
+    contractions(codes, first, start)
+    edges = np.flatnonzero(start)
+    words = kind[edges] != SPACE
+    return edges[words], np.append(edges[1:], n)[words]
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Texts are divided side by side in arrays; those with special tokens or far characters one by one.
+    """
 
     def __init__(self, vocabulary: Vocabulary, cache: int = CACHE) -> None:
-        self.vocabulary, self.most = vocabulary, cache // 2
-        #: By word; special tokens stand behind a blank, which no word has.
-        self.special = {f" {x}": pack([k]) for x, k in vocabulary.special.items()}
-        self.known: dict[str, bytes] = dict(self.special)
-        self.older: dict[str, bytes] = {}
-
-    def _divided(self, text: str) -> list[str]:
-        if not any([s in text for s in self.vocabulary.special]):
-            return self.vocabulary.words(text)
-        out = []
+        self.vocabulary, self.most = vocabulary, cache
+        self.special = {f" {x}": pack([k]) for x, k in vocabulary.special.items()}  # behind a blank, which no word has
+        self.known = Table("<u4", cache)
+
+    def _alone(self, text: str) -> bytes:
+        """A text with special tokens or far characters."""
+        line: list[str] = []
         for k, part in enumerate(self.vocabulary.parts(text)):
-            out += [f" {part}"] if k % 2 else self.vocabulary.words(part)
-        return out
+            line += [f" {part}"] if k % 2 else self.vocabulary.words(part)
+        ids = self.vocabulary.encode_words({x.encode() for x in line if x not in self.special})
+        return b"".join([self.special[x] if x in self.special else ids[x.encode()] for x in line])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        divided = [self._divided(t or "") for t in texts]
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, dict(self.special)
-        known, older = self.known, self.older
-        new: set[str] = set()
-        for line in divided:
-            new.update(filterfalse(known.__contains__, line))
-        again = {x: older[x] for x in new if x in older}
-        known.update(again)
-        wanted = {x.encode(): x for x in new if x not in again}
-        known.update((wanted[x], ids) for x, ids in self.vocabulary.encode_words(wanted).items())
-        out = [b"".join(map(known.__getitem__, line)) for line in divided]
-        for x in new:
-            if len(x) > LONGEST_KEPT:
-                del known[x]
-        return out
+        alone: dict[int, bytes] = {}
+        plain = [normalised(t or "") for t in texts]
+        for k, t in enumerate(plain):
+            if any([s in (texts[k] or "") for s in self.vocabulary.special]) or not t.isascii() and CLASS[np.minimum(codes_of(t), FAR)].max() == FOREIGN:
+                alone[k] = self._alone(texts[k])
+                plain[k] = ""
+        text = "".join(plain)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in plain])])
+        if not text:
+            return [alone.get(k, b"") for k in range(len(texts))]
+        codes = codes_of(text)
+        starts, ends = word_spans(codes, bounds)
+        keys = np.maximum(w.hashes(codes, starts, ends), np.uint64(1))
+        slots = self.known.find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            if self.known.size + len(missing) > self.known.most:  # what is kept goes, so all words of these texts are new
+                missing = np.arange(len(keys))
+                self.known = Table("<u4", max(self.most, len(keys)))
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            words = [text[a:b].encode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            ids = self.vocabulary.encode_words(words)
+            self.known.add(new, [ids[x] for x in words])
+            slots = self.known.find(keys)
+        ids, before = self.known.ids(slots)
+        cut = (4 * before[np.searchsorted(starts, bounds)]).tolist()
+        packed = ids.tobytes()
+        return [alone[k] if k in alone else packed[a:b] for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
 
 def decode(ids: bytes, names: list[str]) -> str:
@@ -262,7 +292,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Texts of about so many characters are encoded at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 400_000
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
