@@ -147,10 +147,18 @@ class TreeQuery(Query):
 
     forest: View | None = None
     tree: tuple[tuple[str, Any], ...] = ()
+    most_depth: int | None = None
 
     def _and(self, kind: str, value: Any = None) -> TreeQuery:
         return replace(self, tree=(*self.tree, (kind, value)))
 
+    def with_max_depth(self, n: int | None) -> TreeQuery:
+        """Walks of this query's filters go n levels at most, or fewer where a filter says so."""
+        return replace(self, most_depth=n)
+
+    def _depth(self, own: int | None) -> int | None:
+        return min([x for x in (own, self.most_depth) if x is not None], default=None)
+
     def where_roots(self) -> TreeQuery:
         return self._and("roots")
 
@@ -265,12 +273,12 @@ class TreeQuery(Query):
         forest = self._forest()
         if kind == "descendants":
             ids, max_depth, include, polymorphic = value
-            return descendants(forest, self._listed(ids), max_depth, include, None if polymorphic else self.view)
+            return descendants(forest, self._listed(ids), self._depth(max_depth), include, None if polymorphic else self.view)
         if kind == "ancestors":
-            return ancestors(forest, self._listed(value[0]), value[1], through=None if value[2] else self.view)
+            return ancestors(forest, self._listed(value[0]), self._depth(value[1]), through=None if value[2] else self.view)
         condition, view, max_depth = value
         walk = descendants if kind == "has_ancestor" else ancestors
-        return walk(forest, self._matching(condition, view), max_depth)
+        return walk(forest, self._matching(condition, view), self._depth(max_depth))
 
     def with_ancestors(self) -> DataFrame:
         """The matching objects and all objects above them, each once, of any scheme."""

@@ -197,6 +197,7 @@ def test_trees(spark):
     assert found(t.where_descendants_of(2, 4, include_seeds=True)) == [2, 4, 5] and found(t.where_descendants_of(2, 4)) == [4, 5]
     assert found(t.where_ancestors_of(5)) == [1, 2, 4] and found(t.where_has_descendant({"name": "e"})) == [1, 2, 4]
     assert found(t.where_has_ancestor({"name": "b"}, max_depth=1)) == [4] and found(t.where_descendants_of(1).where_leaves()) == [3, 5]
+    assert found(t.with_max_depth(1).where_descendants_of(1)) == [2, 3] and found(t.with_max_depth(2).where({"$hasAncestor": {"name": "a"}})) == [2, 3, 4]
     assert sorted(r.id for r in t.where({"name": "e"}).with_ancestors().collect()) == [1, 2, 4, 5]
     assert [r.id for r in t.where({"name": "e"}).root_list().collect()] == [1]
     assert [r.id for r in tree.path_to_root(v, 5).collect()] == [1, 2, 4, 5]
