@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import _COMPARE, Compiler
 from ..plans.nodes import tree_of
 from ..plans.paths import View
-from ..plans.stored import small, stored, stored_with
+from ..plans.stored import BROADCAST_ROWS, small, stored, stored_with
 from .query import Query
 
 #: Tree operators that filters may hold.
@@ -34,9 +34,8 @@ def _ids(df: DataFrame, column: str) -> DataFrame:
 
 
 def _pointers(nodes: DataFrame) -> DataFrame:
-    """id, up: the parent, null where it isn't there."""
-    known = nodes.select(F.col("id").alias("known")).distinct()
-    return nodes.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
+    """id, up: the parent, which may not be there; then the next doubling finds nothing and makes it null."""
+    return nodes.select("id", F.col("parent_id").alias("up"))
 
 
 @dataclass
@@ -70,8 +69,9 @@ def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, incl
     through: the objects that the walk may go through and end at, if not all.
     """
     nodes = links(view)
-    seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
-    marked = small(seeds.select(F.col("id").alias("seed")))
+    seeds, n = stored_with(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds", n=F.count("*"))
+    marked = seeds.select(F.col("id").alias("seed"))
+    marked = F.broadcast(marked) if n["n"] <= BROADCAST_ROWS else marked
     walked = links(through) if through else nodes
     state = walked.select("id", F.col("parent_id").alias("up")).join(marked, F.col("up") == F.col("seed"), "left")
     walk = _walk(state.select("id", "up", F.when(F.col("seed").isNotNull(), 1).cast("long").alias("near")))
@@ -98,10 +98,12 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
     # In each round the nodes found so far hand their depth on to where their pointers lead.
     found = seeds.select("id", F.lit(True).alias("seed"), F.lit(None).cast("long").alias("depth"))
-    ends = links(through) if through else nodes
-    known = ends.select(F.col("id").alias("known")).distinct()
-    starts = ends.union(nodes.join(seeds, "id", "left_semi")).distinct() if through else nodes  # a seed may be any object
-    state = starts.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
+    state = _pointers(nodes)
+    if through:
+        ends = links(through)
+        known = ends.select(F.col("id").alias("known")).distinct()
+        starts = ends.union(nodes.join(seeds, "id", "left_semi")).distinct()  # a seed may be any object
+        state = starts.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
     walk, span = _walk(state), 1
     for _ in range(walk.most):
         if max_depth is not None and span > max_depth or not walk.live:
@@ -117,7 +119,7 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     out = found.where("depth is not null").select("id", F.col("depth").cast("int").alias("depth"))
     if include_seeds:
         out = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).cast("int").alias("depth"))
-    return out
+    return nodes.select("id").distinct().join(small(out), "id")  # a parent may not be there
 
 
 def levels(view: View, with_path: bool = False) -> DataFrame:
@@ -127,14 +129,14 @@ def levels(view: View, with_path: bool = False) -> DataFrame:
     """
     path = [F.array("id").alias("path")] if with_path else []
     known = F.col("up").isNotNull()
-    # A level counts the steps to `up`; the root is the last node known on the way there, itself at first.
-    state = _pointers(links(view)).select("id", "up", F.when(known, 1).otherwise(0).cast("long").alias("level"), F.col("id").alias("root"), *path)
-    walk = _walk(state)
+    # A level counts the steps to `up`, one less if that isn't there; the root is the last node on the way before it, itself at first.
+    walk = _walk(_pointers(links(view)).select("id", "up", F.when(known, 1).otherwise(0).cast("long").alias("level"), F.col("id").alias("root"), *path))
+    there = F.col("up_root").isNotNull()
     for _ in range(walk.most):
         if not walk.live:
             return walk.state.withColumn("level", F.col("level").cast("int")).drop("up")
-        made = {"level": F.col("level") + F.col("up_level"), "root": F.col("up_root")}
-        walk = _along(walk, **made, **({"path": F.concat("up_path", "path")} if with_path else {}))
+        made = {"level": F.col("level") + F.coalesce("up_level", F.lit(-1)), "root": F.coalesce("up_root", "root")}
+        walk = _along(walk, **made, **({"path": F.when(there, F.concat("up_path", "path")).otherwise(F.col("path"))} if with_path else {}))
     raise ValueError("the parent links have a cycle")
 
 
