@@ -7,16 +7,17 @@ the t-th beginning with the t-th four bytes.  Candidates come in two rounds, and
 on full sets and merged to components after each:
 
 1. In each order, neighbours (a signature has its longest common prefix with one of its two)
-   that share four bytes.
+   that share the first bytes.
 2. In each order, the signatures of a region, all of one prefix, that are in different
-   components.  A region's prefix is four bytes long; one with more than ``BLOCK`` signatures
-   outside its largest component is divided by longer prefixes (``DEPTHS``) until it has no more.
-   The largest component is dealt out in blocks, and each block meets all the others.
+   components.  One with more than ``BLOCK`` signatures outside its largest component is divided by
+   longer prefixes (``DEPTHS``) until it has no more.  The largest component is dealt out in
+   blocks, and each block meets all the others.
 
-Pairs that agree in fewer than 40 of 64 bytes are not confirmed.
+How many first bytes are shared at least, and in how many of 64 bytes a pair must agree to be
+confirmed, follows from the similarity asked for: at 0.85 four and 40, at 0.8 three and 35.
 
-Recall: a pair at the threshold of 0.85 agrees in fewer than 40 bytes, or shares four bytes in
-none of the orders, with probability of about 1e-5 (closer ones with less).  If its regions are
+Recall: a pair at the threshold agrees in too few bytes, or shares the first bytes in none of the
+orders, with probability of about 1e-5 (closer ones with less).  At 0.85, if its regions are
 crowded in all orders, so that five, six, seven, eight or ten bytes have to agree, it is missed
 with 0.0003, 0.002, 0.009, 0.023 or 0.10, unless neighbours or links over third documents bring it
 back (simulated; what is left over in a crowded region is measured in the tests).
@@ -49,14 +50,15 @@ from .components import Sets, components
 from .stages import lean, saved, slices, small
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 80
 MINIMA = 64
 TREES = 16
-FLOOR = 4
-AGREE = 40
-BLOCK = 384
-#: Bytes of a region's prefix: the first, and longer ones for crowded regions.
-DEPTHS = (FLOOR, 5, 6, 7, 8, 10, 12, 16, 24, 64)
+#: With what probability a pair at the threshold may share too few first bytes in all orders, and how many standard deviations fewer bytes than expected it may agree in.
+MISSED = 2e-5
+DEVIATIONS = 5
+BLOCK = 256
+#: Bytes of the prefixes that divide crowded regions.
+DEPTHS = (4, 5, 6, 7, 8, 10, 12, 16, 24, 64)
 #: Rows of one class that are still joined by a shuffle.
 HOT_COPIES = 10_000
 #: Ids of 8 bytes that are broadcast at most; beyond that the join is a shuffled one.
@@ -159,7 +161,18 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(values, np.uint8)[offsets[0] : offsets[n]].reshape(n, -1)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def limits(percent: int) -> tuple[int, int]:
+    """How many first bytes candidates share, and in how many bytes of all they agree."""
+    p = percent / 100
+    floor = max(f for f in range(1, MINIMA // 4) if f == 1 or (1 - p**f) ** TREES <= MISSED)
+    return floor, max(1, int(MINIMA * p - DEVIATIONS * (MINIMA * p * (1 - p)) ** 0.5))
+
+
+def _neighbours(floor: int, least: int):
+    return lambda batches: _neighbours_of(batches, floor, least)
+
+
+def _neighbours_of(batches: Iterator[pa.RecordBatch], floor: int, least: int) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition: rows with a neighbour of the same tree and first bytes, and the next one if the two agree.
 
     The partition's first and last rows are kept as well, as their neighbours are elsewhere.
@@ -190,8 +203,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(reps) < 2:
             continue
         equal = labels[1:] == labels[:-1]
-        share = equal[:, : FLOOR + 1].all(axis=1)
-        agree = share & (equal[:, 1:].sum(axis=1) >= AGREE)
+        share = equal[:, : floor + 1].all(axis=1)
+        agree = share & (equal[:, 1:].sum(axis=1) >= least)
         nexts = np.where(agree, reps[1:], none)
         keep = share.copy()
         keep[1:] |= share[:-1]
@@ -246,7 +259,7 @@ def _bounds(batch: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pairs(labels: np.ndarray, comps: np.ndarray, shared: np.ndarray, block: int) -> np.ndarray:
+def _pairs(labels: np.ndarray, comps: np.ndarray, shared: np.ndarray, block: int, least: int) -> np.ndarray:
     """Which pairs of rows of a block, lower row first, are in different components and agree; two that all blocks have meet in the first."""
     n = len(labels)
     apart = (comps[:, None] != comps[None, :]) & np.tri(n, n, -1, bool).T
@@ -256,12 +269,16 @@ def _pairs(labels: np.ndarray, comps: np.ndarray, shared: np.ndarray, block: int
     live = np.zeros((n, n), bool)
     for at in range(0, len(a), PAIRS):
         x, y = a[at : at + PAIRS], b[at : at + PAIRS]
-        ok = (labels[x, 1:] == labels[y, 1:]).sum(axis=1) >= AGREE
+        ok = (labels[x, 1:] == labels[y, 1:]).sum(axis=1) >= least
         live[x[ok], y[ok]] = True
     return live
 
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _live(least: int):
+    return lambda batches: _live_of(batches, least)
+
+
+def _live_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The rows of blocks that have a candidate."""
     for batch in _runs(batches, 2):
         bounds = _bounds(batch)
@@ -270,18 +287,18 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(batch.num_rows, bool)
         sizes = np.diff(bounds)
         two = bounds[:-1][(sizes == 2)]
-        close = (comps[two] != comps[two + 1]) & ((labels[two, 1:] == labels[two + 1, 1:]).sum(axis=1) >= AGREE)
+        close = (comps[two] != comps[two + 1]) & ((labels[two, 1:] == labels[two + 1, 1:]).sum(axis=1) >= least)
         close &= (block[two] == 0) | ~(shared[two] & shared[two + 1])
         keep[two[close]] = keep[two[close] + 1] = True
         for at in np.flatnonzero(sizes > 2):
             a, b = bounds[at], bounds[at + 1]
-            live = _pairs(labels[a:b], comps[a:b], shared[a:b], int(block[a]))
+            live = _pairs(labels[a:b], comps[a:b], shared[a:b], int(block[a]), least)
             keep[a:b] = live.any(axis=0) | live.any(axis=1)
         if keep.any():
             yield batch.filter(pa.array(keep))
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, 2):
             bounds = _bounds(batch)
@@ -293,7 +310,7 @@ def _confirm(percent: int):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a < 2:
                     continue
-                live = _pairs(labels[a:b], comps[a:b], shared[a:b], int(block[a]))
+                live = _pairs(labels[a:b], comps[a:b], shared[a:b], int(block[a]), least)
                 sets = Sets()
                 for x in np.flatnonzero(live.any(axis=1)):
                     own = values[offsets[a + x] : offsets[a + x + 1]]
@@ -321,6 +338,7 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; other columns of ``docs`` are not looked at."""
     spark = docs.sparkSession
+    floor, least = limits(percent)
     feats = saved(features(docs, key, text, size), "features")
     classes = (
         feats.where("n_shingles > 0")
@@ -336,7 +354,7 @@ def near_duplicates(
     ]
     forest = classes.select("rep", F.explode(F.array(*labels)).alias("label")).select("label", "rep")
     forest = forest.repartitionByRange(slices(spark), "label", "rep").sortWithinPartitions("label", "rep")
-    dense = saved(forest.mapInArrow(_neighbours, "label binary, rep long, next long"), "forest")
+    dense = saved(forest.mapInArrow(_neighbours(floor, least), "label binary, rep long, next long"), "forest")
 
     pairs = dense.where("next is not null").select(F.least("rep", "next").alias("u"), F.greatest("rep", "next").alias("v")).distinct()
     pairs = saved(pairs, "pairs")
@@ -354,12 +372,12 @@ def near_duplicates(
     dense = dense.select("label", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     dense = saved(dense.select("label", "rep", F.coalesce("component", "rep").alias("comp")), "dense")
     keys = ["bucket", "block"]
-    rest = regions(dense).repartition(slices(spark), *keys).sortWithinPartitions(*keys, "rep")
-    rest = saved(rest.mapInArrow(_live, rest.schema), "rest")
+    rest = regions(dense, floor).repartition(slices(spark), *keys).sortWithinPartitions(*keys, "rep")
+    rest = saved(rest.mapInArrow(_live(least), rest.schema), "rest")
     sets = shingle_sets(docs, rest, key, text, size)
     whole = rest.join(sets, "rep").select(*rest.columns, "shingles")
     whole = whole.repartition(slices(spark), *keys).sortWithinPartitions(*keys, "rep")
-    more = saved(whole.mapInArrow(_confirm(percent), "u long, v long"), "links")  # a task has one Python worker at a time
+    more = saved(whole.mapInArrow(_confirm(percent, least), "u long, v long"), "links")  # a task has one Python worker at a time
     merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     found = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
@@ -375,13 +393,13 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def regions(dense: DataFrame) -> DataFrame:
+def regions(dense: DataFrame, floor: int) -> DataFrame:
     """bucket, block, shared, label, rep, comp: the rows (label, rep, comp) of all regions with several components, in blocks.
 
     ``shared`` rows, those outside the region's largest component, are in each of its blocks.
     """
     parts = []
-    for depth in DEPTHS:
+    for depth in (floor, *[d for d in DEPTHS if d > floor]):
         keyed = dense.withColumn("bucket", F.substring("label", 1, depth + 1))
         groups = keyed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         groups = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))

@@ -13,7 +13,7 @@ from .stages import shared_folder, shipped, table, tokenizer_path
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def op2_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
