@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Links inside a partition are first contracted to stars, so what is shuffled is at most one
-edge per node and partition; the steps then need about log2 of the longest path left.  Each
-step's edges are a written table.  A node with many neighbours only has them in a grouped
+Links inside a partition are first contracted to stars, about a million nodes at a time, so what
+is shuffled is at most one edge per node and such a part; the steps then need about log2 of the
+longest path left.  Each step's edges are a written table.  A node with many neighbours only has them in a grouped
 minimum, which is combined before the shuffle, and in a join that Spark can split.
 """
 
@@ -43,11 +43,12 @@ class Sets:
         return True
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Sets()
-    for batch in lean(batches):
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sets.join(u, v)
+#: Nodes that a task holds at a time when it contracts links.
+NODES = 1_000_000
+
+
+def _stars(sets: Sets) -> Iterator[pa.RecordBatch]:
+    """Each node that isn't its set's root, and the root."""
     nodes = [x for x in sets.up if sets.root(x) != x]
     for at in range(0, len(nodes), 100_000):
         part = nodes[at : at + 100_000]
@@ -55,13 +56,27 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(part, np.int64)), pa.array(roots)], ["u", "v"])
 
 
+def _contract(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
+        for batch in lean(batches):
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets.join(u, v)
+            if len(sets.up) > most:
+                yield from _stars(sets)
+                sets = Sets()
+        yield from _stars(sets)
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node in a link (u, v) but each component's smallest.
 
     Null or self links are ignored; no links give no rows.
     """
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    edges = saved(links.mapInArrow(_contract, "u long, v long").distinct(), "edges")  # u > v
+    edges = saved(links.mapInArrow(_contract(NODES), "u long, v long").distinct(), "edges")  # u > v
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -76,7 +76,7 @@ _NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,3}[0-9])*+")
 _TRIGGER = re.compile(r"[0-9@]")
 #: Addresses in words.
 _HIDDEN = re.compile(
-    r"[A-Za-z0-9._%+-]+(?: ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?:(?: ?[\[({]dot[\])}] ?|\.| dot )[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)", re.I
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?:(?: ?[\[({]dot[\])}] ?|\.| dot )[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)", re.I
 )
 _HIDING = ("at]", "at)", "at}", "AT]", "AT)", "AT}", " dot ", " DOT ")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
