@@ -32,7 +32,7 @@ def docs(with_clashes, rows):
 
 def test_op1(docs, rows):
     got = sorted(tuple(r) for r in minhash_forest.near_duplicates(docs).collect())
-    want = test_minhash_forest.expected(dict(rows).items())
+    want = test_minhash_forest.expected(dict(rows).items(), 80)
     assert got == sorted((i, *want[i]) for i, _ in rows)
 
 

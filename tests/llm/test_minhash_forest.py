@@ -12,7 +12,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def expected(rows):
+def expected(rows, percent=85):
     sets = {}
     for i, t in rows:
         words = WORD.findall((t or "").translate(LOWER))
@@ -28,14 +28,14 @@ def expected(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
-def found(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(df).collect()}
+def found(df, percent=85):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(df, percent=percent).collect()}
 
 
 def edited(rng, text, k):
@@ -45,14 +45,19 @@ def edited(rng, text, k):
     return " ".join(words)
 
 
-def test_families_against_brute_force(spark, rng):
+def test_limits_follow_the_similarity():
+    assert (minhash_forest.limits(85), minhash_forest.limits(80)) == ((4, 40), (3, 35))
+
+
+@pytest.mark.parametrize("percent", [85, 80, 70])
+def test_families_against_brute_force(spark, rng, percent):
     rows = [(k, prose(rng, rng.randint(1, 200))) for k in range(150)]
     for base in range(12):
         text = prose(rng, 150)
         rows += [(1000 + 100 * base + k, edited(rng, text, rng.randint(0, 6))) for k in range(25)]
     rows += [(5000 + k, rows[3][1]) for k in range(20)]
     rng.shuffle(rows)
-    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), percent) == expected(rows, percent)
 
 
 def test_one_dense_region_over_blocks(spark, monkeypatch):
@@ -84,7 +89,7 @@ def test_crowded_regions(spark, monkeypatch):
     rows = [(k, " ".join(w)) for k, w in rows]
     made = []
     regions = minhash_forest.regions
-    monkeypatch.setattr(minhash_forest, "regions", lambda dense: made.append(regions(dense)) or made[0])
+    monkeypatch.setattr(minhash_forest, "regions", lambda *a: made.append(regions(*a)) or made[0])
     got = found(spark.createDataFrame(rows, "doc_id long, text string"))
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(156)} for i, t in rows}
     linked = [i for i, _ in rows if i >= 10_000]
@@ -109,7 +114,9 @@ def test_repeated_rows_and_empty_table(spark):
     assert minhash_forest.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("nodes", [1_000_000, 10])
+def test_components_of_long_paths(spark, monkeypatch, nodes):
+    monkeypatch.setattr(components, "NODES", nodes)
     rng = np.random.default_rng(2)
     order = rng.permutation(400)
     links = [(int(order[k]), int(order[k + 1])) for k in range(299)] + [(int(order[k]), int(order[k + 1])) for k in range(301, 399)]

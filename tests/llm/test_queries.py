@@ -167,7 +167,7 @@ def test_pipeline(spark, texts):
     model = quality_crf.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     scores = {r.doc_id: r.score for r in quality_crf.with_scores(docs, model).collect()}
     kept = {i: t for i, t in texts.items() if scores[i] >= 0.5}
-    kept = {i: kept[i] for i, (_, _, first) in test_minhash_forest.expected(kept.items()).items() if first or not (kept[i] or "").split()}
+    kept = {i: kept[i] for i, (_, _, first) in test_minhash_forest.expected(kept.items(), 80).items() if first or not (kept[i] or "").split()}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {i: cut(t, items) for i, t in kept.items()}
     frame = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
