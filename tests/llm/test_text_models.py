@@ -159,9 +159,9 @@ def test_quality_edges(spark, with_clashes, edges):
     labels = spark.createDataFrame([(7, 1), (8, 0), (4, 1), (1, 0), (None, 1), (5, None)], "doc_id long, quality int")
     df = with_clashes(edges)
     for known in (labels, labels.limit(0)):
-        out = quality_crf.with_scores(df, quality_crf.fit(df, known), score="_score")
+        out = quality_crf.with_scores(df, quality_crf.fit(df, known), score="a_score")
         rows = out.collect()
-        assert len(rows) == len(edges) and all(0 <= r["_score"] <= 1 for r in rows)
+        assert len(rows) == len(edges) and all(0 <= r["a_score"] <= 1 for r in rows)
         assert set(df.columns) < set(out.columns)
     assert quality_crf.with_scores(df.limit(0), quality_crf.fit(df, labels)).count() == 0
 
