@@ -253,7 +253,7 @@ def test_walks_from_several_seeds(spark):
             out.append(k)
         return out
 
-    for _ in range(4):
+    for _ in range(2):
         seeds = rng.sample(sorted(up), 6) + [7777]
         limit = rng.choice([None, 1, 2, 3, 5])
         near = {k: min([d for d, x in enumerate(climb(k), 1) if x in seeds], default=None) for k in up}
