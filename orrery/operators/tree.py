@@ -95,7 +95,7 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     through: the objects that the walk may go through and end at, if not all.
     """
     nodes = links(view)
-    seeds = stored(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds")
+    seeds, n = stored_with(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds", n=F.count("*"))
     # In each round the nodes found so far hand their depth on to where their pointers lead.
     found = seeds.select("id", F.lit(True).alias("seed"), F.lit(None).cast("long").alias("depth"))
     state = _pointers(nodes)
@@ -111,15 +111,16 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
         known = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).alias("known"))
         if max_depth is not None:
             known = known.where(F.col("known") + span <= max_depth)
-        steps = walk.state.where("up is not null").join(small(known), "id")
+        steps = walk.state.where("up is not null").join(F.broadcast(known) if n["n"] <= BROADCAST_ROWS else known, "id")
         steps = steps.select(F.col("up").alias("id"), F.lit(False).alias("seed"), (F.col("known") + span).alias("depth"))
-        found = stored(found.union(steps).groupBy("id").agg(F.max("seed").alias("seed"), F.min("depth").alias("depth")), "found")
+        found = found.union(steps).groupBy("id").agg(F.max("seed").alias("seed"), F.min("depth").alias("depth"))
+        found, n = stored_with(found, "found", n=F.count("*"))
         walk = _along(walk)
         span *= 2
     out = found.where("depth is not null").select("id", F.col("depth").cast("int").alias("depth"))
     if include_seeds:
         out = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).cast("int").alias("depth"))
-    return nodes.select("id").distinct().join(small(out), "id")  # a parent may not be there
+    return nodes.select("id").distinct().join(F.broadcast(out) if n["n"] <= BROADCAST_ROWS else out, "id")  # a parent may not be there
 
 
 def levels(view: View, with_path: bool = False) -> DataFrame:
