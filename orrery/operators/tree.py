@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import _COMPARE, Compiler
 from ..plans.nodes import tree_of
 from ..plans.paths import View
-from ..plans.stored import BROADCAST_ROWS, small, stored, stored_with
+from ..plans.stored import BROADCAST_ROWS, small, stored, stored_with, tasks
 from .query import Query
 
 #: Tree operators that filters may hold.
@@ -378,10 +378,15 @@ def statistics(view: View) -> DataFrame:
 
 def integrity_errors(view: View) -> DataFrame:
     """id, problem: ids that are there twice, parents that are not there, nodes that are their own parents."""
-    nodes = links(view)
-    twice = nodes.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("problem"))
-    known = nodes.select(F.col("id").alias("parent_id")).distinct()
-    lost = nodes.where("parent_id is not null").join(known, "parent_id", "left_anti").select("id", F.lit("missing parent").alias("problem"))
+    nodes, n = stored_with(links(view), "links", n=F.count("*"))
+    parents = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.lit(0).alias("there"))
+    # Each id and each parent meet in one shuffle; ids are hardly ever equal, so they are counted behind it only.
+    met = nodes.select("id", F.lit(1).alias("there")).union(parents).repartition(tasks(n["n"]), "id")
+    wrong, n = stored_with(met.groupBy("id").agg(F.sum("there").alias("n")).where("n <> 1"), "wrong", lost=F.count_if(F.col("n") == 0))
+    twice = wrong.where("n > 1").select("id", F.lit("duplicate id").alias("problem"))
+    missing = wrong.where("n = 0").select(F.col("id").alias("parent_id"))
+    missing = F.broadcast(missing) if n["lost"] <= BROADCAST_ROWS else missing
+    lost = nodes.join(missing, "parent_id").select("id", F.lit("missing parent").alias("problem"))
     own = nodes.where("id = parent_id").select("id", F.lit("own parent").alias("problem"))
     return twice.union(lost).union(own)
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of two longs that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows for each task, where rows are dealt out by their number.
+TASK_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own, but only if there are no other machines."""
@@ -39,6 +42,11 @@ def stored_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame,
     return out, seen.get
 
 
+def tasks(rows: int) -> int:
+    """How many tasks so many rows are dealt out to, so that none gets more of a larger table."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if it has no more rows than a bound."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

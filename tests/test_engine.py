@@ -14,7 +14,7 @@ from orrery.operators import storage, tree
 from orrery.operators.query import Query
 from orrery.operators.tree import TreeQuery
 from orrery.operators.window import Frame
-from orrery.plans import schemes
+from orrery.plans import schemes, stored
 from orrery.plans.compiler import Compiler
 from orrery.plans.nodes import call, field, when
 from orrery.plans.paths import PathError, View, encode_key
@@ -434,3 +434,31 @@ def test_command_line(spark, tmp_path, capsys):
     main(["export", str(tmp_path / "n.zip"), f"object={table}", "--compress"])
     main(["import", str(tmp_path / "n.zip"), "object", schema, str(tmp_path / "out")])
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(spark.read.parquet(table).collect())
+
+
+def parts(spark, rows, n=4):
+    """Nodes as a union of several tables, as a forest of schemes is."""
+    out = None
+    for k in range(n):
+        df = spark.createDataFrame(rows[k::n], "id long, parent_id long, name string")
+        out = df if out is None else out.union(df)
+    return View(out, {"id": "id", "parent_id": "parent_id", "name": "name"}, None, "nodes")
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_integrity_of_a_union(spark, monkeypatch):
+    """No join for each table of the union, which would have all ids in a task of its own; against a plain count, in many tasks."""
+    monkeypatch.setattr(stored, "TASK_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(rng.choice([k, k, rng.randrange(400), None]), rng.choice([k, rng.randrange(500), None]), "x") for k in range(400)]
+    found = tree.integrity_errors(parts(spark, rows))
+    ids = [r[0] for r in rows]
+    wanted = [(k, "duplicate id") for k in set(ids) if ids.count(k) > 1]
+    wanted += [(k, "missing parent") for k, up, _ in rows if up is not None and up not in ids]
+    wanted += [(k, "own parent") for k, up, _ in rows if k is not None and k == up]
+    key = lambda t: (t[0] is not None, t)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(wanted, key=key)
+    assert joins(found) == 1
