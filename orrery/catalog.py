@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -879,8 +879,7 @@ def tree_create_child(spark, d):
 
 @query(f"{_PATHS}, ends AS (SELECT id, level, path, row_number() OVER (ORDER BY list_concat(path, [9223372036854775807])) AS place FROM paths) SELECT id, place FROM ends")
 def tree_post_order(spark, d):
-    walk = tree.flattened(forest(spark, d), order="post_order")
-    return walk.select("id", F.row_number().over(Window.orderBy(F.concat("path", F.array(F.lit(2**63 - 1))))).cast("long").alias("place"))
+    return tree.places(forest(spark, d), "post_order")
 
 
 @query(f"WITH {_NODES} SELECT id FROM nodes WHERE scheme_id = 3 AND parent_id IN (1000, 1003)")

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from ..plans.compiler import _COMPARE, Compiler
 from ..plans.nodes import tree_of
 from ..plans.paths import View
-from ..plans.stored import BROADCAST_ROWS, small, stored, stored_with, tasks
+from ..plans.stored import BROADCAST_ROWS, numbered, small, stored, stored_with, tasks
 from .query import Query
 
 #: Tree operators that filters may hold.
 _OPERATORS = {"$isroot", "$isleaf", "$level", "$childrenof", "$descendantsof", "$hasancestor", "$hasdescendant"}
 
+#: Pointers to one node that a task may get at once.
+CROWD = 100_000
+
 
 def links(view: View) -> DataFrame:
     return view.df.select(F.col(view.id).alias("id"), F.col(view.parent).alias("parent_id"))
@@ -57,12 +60,25 @@ def _along(walk: Walk, **made: Column) -> Walk:
     state = walk.state
     above = state.select(F.col("id").alias("up"), *[F.col(c).alias(f"up_{c}") for c in state.columns if c != "id"])
     done = state.where("up is null")  # by far the most in the end, and all of one key
-    moved = state.where("up is not null").join(above, "up", "left")
+    moved = _led(state.where("up is not null"), above, walk.live)
     columns = {c: made.get(c, F.col(c)) for c in state.columns} | {"up": F.col("up_up")}
     state, n = stored_with(moved.select(*[x.alias(c) for c, x in columns.items()]).union(done), "walk", live=F.count("up"))
     return Walk(state, n["live"], walk.most)
 
 
+def _led(moved: DataFrame, above: DataFrame, rows: int) -> DataFrame:
+    """The pointers with what they lead to; nodes that very many lead to, as near a root, are broadcast, so that no task gets all their pointers."""
+    if rows <= CROWD:
+        return moved.join(above, "up", "left")
+    crowded, n = stored_with(moved.groupBy("up").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("up"), "crowded", n=F.count("*"))
+    if not n["n"]:
+        return moved.join(above, "up", "left")
+    found = stored(above.join(F.broadcast(crowded), "up"), "crowded")
+    known = F.broadcast(crowded.join(found, "up", "left"))  # fewer than a row per CROWD pointers; some may not be there
+    rest = moved.join(F.broadcast(crowded), "up", "left_anti").join(above, "up", "left")
+    return moved.join(known, "up").unionByName(rest)
+
+
 def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, through: View | None = None) -> DataFrame:
     """id, depth of everything below the ids in ``seeds`` (a column id); depth from the nearest seed. Seeds are in it only if asked, or below another.
 
@@ -311,8 +327,21 @@ def load_tree(view: View, node: Any, max_depth: int | None = None, through: View
     return rows.join(below, F.col(view.id) == F.col("_up"), "left").drop("_up").withColumn("children", F.coalesce("children", none))
 
 
+def _in_order(order: str, id: str) -> list[Column]:
+    """What nodes with level and path are ordered by."""
+    if order == "depth_first":
+        return [F.col("path")]
+    if order == "breadth_first":
+        return [F.col("level"), F.col(id)]
+    if order == "post_order":
+        # A subtree's end comes behind all its descendants: a path is followed by something above all ids.
+        return [F.concat("path", F.array(F.lit(2**63 - 1)))]
+    raise ValueError(f"unknown order {order}")
+
+
 def flattened(view: View, name: str | None = None, order: str = "depth_first") -> DataFrame:
     """All nodes with level, path of ids and, if a name column is given, breadcrumbs; in depth-first or breadth-first order."""
+    keys = _in_order(order, view.id)
     found = levels(view, with_path=True).withColumnRenamed("id", view.id)
     df = view.df.join(found, view.id)
     if name:
@@ -321,14 +350,14 @@ def flattened(view: View, name: str | None = None, order: str = "depth_first") -
         crumbs = steps.groupBy(view.id).agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("steps"))
         crumbs = crumbs.select(view.id, F.array_join(F.transform("steps", lambda s: s["label"]), " > ").alias("breadcrumbs"))
         df = df.join(crumbs, view.id, "left")
-    if order == "depth_first":
-        return df.orderBy("path")
-    if order == "breadth_first":
-        return df.orderBy("level", view.id)
-    if order == "post_order":
-        # A subtree's end comes behind all its descendants: a path is followed by something above all ids.
-        return df.orderBy(F.concat("path", F.array(F.lit(2**63 - 1))))
-    raise ValueError(f"unknown order {order}")
+    return df.orderBy(*keys)
+
+
+def places(view: View, order: str = "depth_first") -> DataFrame:
+    """id, and the place of each node from 1 on when all are flattened; no task has all of them."""
+    keys = {f"_key_{k}": c for k, c in enumerate(_in_order(order, "id"))}
+    found = levels(view, with_path=True).select("id", *[c.alias(k) for k, c in keys.items()])
+    return numbered(found, "place", *keys).select("id", "place")
 
 
 def subtree_sizes(view: View) -> DataFrame:

@@ -55,9 +55,11 @@ def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
 def numbered(df: DataFrame, name: str, *order: str, start: int = 1) -> DataFrame:
     """Adds a column that counts the rows in an order, without gaps: by ranges, each in a task of its own, shifted by the rows before."""
     part, at, before = "_part", "_at", "_before"
-    ranged = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), "numbered")
+    df, n = stored_with(df, "unnumbered", n=F.count("*"))
+    ranged = df.repartitionByRange(tasks(n["n"]), *[F.col(c) for c in order]).sortWithinPartitions(*order)
+    in_part = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))  # rows of a partition before this one
+    ranged = stored(ranged.withColumn(part, F.spark_partition_id()).withColumn(at, in_part), "numbered")
     sums = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = ranged.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(sums), F.lit(0)).alias(before))
-    rows = ranged.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    rows = rows.join(F.broadcast(offsets), part)
-    return rows.withColumn(name, (F.col(before) + F.col(at) + (start - 1)).cast("long")).drop(part, at, before)
+    rows = ranged.join(F.broadcast(offsets), part)
+    return rows.withColumn(name, (F.col(before) + F.col(at) + start).cast("long")).drop(part, at, before)

@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
     names = [x[0] for x in out.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in out.fetchall())
+
+
+def test_post_order_is_numbered_by_ranges(spark):
+    """Not by a window over all rows, which are in one task then."""
+    plan = catalog.QUERIES["tree_post_order"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan

@@ -462,3 +462,24 @@ def test_integrity_of_a_union(spark, monkeypatch):
     key = lambda t: (t[0] is not None, t)
     assert sorted(map(tuple, found.collect()), key=key) == sorted(wanted, key=key)
     assert joins(found) == 1
+
+
+def test_places_in_many_tasks(spark, monkeypatch):
+    """Numbered by ranges of a few rows, with nodes that most of the others lead to; against a walk, and without a window over all rows."""
+    monkeypatch.setattr(stored, "TASK_ROWS", 25)
+    monkeypatch.setattr(tree, "CROWD", 20)
+    rng = random.Random(3)
+    up = {k: rng.choice([None, 0, 1, 1, 1, 2, rng.randrange(k), rng.randrange(k)]) if k > 2 else [None, 0, 1][k] for k in range(200)}
+    up |= {k: 999 for k in range(300, 330)}  # many of a parent that isn't there
+    v = parts(spark, [(k, p, "x") for k, p in up.items()])
+
+    def path(k):
+        return [*(path(up[k]) if up[k] in up else []), k]
+
+    post = tree.places(v, "post_order")
+    wanted = {k: n for n, k in enumerate(sorted(up, key=lambda k: [*path(k), 2**63]), 1)}
+    assert {r.id: r.place for r in post.collect()} == wanted
+    assert {r.id: r.place for r in tree.places(v, "breadth_first").collect()} == {k: n for n, k in enumerate(sorted(up, key=lambda k: (len(path(k)), k)), 1)}
+    assert {(r.id, r.level, r.root) for r in tree.levels(v).collect()} == {(k, len(path(k)) - 1, path(k)[0]) for k in up}
+    ordered = lists.items(spark.createDataFrame([(str(k % 90),) for k in range(300)], "s string"), "s")
+    assert [(r.id, r.value) for r in ordered.orderBy("id").collect()] == list(enumerate(sorted({str(k % 90) for k in range(300)}), 1))
