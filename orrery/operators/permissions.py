@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.paths import View
-from ..plans.stored import small
+from ..plans.stored import among, small
 from .tree import _along, _pointers, _walk, links
 
 ACTIONS = ("select", "insert", "update", "delete")
@@ -50,7 +50,7 @@ def allowed(view: View, permissions: DataFrame, user: int, action: str = "select
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action}")
     ids = effective(view, permissions, user, user_roles).where(F.col(action)).select(F.col("id").alias(view.id))
-    return view.df.join(ids, view.id, "left_semi")
+    return among(view.df, ids.distinct(), view.id)
 
 
 _SUBJECT = ("id_ref", "user_id", "role_id")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..plans.paths import View
 from ..plans.schemes import DELETED
-from ..plans.stored import small
+from ..plans.stored import apart, small
 from .tree import descendants
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The new rows, and the old ones whose key isn't among them."""
     keys = [key] if isinstance(key, str) else list(key)
-    return old.join(small(new.select(keys).distinct()), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    return apart(old, small(new.select(keys).distinct()), keys).unionByName(new, allowMissingColumns=True)
 
 
 def changed(old: DataFrame, new: DataFrame, key: str, hash: str = "hash") -> DataFrame:
@@ -26,7 +26,7 @@ def changed(old: DataFrame, new: DataFrame, key: str, hash: str = "hash") -> Dat
 
 
 def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(small(ids.select(key).distinct()), key, "left_anti")
+    return apart(df, small(ids.select(key).distinct()), key)
 
 
 def soft_delete(view: View, ids: DataFrame) -> DataFrame:

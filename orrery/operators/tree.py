@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import _COMPARE, Compiler
 from ..plans.nodes import tree_of
 from ..plans.paths import View
-from ..plans.stored import BROADCAST_ROWS, numbered, small, stored, stored_with, tasks
+from ..plans.stored import BROADCAST_ROWS, among, apart, numbered, small, stored, stored_with, tasks
 from .query import Query
 
 #: Tree operators that filters may hold.
@@ -85,7 +85,7 @@ def descendants(view: View, seeds: DataFrame, max_depth: int | None = None, incl
     through: the objects that the walk may go through and end at, if not all.
     """
     nodes = links(view)
-    seeds, n = stored_with(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds", n=F.count("*"))
+    seeds, n = stored_with(_ids(nodes.select("id").join(_ids(seeds, "id"), "id"), "id"), "seeds", n=F.count("*"))
     marked = seeds.select(F.col("id").alias("seed"))
     marked = F.broadcast(marked) if n["n"] <= BROADCAST_ROWS else marked
     walked = links(through) if through else nodes
@@ -111,14 +111,14 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     through: the objects that the walk may go through and end at, if not all.
     """
     nodes = links(view)
-    seeds, n = stored_with(_ids(seeds, "id").join(nodes.select("id"), "id", "left_semi"), "seeds", n=F.count("*"))
+    seeds, n = stored_with(_ids(nodes.select("id").join(_ids(seeds, "id"), "id"), "id"), "seeds", n=F.count("*"))
     # In each round the nodes found so far hand their depth on to where their pointers lead.
     found = seeds.select("id", F.lit(True).alias("seed"), F.lit(None).cast("long").alias("depth"))
     state = _pointers(nodes)
     if through:
         ends = links(through)
         known = ends.select(F.col("id").alias("known")).distinct()
-        starts = ends.union(nodes.join(seeds, "id", "left_semi")).distinct()  # a seed may be any object
+        starts = ends.union(among(nodes, seeds, "id")).distinct()  # a seed may be any object
         state = starts.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("up"))
     walk, span = _walk(state), 1
     for _ in range(walk.most):
@@ -136,7 +136,9 @@ def ancestors(view: View, seeds: DataFrame, max_depth: int | None = None, includ
     out = found.where("depth is not null").select("id", F.col("depth").cast("int").alias("depth"))
     if include_seeds:
         out = found.select("id", F.when(F.col("seed"), 0).otherwise(F.col("depth")).cast("int").alias("depth"))
-    return nodes.select("id").distinct().join(F.broadcast(out) if n["n"] <= BROADCAST_ROWS else out, "id")  # a parent may not be there
+    if n["n"] <= BROADCAST_ROWS:  # a parent may not be there
+        return nodes.select("id").join(F.broadcast(out), "id").distinct().select("id", "depth")
+    return out.join(nodes.select("id"), "id", "left_semi")
 
 
 def levels(view: View, with_path: bool = False) -> DataFrame:
@@ -274,7 +276,7 @@ class TreeQuery(Query):
             elif kind == "children":
                 df = df.where(F.col(self.view.parent).isin([i[key] if isinstance(i, Row) else i for i in value]))
             elif kind == "leaves":
-                df = df.join(_ids(links(forest), "parent_id").withColumnRenamed("id", key), key, "left_anti")
+                df = apart(df, _ids(links(forest), "parent_id").withColumnRenamed("id", key), key)
             elif kind == "level":
                 value = value if isinstance(value, dict) else {"$eq": value}
                 bad = [op for op in value if op.lower() not in _COMPARE]
@@ -283,9 +285,9 @@ class TreeQuery(Query):
                 keep = F.lit(True)
                 for op, n in value.items():
                     keep = keep & _COMPARE[op.lower()](F.col("level"), F.lit(n))
-                df = df.join(levels(forest).where(keep).select(F.col("id").alias(key)), key, "left_semi")
+                df = among(df, levels(forest).where(keep).select(F.col("id").alias(key)).distinct(), key)
             else:
-                df = df.join(self._walk(kind, value).select(F.col("id").alias(key)), key, "left_semi")
+                df = among(df, self._walk(kind, value).select(F.col("id").alias(key)), key)
         return df
 
     def _walk(self, kind: str, value: Any) -> DataFrame:
@@ -304,7 +306,7 @@ class TreeQuery(Query):
         forest = self._forest()
         matched = stored(self.df().select(F.col(self.view.id).alias("id")), "matched")
         ids = ancestors(forest, matched, include_seeds=True).select(F.col("id").alias(forest.id))
-        return forest.df.join(ids, forest.id, "left_semi")
+        return among(forest.df, ids, forest.id)
 
     def root_list(self) -> DataFrame:
         """The roots above, or among, the matching objects."""
@@ -393,10 +395,10 @@ def statistics(view: View) -> DataFrame:
     nodes = links(view)
     found = levels(view)
     known = nodes.select(F.col("id").alias("parent_id"))
-    children = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"))
+    children = stored(nodes.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n")), "children")
     total = nodes.agg(F.count("*").alias("total"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
-    leaves = nodes.join(_ids(nodes, "parent_id"), "id", "left_anti").agg(F.count("*").alias("leaves"))
-    orphans = nodes.where("parent_id is not null").join(known, "parent_id", "left_anti").agg(F.count("*").alias("orphans"))
+    leaves = apart(nodes, _ids(nodes, "parent_id"), "id").agg(F.count("*").alias("leaves"))
+    orphans = children.join(known, "parent_id", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
     depth = found.agg(F.max("level").alias("max_depth"))
     fan = children.join(known, "parent_id", "left_semi").agg(F.avg("n").alias("avg_children"))
     out = total
@@ -437,7 +439,7 @@ def without_subtree(view: View, node: Any) -> DataFrame:
     """All objects but a node and everything below it."""
     seeds = view.df.where(F.col(view.id) == node).select(F.col(view.id).alias("id"))
     gone = descendants(view, seeds, include_seeds=True)
-    return view.df.join(small(gone.select(F.col("id").alias(view.id))), view.id, "left_anti")
+    return apart(view.df, small(gone.select(F.col("id").alias(view.id))), view.id)
 
 
 def create_child(view: View, parent: Any, values: dict[str, Any]) -> DataFrame:

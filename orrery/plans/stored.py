@@ -63,3 +63,14 @@ def numbered(df: DataFrame, name: str, *order: str, start: int = 1) -> DataFrame
     offsets = ranged.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(sums), F.lit(0)).alias(before))
     rows = ranged.join(F.broadcast(offsets), part)
     return rows.withColumn(name, (F.col(before) + F.col(at) + start).cast("long")).drop(part, at, before)
+
+
+def among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``keys``, each there once. Spark would make a semi-join for each table of a union, and with few rows in one, a task of it gets all keys."""
+    return df.join(keys.select(key), key).select(df.columns)
+
+
+def apart(df: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """The rows whose key is not in ``keys``, each there once; no anti-join, as in ``among``."""
+    found = keys.select(*([key] if isinstance(key, str) else key), F.lit(True).alias("_found"))
+    return df.join(found, key, "left").where("_found is null").select(df.columns)

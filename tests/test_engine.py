@@ -483,3 +483,23 @@ def test_places_in_many_tasks(spark, monkeypatch):
     assert {(r.id, r.level, r.root) for r in tree.levels(v).collect()} == {(k, len(path(k)) - 1, path(k)[0]) for k in up}
     ordered = lists.items(spark.createDataFrame([(str(k % 90),) for k in range(300)], "s string"), "s")
     assert [(r.id, r.value) for r in ordered.orderBy("id").collect()] == list(enumerate(sorted({str(k % 90) for k in range(300)}), 1))
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_ancestors_in_a_union(spark, monkeypatch, most):
+    """One join for all tables of the union, with ids broadcast or not, nodes that are there twice and parents that aren't; against a walk."""
+    monkeypatch.setattr(tree, "BROADCAST_ROWS", most)
+    rng = random.Random(5)
+    up = {k: rng.choice([None, 900, *[rng.randrange(k)] * 9]) if k else None for k in range(120)}
+    rows = [(k, p, "x" if k % 17 == 3 else "y") for k, p in up.items()] + [(7, up[7], "y")]
+    t = TreeQuery(parts(spark, rows))
+    wanted = set()
+    for k in (r[0] for r in rows if r[2] == "x"):
+        while k in up:
+            wanted.add(k)
+            k = up[k]
+    found = t.where({"name": "x"}).with_ancestors()
+    assert found.columns == ["id", "parent_id", "name"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r for r in rows if r[0] in wanted), key=lambda r: r[0])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parent_id") and "LeftSemi" not in plan.split("Union")[0] and plan[: plan.index("Union")].count("Join ") == 1
