@@ -42,7 +42,7 @@ def used(items: DataFrame, uses: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     for df, column in uses:
         ids = df.select(F.col(column).alias("id"))
         out = ids if out is None else out.union(ids)
-    return items.join(out, "id", "left_semi")
+    return items.join(out.where("id is not null").distinct(), "id", "left_semi")  # a task of the join has a row per item, not per use
 
 
 def add_items(items: DataFrame, values: DataFrame) -> DataFrame:

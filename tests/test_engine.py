@@ -503,3 +503,13 @@ def test_ancestors_in_a_union(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in found.collect()) == sorted((r for r in rows if r[0] in wanted), key=lambda r: r[0])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parent_id") and "LeftSemi" not in plan.split("Union")[0] and plan[: plan.index("Union")].count("Join ") == 1
+
+
+def test_used_items_are_counted_once(spark):
+    """Uses are made distinct before the join, so that no task gets all uses of an item."""
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, value string")
+    uses = spark.range(3000).selectExpr("case when id % 3 = 0 then null else 1 + id % 2 * 2 end as s")
+    found = lists.used(items, [(uses, "s"), (spark.createDataFrame([(9,), (None,)], "s long"), "s")])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a"), (3, "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Aggregate" in plan[plan.index("LeftSemi") :]
